@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bermline.functions import geometry as G
 from bermline.operators.ordered import null_safe_join, quantiles, row_numbers
@@ -239,7 +240,7 @@ def clean_lines(df: DataFrame, pts: str = "pts") -> DataFrame:
     return d.withColumn("changed", F.size("_p") != F.size(pts)).withColumn(pts, F.col("_p")).drop("_p")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _kept_vertices(xs: pd.Series, ys: pd.Series, tol: pd.Series) -> pd.Series:
     """Indices that Douglas-Peucker keeps, per line."""
     import numpy as np
@@ -407,7 +408,9 @@ def normalize_patches(patches: DataFrame, stats: dict[str, tuple[float, float]],
     def one(name, arr):
         a = clean(arr)
         s = F.try_element_at(m, name)
-        return (F.when(name == "dsm", F.transform(a, lambda v: v - array_median(a))).when(name == "water", a)
+        # the median is bound once through a one-element array, not once per pixel
+        centred = F.transform(F.array(array_median(a)), lambda med: F.transform(a, lambda v: v - med))[0]
+        return (F.when(name == "dsm", centred).when(name == "water", a)
                 .otherwise(F.transform(a, lambda v: (v - s["m"]) / (s["s"] + eps))))
 
     return patches.withColumn(channels, F.transform_values(channels, one))

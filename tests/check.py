@@ -19,7 +19,7 @@ def duck(d):
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if v != v else repr(round(v, 6) + 0.0)
+        return "nan" if v != v else repr(round(v, 6))
     if isinstance(v, (list, tuple)):
         return str([norm(x) for x in v])
     return str(v)
