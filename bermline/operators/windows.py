@@ -59,7 +59,7 @@ def planar_prominence(candidates: DataFrame, refs: DataFrame, h: str = "h", r_in
     """
     r = refs.groupBy("x", "y", F.col(h).alias("_rh")).agg(F.count(F.lit(1)).alias("_w"))
     pairs = point_pairs(candidates.select("x", "y").distinct(), r, r_out, r_in)
-    ring = pairs.groupBy("x", "y").agg(F.percentile("_rh", 0.5, "_w").alias("_med"), F.sum("_w").alias("_n"))
+    ring = pairs.groupBy("x", "y").agg(F.percentile("_rh", 0.5, F.col("_w")).alias("_med"), F.sum("_w").alias("_n"))
     out = candidates.join(ring, ["x", "y"], "left")
     prom = F.when(F.col("_n") >= min_n, F.col(h) - F.col("_med"))
     if cap is not None:
