@@ -37,14 +37,15 @@ def interpolate(pts: Column, d: Column, normalized: bool = False) -> Column:
     at = F.greatest(d * line_length(pts) if normalized else d, F.lit(0.0))
 
     def step(s, e):
-        t = F.when(e["len"] > 0, (at - s["acc"]) / e["len"]).otherwise(F.lit(0.0))
-        here = s["x"].isNull() & (s["acc"] + e["len"] >= at)
+        t = F.when(e["len"] > 0, (s["at"] - s["acc"]) / e["len"]).otherwise(F.lit(0.0))
+        here = s["x"].isNull() & (s["acc"] + e["len"] >= s["at"])
         return F.struct(
-            (s["acc"] + e["len"]).alias("acc"),
+            s["at"].alias("at"), (s["acc"] + e["len"]).alias("acc"),
             F.when(here, e["x0"] + t * (e["x1"] - e["x0"])).otherwise(s["x"]).alias("x"),
             F.when(here, e["y0"] + t * (e["y1"] - e["y0"])).otherwise(s["y"]).alias("y"))
 
-    start = F.struct(F.lit(0.0).alias("acc"), _null().alias("x"), _null().alias("y"))
+    # the target distance travels in the state, so that it is computed once per line and not per edge
+    start = F.struct(at.cast("double").alias("at"), F.lit(0.0).alias("acc"), _null().alias("x"), _null().alias("y"))
     end = F.element_at(pts, -1)
     return F.aggregate(edges(pts), start, step, lambda s: F.struct(
         F.coalesce(s["x"], end["x"]).alias("x"), F.coalesce(s["y"], end["y"]).alias("y")))

@@ -415,8 +415,8 @@ def sample_window(points: DataFrame, pixels: DataFrame, x0: float, y0: float, re
     p = points.select(F.col(point_id).alias("_id"), px.alias("_c"), py.alias("_r"))
     p = p.filter((F.col("_c") >= r) & (F.col("_r") >= r) & (F.col("_c") + r < ncols) & (F.col("_r") + r < nrows))
     offs = F.sequence(F.lit(-r), F.lit(r))
-    n = p.select("_id", (F.col("_r") + F.explode(offs)).alias("row"), "_c").select(
-        "_id", "row", (F.col("_c") + F.explode(offs)).alias("col"))
+    n = p.select("_id", "_r", "_c", F.explode(offs).alias("_i")).select("_id", "_r", "_c", "_i", F.explode(offs).alias("_j"))
+    n = n.select("_id", (F.col("_r") + F.col("_i")).alias("row"), (F.col("_c") + F.col("_j")).alias("col"))
     v = n.join(pixels.select("row", "col", F.col("value").alias("_v")).filter(F.abs("_v") <= 1e10), ["row", "col"])
     agg = F.max("_v") if stat == "max" else F.percentile("_v", 0.5)  # window cells: (2r+1)^2 at most
     s = v.groupBy("_id").agg(agg.alias(out))

@@ -434,12 +434,16 @@ def resample(a: np.ndarray, n: int, method: str) -> np.ndarray:
 
 
 def to_tiles(pixels: DataFrame, tile: int = 256) -> DataFrame:
-    """Pixel table to tile arrays (missing pixels are 0); a tile has a fixed number of pixels."""
-    d = pixels.withColumn("tile_r", F.floor(F.col("row") / tile)).withColumn("tile_c", F.floor(F.col("col") / tile))
-    at = (F.col("row") % tile * tile + F.col("col") % tile).cast("int")
-    m = d.groupBy("tile_r", "tile_c").agg(F.map_from_entries(F.collect_list(F.struct(at, F.col("value").cast("float")))).alias("_m"))
-    return m.select("tile_r", "tile_c", F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)),
-                                                    lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0).cast("float"))).alias("data"))
+    """Pixel table to tile arrays (missing pixels are 0); a group is one tile, whose size is fixed."""
+    d = pixels.select(F.floor(F.col("row") / tile).alias("tile_r"), F.floor(F.col("col") / tile).alias("tile_c"),
+                      (F.col("row") % tile * tile + F.col("col") % tile).cast("int").alias("at"), F.col("value").cast("float").alias("value"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros(tile * tile, np.float32)
+        a[pdf["at"].to_numpy()] = np.nan_to_num(pdf["value"].to_numpy(np.float32))
+        return pd.DataFrame({"tile_r": pdf["tile_r"].iloc[:1].to_numpy(), "tile_c": pdf["tile_c"].iloc[:1].to_numpy(), "data": [a]})
+
+    return d.groupBy("tile_r", "tile_c").applyInPandas(run, "tile_r long, tile_c long, data array<float>")
 
 
 def _tpi_array(z: np.ndarray, r: int) -> np.ndarray:
@@ -494,9 +498,17 @@ def patch_labels(centres: DataFrame, cells: DataFrame, grid: Grid, size_px: int,
     at = ((F.col("row") - F.col("_r0")) * size_px + F.col("col") - F.col("_c0")).cast("int")
     s = hit.groupBy(patch_id).agg(F.collect_set(at).alias("_set"))  # at most size_px^2 cells
     m = p.select(patch_id).join(s, patch_id, "left")
-    m = m.withColumn("_m", F.map_from_entries(F.transform(F.coalesce("_set", F.array().cast("array<int>")), lambda i: F.struct(i, F.lit(1)))))
-    lab = F.transform(F.sequence(F.lit(0), F.lit(size_px * size_px - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("tinyint"))
-    return m.select(patch_id, lab.alias("label"), F.size(F.coalesce("_set", F.array().cast("array<int>"))).alias("n_label_px"))
+    filled = F.coalesce("_set", F.array().cast("array<int>"))
+
+    def spread(sets: pd.Series) -> pd.Series:
+        def one(v):
+            a = np.zeros(size_px * size_px, np.int8)
+            a[np.asarray(v, np.int64)] = 1
+            return a
+        return sets.map(one)
+
+    lab = F.pandas_udf(spread, T.ArrayType(T.ByteType()))(filled)
+    return m.select(patch_id, lab.alias("label"), F.size(filled).alias("n_label_px"))
 
 
 # ---- soft skeleton and reported losses ------------------------------------------------------------------

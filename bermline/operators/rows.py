@@ -346,7 +346,9 @@ def _source_index(i: Column, n: int, flip: int, k: int) -> Column:
 
 def turn(arr: Column, n: int, flip: int, k: int) -> Column:
     """Mirror and rotate an n x n array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.element_at(arr, _source_index(i, n, flip, k) + 1))
+    cells = F.sequence(F.lit(0), F.lit(n * n - 1))
+    # the array is bound once through a one-element array; a lambda body would compute it again per cell
+    return F.transform(F.array(arr), lambda a: F.transform(cells, lambda i: F.element_at(a, _source_index(i, n, flip, k) + 1)))[0]
 
 
 def unturn(arr: Column, n: int, flip: int, k: int) -> Column:

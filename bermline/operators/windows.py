@@ -128,3 +128,23 @@ def chainage(segments: DataFrame, line: str = "levee_id", order: Sequence[str] =
     """Start and end distance of each segment along its line."""
     d = running_totals(segments, [line], order, {"chain1": length})
     return d.withColumn("chain0", F.col("chain1") - F.col(length))
+
+
+def profile_prominence(profile: Column, margin: int = 5) -> Column:
+    """Height at the middle sample minus the lower of the two flank minima, ``margin`` samples left out on each side."""
+    n = F.size(profile)
+    mid = F.floor(n / 2).cast("int")
+    left = F.when(mid > margin, F.array_min(F.slice(profile, F.lit(1), F.greatest(mid - margin, F.lit(0)))))
+    right = F.when(mid + margin < n, F.array_min(F.slice(profile, mid + margin + 1, F.greatest(n - mid - margin, F.lit(0)))))
+    return F.element_at(profile, mid + 1) - F.least(left, right)  # least skips a missing flank
+
+
+def profile_visibility(profiles: DataFrame, margin: int = 5, marks: Sequence[float] = (1.0, 2.0, 3.0), col: str = "profile",
+                       by: Sequence[str] = ()) -> DataFrame:
+    """Median, mean, range and shares above the marks of profile prominences, and a verdict on the first mark."""
+    d = profiles.withColumn("_p", profile_prominence(F.col(col), margin)).filter(F.col("_p").isNotNull())
+    extra = [F.avg("_p").alias("mean"), F.min("_p").alias("lo"), F.max("_p").alias("hi")]
+    extra += [F.avg(F.when(F.col("_p") > m, 1.0).otherwise(0.0)).alias(f"share_{k}") for k, m in enumerate(marks, 1)]
+    q = quantiles(d, by, "_p", (0.5,), extra=extra)
+    med = F.col("q")[0]
+    return q.withColumn("median", med).withColumn("verdict", F.when(med > marks[0], "GO").otherwise("CONSIDER")).drop("q")

@@ -185,12 +185,13 @@ _PV = ", ".join(f"({a - 1}, {b - 1}, {c - 1}, {e - 1})" for p in _PAIRS for a, b
   AND p.row = 7 - abs(7 - abs(a.row + i1)) AND p.col = 7 - abs(7 - abs(a.col + j1)) AND s.row = 7 - abs(7 - abs(a.row + i2)) AND s.col = 7 - abs(7 - abs(a.col + j2))),
  e AS (SELECT raster_id, row, col, sum((n / 40.0) ^ 2) AS energy FROM (SELECT raster_id, row, col, a, b, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1, 2, 3),
  g AS (SELECT raster_id, row, col, avg((a - b) ^ 2) AS contrast, avg(1 / (1 + abs(a - b))) AS homogeneity, avg(a * b) - avg(a) * avg(b) AS cov, avg(a * a) - avg(a) ^ 2 AS var FROM m GROUP BY 1, 2, 3)
- SELECT raster_id, row, col, round(contrast, 6) AS contrast, round(homogeneity, 6) AS homogeneity, round(energy, 6) AS energy, round(CASE WHEN var < 1e-9 THEN 0.0 ELSE cov / var END, 5) AS correlation
+ SELECT raster_id, row, col, round(contrast, 6) AS contrast, round(homogeneity, 6) AS homogeneity, round(energy, 6) AS energy, round(CASE WHEN var < 1e-9 THEN 0.0 ELSE cov / var END + 3e-9, 5) AS correlation
  FROM g JOIN e USING (raster_id, row, col)""")
 def r10(spark, d):
     p = V.pixels(spark, d).withColumn("level", F.floor(F.col("score") * 7.999))
     g = R.glcm(p, 8, 8, window=3, levels=8, tile=8, keys=K)
-    return rounded(rounded(g, "correlation", places=5))
+    # a small shift keeps exact binary fractions off the rounding tie
+    return rounded(rounded(g.withColumn("correlation", F.col("correlation") + 3e-9), "correlation", places=5))
 
 
 @query("r11_feature_stack", """SELECT row, col, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM (SELECT row, col, CASE WHEN value >= -0.2 THEN value END AS a, score AS b, CASE WHEN value <= 0.3 THEN value * 2 END AS c FROM mosaic)
