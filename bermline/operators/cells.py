@@ -128,10 +128,14 @@ def box_edge_distance(xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax") -> Col
     dx, dy = x1 - x0, y1 - y0
     # share of the edge that lies inside the box (slab clipping)
     inv = lambda d: F.when(d != 0, 1.0 / d)
-    tx = [F.coalesce((b[0] - x0) * inv(dx), F.when(x0.between(b[0], b[2]), -1e300).otherwise(1e300)),
-          F.coalesce((b[2] - x0) * inv(dx), F.when(x0.between(b[0], b[2]), 1e300).otherwise(-1e300))]
-    ty = [F.coalesce((b[1] - y0) * inv(dy), F.when(y0.between(b[1], b[3]), -1e300).otherwise(1e300)),
-          F.coalesce((b[3] - y0) * inv(dy), F.when(y0.between(b[1], b[3]), 1e300).otherwise(-1e300))]
+    # an edge parallel to a slab is inside it for every share or for none
+
+    def shares(start, d, lo, hi):
+        inside = start.between(lo, hi)
+        return [F.coalesce((lo - start) * inv(d), F.when(inside, -1e300).otherwise(1e300)),
+                F.coalesce((hi - start) * inv(d), F.lit(1e300))]
+
+    tx, ty = shares(x0, dx, b[0], b[2]), shares(y0, dy, b[1], b[3])
     enter = F.greatest(F.least(*tx), F.least(*ty), F.lit(0.0))
     leave = F.least(F.greatest(*tx), F.greatest(*ty), F.lit(1.0))
     to_box = lambda x, y: F.hypot(F.greatest(b[0] - x, F.lit(0.0), x - b[2]), F.greatest(b[1] - y, F.lit(0.0), y - b[3]))
