@@ -143,10 +143,13 @@ def reproject_columns(x: Column, y: Column, source: int, target: int) -> Column:
         return F.struct(x.alias("x"), y.alias("y"))
     if source == 4326:
         return forward(x, y, target)
-    g = inverse(x, y, source)
-    if target == 4326:
-        return F.struct(g["lon"].alias("x"), g["lat"].alias("y"))
-    return forward(g["lon"], g["lat"], target)
+    # the position is bound once through a one-element array; written out, it would be repeated in every term
+    def leave(g: Column) -> Column:
+        if target == 4326:
+            return F.struct(g["lon"].alias("x"), g["lat"].alias("y"))
+        return forward(g["lon"], g["lat"], target)
+
+    return F.transform(F.array(inverse(x, y, source)), leave)[0]
 
 
 def reproject(df: DataFrame, source: int, target: int, x: str = "x", y: str = "y") -> DataFrame:

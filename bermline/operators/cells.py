@@ -52,6 +52,12 @@ def _clash(left: DataFrame, right: DataFrame) -> None:
         raise ValueError(f"rename columns present on both sides: {sorted(both)}")
 
 
+def _exploded(df: DataFrame) -> DataFrame:
+    """Ask for a shuffle join: the planner estimates the size before the copies to cells are made, so it would
+    broadcast tables that are many times larger than it believes."""
+    return df.hint("merge")
+
+
 def point_pairs(left: DataFrame, right: DataFrame, radius: float, r_min: float = 0.0,
                 strict_min: bool = False) -> DataFrame:
     """All (left, right) points with ``r_min <= d <= radius``; right columns ``x, y`` come back as ``rx, ry``."""
@@ -63,7 +69,7 @@ def point_pairs(left: DataFrame, right: DataFrame, radius: float, r_min: float =
     cond = (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & (d <= radius)
     if r_min > 0:
         cond = cond & ((d > r_min) if strict_min else (d >= r_min))
-    return a.join(b, cond).withColumn("d", d).drop("cx", "cy", "_cx", "_cy")
+    return a.join(_exploded(b), cond).withColumn("d", d).drop("cx", "cy", "_cx", "_cy")
 
 
 def point_line_pairs(points: DataFrame, lines: DataFrame, radius: float, keep: Sequence[str],
@@ -76,7 +82,7 @@ def point_line_pairs(points: DataFrame, lines: DataFrame, radius: float, keep: S
     b = edge_cells(e, size, radius).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
     d = G.edge_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     cond = (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & (d <= radius)
-    return a.join(b, cond).withColumn("d", d).drop("cx", "cy", "_cx", "_cy")
+    return a.join(_exploded(b), cond).withColumn("d", d).drop("cx", "cy", "_cx", "_cy")
 
 
 # ---- lines against lines ---------------------------------------------------------
@@ -104,7 +110,7 @@ def line_pairs(left: DataFrame, right: DataFrame, radius: float, size: float,
     b = edge_cells(line_edges(right, [right_id]), size, radius).drop("edge", "len")
     b = b.withColumnsRenamed({c: f"q_{c}" for c in ("x0", "y0", "x1", "y1", "cx", "cy")})
     cond = (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & (edges_distance() <= radius)
-    return a.join(b, cond).select(left_id, right_id).distinct()
+    return a.join(_exploded(b), cond).select(left_id, right_id).distinct()
 
 
 def intersects_join(left: DataFrame, right: DataFrame, buffer: float = 0.0, size: float = 1000.0,
@@ -118,7 +124,7 @@ def intersects_join(left: DataFrame, right: DataFrame, buffer: float = 0.0, size
     e = edge_cells(line_edges(right, [right_id]), size).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
     cond = ((F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))
             & (box_edge_distance() <= buffer))
-    return cells.join(e, cond).select(left_id, right_id).distinct()
+    return cells.join(_exploded(e), cond).select(left_id, right_id).distinct()
 
 
 def box_edge_distance(xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax") -> Column:
@@ -148,35 +154,39 @@ def box_edge_distance(xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax") -> Col
 
 def within_distance_best(left: DataFrame, right: DataFrame, radius: float = 500.0, by: str = "uparea",
                          tie: str = "comid", left_id: str = "segment_id") -> DataFrame:
-    """Per left row the right row with the largest ``by`` within ``radius``; unmatched rows drop out.
+    """Per left row (unique ``left_id``) the right row with the largest ``by`` within ``radius``; unmatched rows drop out.
 
     The winner is an aggregate of structs, so only one row per map task and
     left row is shuffled, not the pairs.
     """
     cols = [c for c in right.columns if c not in ("x", "y")]
-    pairs = point_pairs(left.select(left_id, "x", "y"), right.select("x", "y", *cols), radius)
+    mine = [c for c in left.columns if c != left_id]
+    pairs = point_pairs(left, right.select("x", "y", *cols), radius)
     rank = F.struct(F.col(by).alias("_by"), (-F.col(tie)).alias("_tie"))
-    best = pairs.groupBy(left_id).agg(F.max_by(F.struct(*cols), rank).alias("_m"))
-    best = best.select(F.col(left_id).alias("_id"), *[F.col(f"_m.{c}").alias(c) for c in cols])
-    return left.join(best, F.col(left_id) == F.col("_id")).drop("_id")
+    # the left row rides along, so the result needs no join back
+    best = pairs.groupBy(left_id).agg(F.first(F.struct(*mine)).alias("_l"), F.max_by(F.struct(*cols), rank).alias("_m"))
+    return best.select(left_id, *[F.col(f"_l.{c}").alias(c) for c in mine], *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, right_id: str, start_radius: float = 1000.0,
+def nearest_join(left: DataFrame, right: DataFrame, right_id: str, start_radius: float | None = None,
                  max_rounds: int = 40) -> DataFrame:
     """Nearest right point for every left row (smallest id on ties): adds ``right_id, d``.
 
     Distinct left positions are searched in rounds of doubling radius; a match
     found within the radius is final, only the rest goes on. The rounds are few
-    because the radius doubles until it spans the data.
+    because the radius starts at the spacing of the right points and doubles until
+    it spans the data.
     """
     refs = right.groupBy("x", "y").agg(F.min(right_id).alias(right_id))
     todo = left.select("x", "y").distinct()
     box = right.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
     left_box = left.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
     e = box.unionAll(left_box).agg(F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
-    found, radius = [], start_radius
-    if e[0] is not None and not refs.isEmpty():
+    found, n = [], refs.count()
+    if e[0] is not None and n:
         reach = ((e[1] - e[0]) ** 2 + (e[3] - e[2]) ** 2) ** 0.5
+        # without a stated radius: about five right points are expected within it
+        radius = start_radius or max((5 * (e[1] - e[0]) * (e[3] - e[2]) / (3.14 * n)) ** 0.5, reach / n, 1e-9)
         for _ in range(max_rounds):
             pairs = point_pairs(todo, refs, radius)
             hit = cut_lineage(pairs.groupBy("x", "y").agg(F.min(F.struct("d", right_id)).alias("_m")))
@@ -198,12 +208,18 @@ def nearest_join(left: DataFrame, right: DataFrame, right_id: str, start_radius:
 
 def nearest_within(points: DataFrame, lines: DataFrame, radius: float, point_id: str = "id",
                    line_id: str = "line_id", how: str = "inner", distance_col: str = "d") -> DataFrame:
-    """Nearest line within ``radius`` per point; ``how='left'`` keeps the others with NULL."""
+    """Nearest line within ``radius`` per point (unique ``point_id``); ``how='left'`` keeps the others with NULL."""
+    best = F.min(F.struct("d", line_id)).alias("_m")
+    chosen = [F.col(f"_m.{line_id}").alias(line_id), F.col("_m.d").alias(distance_col)]
+    if how == "inner":
+        # the point rides along, so the result needs no join back
+        mine = [c for c in points.columns if c != point_id]
+        pairs = point_line_pairs(points, lines.select(line_id, "pts"), radius, [line_id])
+        got = pairs.groupBy(point_id).agg(F.first(F.struct(*mine)).alias("_l"), best)
+        return got.select(point_id, *[F.col(f"_l.{c}").alias(c) for c in mine], *chosen)
     pairs = point_line_pairs(points.select(point_id, "x", "y"), lines.select(line_id, "pts"), radius, [line_id])
-    best = pairs.groupBy(point_id).agg(F.min(F.struct("d", line_id)).alias("_m"))
-    best = best.select(F.col(point_id).alias("_id"), F.col(f"_m.{line_id}").alias(line_id),
-                       F.col("_m.d").alias(distance_col))
-    return points.join(best, F.col(point_id) == F.col("_id"), how).drop("_id")
+    got = pairs.groupBy(point_id).agg(best).select(F.col(point_id).alias("_id"), *chosen)
+    return points.join(got, F.col(point_id) == F.col("_id"), how).drop("_id")
 
 
 def assign_to_segments(points: DataFrame, segments: DataFrame, max_dist: float = 30.0,
@@ -260,7 +276,7 @@ def _edge_meetings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     b = edge_cells(b, size).drop("len").withColumnsRenamed(
         {c: f"q_{c}" for c in ("x0", "y0", "x1", "y1", "cx", "cy", "edge")})
     cond = (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy"))
-    return a.join(b, cond).withColumn("_t", crossing_share()).filter(F.col("_t").isNotNull())
+    return a.join(_exploded(b), cond).withColumn("_t", crossing_share()).filter(F.col("_t").isNotNull())
 
 
 def line_intersections(lines_a: DataFrame, lines_b: DataFrame, size: float = 1000.0,

@@ -23,29 +23,22 @@ def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down"
     known = ids.select(F.col("id").alias("_k"))
     start = ids.join(known, (F.col("nxt") == F.col("_k")) & (F.col("nxt") > 0), "left").select(
         "id", F.coalesce("_k", "id").alias("ptr"))
-    # low: smallest id met so far, needed only for cycles
-    cur = cut_lineage(start.select("id", "ptr", F.least("id", "ptr").alias("low")))
-    ends = start.filter("id = ptr").select(F.col("id").alias("_e"))
-    ends = cut_lineage(ends)
-    rounds = 0
-    while rounds < max_rounds:
-        rounds += 1
-        hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("low").alias("_l"))
-        nxt = cur.join(hop, F.col("ptr") == F.col("_i")).select("id", F.col("_p").alias("ptr"), F.least("low", "_l").alias("low"))
-        nxt = cut_lineage(nxt)
-        open_ = nxt.join(ends, F.col("ptr") == F.col("_e"), "left_anti")
-        left = open_.count()
-        cur = nxt
-        if left == 0:
-            break
-        # rows that still move after 2^rounds steps beyond the number of reaches are in or behind a cycle
-        if 2 ** rounds > 2 * cur.count():
+    # low: smallest id met so far, needed only for cycles; open: the pointer has not come to rest
+    cur = cut_lineage(start.select("id", "ptr", F.least("id", "ptr").alias("low"), (F.col("id") != F.col("ptr")).alias("open")))
+    n, rounds = cur.count(), 0
+    while rounds < max_rounds and not cur.filter("open").isEmpty():
+        # open after more than n steps: in a cycle or behind one
+        if 2 ** rounds > 2 * n:
             break
-    done = cur.join(ends, F.col("ptr") == F.col("_e"), "left")
+        rounds += 1
+        hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("low").alias("_l"), F.col("open").alias("_o"))
+        moved = cur.filter("open").join(hop, F.col("ptr") == F.col("_i")).select(
+            "id", F.col("_p").alias("ptr"), F.least("low", "_l").alias("low"), F.col("_o").alias("open"))
+        cur = cut_lineage(cur.filter("NOT open").unionByName(moved))
     # a pointer that stands on a cycle: the low value of that node covers the whole cycle
-    low = cur.select(F.col("id").alias("_i"), F.col("low").alias("_cl"))
-    return done.join(low, F.col("ptr") == F.col("_i")).select(
-        F.col("id").alias(id), F.when(F.col("_e").isNotNull(), F.col("ptr")).otherwise(F.col("_cl")).alias("basin_id"))
+    low = cur.filter("open").select(F.col("id").alias("_i"), F.col("low").alias("_cl"))
+    done = cur.join(low, F.col("ptr") == F.col("_i"), "left")
+    return done.select(F.col("id").alias(id), F.when(F.col("open"), F.col("_cl")).otherwise(F.col("ptr")).alias("basin_id"))
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -90,12 +83,13 @@ def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage:
         free, covered, members = pool, 0, []
         while covered < min_coverage * total:
             best = free.groupBy(scene).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), scene).head()
-            if best is None or best["n"] == 0:
+            if best is None:
                 break
             covered += best["n"]
             members.append((best[scene], grp, len(members), best["n"]))
-            taken = pool.filter(F.col(scene) == best[scene]).select("cx", "cy")
-            free = cut_lineage(free.join(taken, ["cx", "cy"], "left_anti"))
+            if covered < min_coverage * total:
+                taken = free.filter(F.col(scene) == best[scene]).select("cx", "cy")
+                free = cut_lineage(free.join(taken, ["cx", "cy"], "left_anti"))
         if not members:
             break
         ok = covered >= min_coverage * total

@@ -166,16 +166,17 @@ def literal_table(df: DataFrame, limit: int = MAX_LITERAL_GROUPS) -> tuple[DataF
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    return df.sparkSession.createDataFrame(rows, df.schema), True  # the rows of a checked, bounded table
 
 
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str = "q",
               extra: Sequence[Column] = (), bounded: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles per group: columns ``by, n, out ARRAY, extra...``.
 
-    NULL values are skipped. With ``bounded=True`` the caller states that a
-    group has a structural size limit (one patch, one window) and the built-in
-    ``percentile`` is used. Otherwise:
+    NULL values are skipped. Groups of at most SMALL_GROUP values (all groups
+    when the caller states a structural limit with ``bounded=True``: one patch,
+    one window) go through the built-in ``percentile``. Larger ones are found by
+    a plain count and never gathered:
 
     1. a mergeable sketch per group gives a narrow value range around each rank;
     2. one aggregation with map-side combine counts what lies between the
@@ -183,17 +184,37 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]
     3. the wanted ranks are read from the running counts of that small table.
     """
     by, probs = list(by), [float(p) for p in probs]
-    order = sorted(set(probs))
     data = df.withColumn("_v", F.col(col).cast("double"))
-    if bounded:
+
+    def direct(d: DataFrame) -> DataFrame:
         arr = F.array(*[F.lit(p) for p in probs])
-        return data.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile("_v", arr).alias(out), *extra)
+        return d.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile("_v", arr).alias(out), *extra)
 
+    if bounded:
+        return direct(data)
+    hot = data.groupBy(*by).agg(F.count("_v").alias("n")).filter(F.col("n") > SMALL_GROUP)
+    hot, few = literal_table(hot)
+    if few and hot.isEmpty():
+        return direct(data)
+    if not by:
+        return _large_quantiles(data, by, probs, out, extra, few)
+    marks = F.broadcast(hot.select(*by)) if few else hot.select(*by)
+    small = null_safe_join(data, marks, by, "left_anti")
+    large = null_safe_join(data, marks, by, "left_semi")
+    return direct(small).unionByName(_large_quantiles(large, by, probs, out, extra, few))
+
+
+def _large_quantiles(data: DataFrame, by: list[str], probs: list[float], out: str, extra: Sequence[Column],
+                     few: bool) -> DataFrame:
+    """Quantiles of groups of any size over column ``_v``; ``few``: the number of groups was checked to be small."""
+    order = sorted(set(probs))
     edges = [e for p in order for e in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
     sketch = data.groupBy(*by).agg(
         F.count("_v").alias("n"),
         F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_e"), *extra)
-    sketch, small = literal_table(sketch)
+    small = few
+    if few:
+        sketch = literal_table(sketch)[0]
     whole = F.col("n") <= SMALL_GROUP
     ranges = sketch.withColumn("_lo", F.when(whole, F.array(F.lit(float("-inf")))).otherwise(F.array(*[
         F.lit(float("-inf")) if p - BRACKET <= 0 else F.col("_e")[2 * k] for k, p in enumerate(order)])))
@@ -213,17 +234,17 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]
     counts = placed.groupBy(*by, "_pos", "_in").agg(F.count(F.lit(1)).alias("_c"))
     line = W.partitionBy(*by).orderBy(F.col("_pos"), F.col("_in").asc_nulls_last())
     counts = counts.withColumn("_cum", F.sum("_c").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    sized = sketch.select(*by, "n")
+    last = F.col("n") - 1
+    literal = F.array(*[F.lit(p) for p in order])
+    # ranks needed per group, computed once per group: two per quantile
+    need = F.flatten(F.transform(literal, lambda p, k: F.array(
+        F.struct(F.floor(p * last).alias("i"), k.alias("k"), F.lit(0).alias("w")),
+        F.struct(F.least(F.floor(p * last) + 1, last).alias("i"), k.alias("k"), F.lit(1).alias("w")))))
+    sized = sketch.select(*by, need.alias("_need"))
     sized = F.broadcast(sized) if small else sized
     counts = null_safe_join(counts, sized, by) if by else counts.crossJoin(sized)
-    last = F.col("n") - 1
-    wanted = F.flatten(F.array(*[
-        F.array(F.struct(F.lit(k).alias("k"), F.floor(F.lit(p) * last).alias("i"), F.lit(0).alias("w")),
-                F.struct(F.lit(k).alias("k"), F.least(F.floor(F.lit(p) * last) + 1, last).alias("i"),
-                         F.lit(1).alias("w")))
-        for k, p in enumerate(order)]))
     picked = counts.select(*by, "_in", F.explode(F.filter(
-        wanted, lambda t: (t["i"] >= F.col("_cum") - F.col("_c")) & (t["i"] < F.col("_cum")))).alias("_t"))
+        "_need", lambda t: (t["i"] >= F.col("_cum") - F.col("_c")) & (t["i"] < F.col("_cum")))).alias("_t"))
     picked = picked.select(*by, F.struct(
         F.col("_t.k").alias("k"), F.col("_t.w").alias("w"),
         F.coalesce("_in", F.raise_error(F.lit("quantile rank outside its search range")).cast("double"))
@@ -232,11 +253,11 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]
     result = (null_safe_join(sketch, found, by, "left") if by
               else sketch.join(found, F.lit(True), "left"))
 
-    def interpolated(p: float) -> Column:
-        k = order.index(p)
-        frac = F.lit(p) * last - F.floor(F.lit(p) * last)
+    def interpolated(k):
+        at = F.element_at(literal, k + 1) * last
         lo, hi = F.col("_a")[2 * k]["v"], F.col("_a")[2 * k + 1]["v"]
-        return lo + (hi - lo) * frac
+        return lo + (hi - lo) * (at - F.floor(at))
 
-    result = result.withColumn(out, F.when(F.col("n") > 0, F.array(*[interpolated(p) for p in probs])))
-    return result.drop("_e", "_a")
+    where = F.array(*[F.lit(order.index(p)) for p in probs])
+    result = result.withColumn(out, F.when(F.col("n") > 0, F.transform(where, interpolated)))
+    return result.select(*by, "n", out, *[c for c in sketch.columns if c not in (*by, "n", "_e")])

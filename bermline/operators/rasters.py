@@ -238,11 +238,10 @@ def score_batches(df: DataFrame, make_predict: Callable[[], Callable[[np.ndarray
                 m = pd.concat(list(parts), axis=1).to_numpy(float)
                 ok = pd.Series(~np.isnan(m).any(axis=1))
                 x = m[ok.to_numpy()]
-            res = pd.Series([None] * len(ok), dtype=object)
-            if len(x):
-                y = np.concatenate([np.asarray(predict(x[i:i + batch])) for i in range(0, len(x), batch)])
-                res[ok.to_numpy()] = list(y) if y.ndim > 1 else y.astype(float)
-            yield res
+            scored = [v for i in range(0, len(x), batch) for v in np.asarray(predict(x[i:i + batch]), float).tolist()]
+            rest = iter(scored)
+            res = [next(rest) if k else None for k in ok]
+            yield pd.Series(res, dtype=object if isinstance(features, str) else float)
 
     is_array = isinstance(features, str)
     kind = T.ArrayType(T.DoubleType()) if is_array else T.DoubleType()

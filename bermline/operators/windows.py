@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from bermline.operators.cells import point_pairs
 from bermline.operators.ordered import (bucket_count, order_splits, previous_values, quantiles, row_numbers,
                                         running_totals)
+from bermline.session import cut_lineage
 
 
 def along_track_distance(points: DataFrame, track: Sequence[str], order: Sequence[str], out: str = "d",
@@ -90,7 +91,8 @@ def hourly_level_change(cells: DataFrame, min_depth: float = 0.05, keys: Sequenc
     w = W.partitionBy("run", *keys).orderBy("hour")  # one cell: one row per hour
     d = cells.withColumn("_p", F.lag("zs").over(w))
     wet = (F.col("zs") - F.col("zb") > min_depth) | (F.col("_p") - F.col("zb") > min_depth)
-    d = d.filter(F.col("_p").isNotNull() & wet).withColumn("_dz", F.abs(F.col("zs") - F.col("_p")))
+    d = d.filter(F.col("_p").isNotNull() & wet).select("run", "hour", F.abs(F.col("zs") - F.col("_p")).alias("_dz"))
+    d = cut_lineage(d)  # the quantiles read it more than once; the lag over all cells is done once
     q = quantiles(d, ("run", "hour"), "_dz", (0.5,), extra=[F.max("_dz").alias("dz_max_m")])
     return q.select("run", "hour", F.col("n").alias("n_cells"), F.col("q")[0].alias("dz_median_m"), "dz_max_m")
 

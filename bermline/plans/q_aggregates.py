@@ -164,7 +164,7 @@ def a13(spark, d):
     return rounded(rounded(R.robust_by_method(p, "dz"), "length_km", places=2))
 
 
-@query("a14_grid_stats", """SELECT gx, gy, n, round(m, 6) AS median, (gx + 0.5) * 200.0 AS x_m, (gy + 0.5) * 200.0 AS y_m FROM (
+@query("a14_grid_stats", """SELECT gx, gy, n, round(m, 6) AS median, (gx + 0.5) * 200.0::DOUBLE AS x_m, (gy + 0.5) * 200.0::DOUBLE AS y_m FROM (
  SELECT CAST(floor(x / 200) AS BIGINT) AS gx, CAST(floor(y / 200) AS BIGINT) AS gy, count(h) AS n, quantile_cont(h, 0.5) AS m FROM points GROUP BY 1, 2) WHERE n >= 100""")
 def a14(spark, d):
     return rounded(R.grid_stats(V.points(spark, d), "h", 200.0, 100))
@@ -302,7 +302,7 @@ def a30(spark, d):
     return rounded(M.five_numbers(V.points(spark, d), ("h", "price"), ("flag",)))
 
 
-@query("a31_binned_median", """SELECT (b + 0.5) * 500.0 AS mid, n, round(m, 6) AS median FROM (SELECT CAST(floor(price / 500.0) AS BIGINT) AS b, count(h) AS n, quantile_cont(h, 0.5) AS m
+@query("a31_binned_median", """SELECT (b + 0.5) * 500.0::DOUBLE AS mid, n, round(m, 6) AS median FROM (SELECT CAST(floor(price / 500.0) AS BIGINT) AS b, count(h) AS n, quantile_cont(h, 0.5) AS m
  FROM points GROUP BY 1) WHERE n >= 15""")
 def a31(spark, d):
     return rounded(R.binned_median(V.points(spark, d), "price", "h", 500.0))

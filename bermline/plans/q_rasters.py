@@ -245,7 +245,7 @@ def r15(spark, d):
 
 @query("r16_connected_components", f"WITH {_CC} SELECT raster_id, u // 8 AS row, u % 8 AS col, root // 8 AS root_row, root % 8 AS root_col FROM c")
 def r16(spark, d):
-    c = MO.connected_components(sparse_mask(spark, d), 8, K, tile=4)
+    c = MO.connected_components(sparse_mask(spark, d), 8, K)
     return c.select("raster_id", "row", "col", F.col("component.row").alias("root_row"), F.col("component.col").alias("root_col"))
 
 

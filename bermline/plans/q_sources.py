@@ -179,3 +179,25 @@ def t3(spark, d):
     return rounded(o.select("run", F.floor(F.unix_micros("hour_start") / 3600000000).alias("hour"), "volume_mil_m3"))
 
 
+@query("t3_stream_steadiness", """WITH h AS (SELECT event_type AS run, date_trunc('hour', ts) AS h, sum(value) / 1000 AS v, max(value) AS z FROM events GROUP BY 1, 2),
+ l AS (SELECT *, (v - lag(v) OVER (PARTITION BY run ORDER BY h)) * 1e6 / 3600.0 AS dv FROM h), q AS (SELECT event_type AS run, max(value) * 100 AS q_in FROM events GROUP BY 1)
+ SELECT run, CAST(epoch_us(h) // 3600000000 AS BIGINT) AS hour, round(dv, 4) AS dv, coalesce(abs(dv / q_in * 100) < 25.0, z < 0.05) AS steady FROM l JOIN q USING (run)
+ WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def t3s(spark, d):
+    """The change between closed hours, kept in one number of state per run."""
+    p = scratch(spark)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        inflow = V.table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg((F.max("value") * 100).alias("q_in"))
+        s = ST.stream_steadiness(ST.hourly_volumes(event_stream(spark, d, p)), inflow, 25.0)
+        q = s.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/ck").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+    o = spark.read.parquet(f"{p}/out")
+    return rounded(o.select("run", F.floor(F.unix_micros("hour_start") / 3600000000).alias("hour"), F.round("dV_dt_m3s", 4).alias("dv"), "steady"))

@@ -16,6 +16,10 @@ def session(app: str = "bermline", master: str | None = None, **conf) -> SparkSe
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a hot cell even where the next aggregation then needs a shuffle of its own
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # grouped percentiles and lists: many small groups per task are normal here
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({k: str(v) for k, v in conf.items()})

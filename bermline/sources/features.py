@@ -52,9 +52,9 @@ def read_features(spark: SparkSession, paths: str | Sequence[str], bbox: Sequenc
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     if epsg is None:
         return out
-    from bermline.functions.crs import PROJECTIONS
     moved = F.col(parts)
-    for source in (4326, *PROJECTIONS):
+    found = [r["epsg"] for r in out.select("epsg").distinct().limit(64).collect()]  # systems in use, a handful
+    for source in sorted(e for e in found if e is not None):
         if source != epsg:
             moved = F.when(F.col("epsg") == source, F.transform(F.col(parts), lambda part: F.transform(
                 part, lambda q: reproject_columns(q["x"], q["y"], source, epsg)))).otherwise(moved)
