@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bermline.llm.ngram_join import near_duplicates
 from bermline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from bermline.llm.substrings import remove_repeats
-from bermline.llm.text import SPACED
+from bermline.llm.text import ALNUM, SPACED
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,18 @@ FROM w LEFT JOIN kept USING (doc_id)"""
 @query("op6_substring_dedup", OP6_SQL)
 def op6(spark, d):
     return remove_repeats(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}') AS ws FROM documents),
+     g AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS k FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) r(i) WHERE len(ws) > 0),
+     sz AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+     pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+     link AS MATERIALIZED (SELECT a, b FROM pairs JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+     reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
+SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM link WHERE link.a = reach.doc_id) AS n_links FROM reach GROUP BY doc_id"""
+
+
+@query("op2_ngram_jaccard_join", OP2_SQL)
+def op2(spark, d):
+    return near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
