@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bermline.llm.decontamination import contamination
 from bermline.llm.ngram_join import near_duplicates
 from bermline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from bermline.llm.substrings import remove_repeats
@@ -43,3 +44,23 @@ SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM link WHERE link.a =
 @query("op2_ngram_jaccard_join", OP2_SQL)
 def op2(spark, d):
     return near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}') AS ws FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}') AS ws FROM benchmark),
+     win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i : i + least(len(ws), 13) - 1], ' ') AS k FROM b, unnest(range(1, greatest(len(ws) - 11, 2))) r(i) WHERE len(ws) > 0),
+     sizes AS (SELECT DISTINCT n FROM win),
+     places AS (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS k FROM w, sizes, unnest(range(1, len(ws) + 1)) r(i) WHERE i + n - 1 <= len(ws)),
+     hits AS (SELECT DISTINCT doc_id, i, places.n, item_id FROM places JOIN win USING (k)),
+     cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+     named AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(t, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@query("op5_benchmark_decontamination", OP5_SQL)
+def op5(spark, d):
+    found = contamination(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
