@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bermline.llm.decontamination import contamination
+from bermline.llm.licenses import scan_licenses
 from bermline.llm.ngram_join import near_duplicates
 from bermline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from bermline.llm.substrings import remove_repeats
@@ -64,3 +65,8 @@ FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)"""
 def op5(spark, d):
     found = contamination(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op4_license_scans")
+def op4(spark, d):
+    return scan_licenses(table(spark, d, "documents").select("doc_id", "text"))
