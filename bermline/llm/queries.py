@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from bermline.llm.decontamination import contamination
 from bermline.llm.licenses import scan_licenses
 from bermline.llm.ngram_join import near_duplicates
+from bermline.llm.quality import THRESHOLD, fit_quality, score_quality
 from bermline.llm.registry import QUERIES, SQL, query  # noqa: F401
+from bermline.llm.sampling import held_out
 from bermline.llm.substrings import remove_repeats
 from bermline.llm.text import ALNUM, SPACED
 
@@ -70,3 +72,10 @@ def op5(spark, d):
 @query("op4_license_scans")
 def op4(spark, d):
     return scan_licenses(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("op3_quality_classifier")
+def op3(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, d, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
