@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bermline.llm.decontamination import contamination
+from bermline.llm.language import fit_languages, identify
 from bermline.llm.licenses import scan_licenses
 from bermline.llm.ngram_join import near_duplicates
 from bermline.llm.quality import THRESHOLD, fit_quality, score_quality
@@ -79,3 +80,10 @@ def op3(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(docs, table(spark, d, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query("op1_language_id")
+def op1(spark, d):
+    docs = table(spark, d, "documents")
+    told = identify(docs, fit_languages(docs), keep=["doc_id"])
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
