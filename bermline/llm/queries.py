@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bermline.llm.decontamination import contamination
+from bermline.llm.fingerprints import compare_neighbours
 from bermline.llm.language import fit_languages, identify
 from bermline.llm.licenses import scan_licenses
 from bermline.llm.ngram_join import near_duplicates
@@ -87,3 +88,9 @@ def op1(spark, d):
     docs = table(spark, d, "documents")
     told = identify(docs, fit_languages(docs), keep=["doc_id"])
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op7_document_fingerprints")
+def op7(spark, d):
+    seen = compare_neighbours(table(spark, d, "documents").select("doc_id", "text"))
+    return seen.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
