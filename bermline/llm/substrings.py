@@ -10,20 +10,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bermline.llm.joins import split_by_keys
 from bermline.llm.text import list_values, rolling, signed, slices, spans, split_words
+from bermline.session import cut_lineage
 
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)  # a perfect difference set: every difference modulo 31 occurs
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def _passages(window: int):
     """Per row with a window: hash of all its words, and its anchors."""
     size = window - PERIOD + 1
@@ -40,10 +38,8 @@ def _passages(window: int):
                 pos = at - w.first[row]
                 keep = cover[pos % PERIOD] & (counts[row] >= window)
                 at, row, pos = at[keep], row[keep], pos[keep]
-                ids = b.column(0).slice(r0, r1 - r0).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(rolling(w.hash, size)[at])), pa.array(signed(whole[row])), ids, pa.array(pos.astype(np.int32))],
-                    names=["_anchor", "_whole", "_id", "_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(rolling(w.hash, size)[at])), pa.array(signed(whole[row])), pa.array(pos.astype(np.int32))],
+                                                 names=["_anchor", "_whole", "_pos"])
     return run
 
 
@@ -129,36 +125,37 @@ def remove_repeats(docs: DataFrame, window: int = 50, id: str = "doc_id", text:
     """Every row with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space).
 
     Words are runs without white space. A word goes if it is covered by a window of ``window`` consecutive words whose
-    sequence also starts in a row with a smaller id; windows are judged on the input. Rows that share an id don't
-    remove each other's words; a null id counts as larger than all others, but not as larger than another null.
-    Null and empty texts have no words. Input columns named like the three results are replaced; all others pass.
+    sequence also starts in a row with a smaller id; windows are judged on the input. Ids are whole numbers; rows that
+    share an id don't remove each other's words, and a null id counts as the largest possible one. Null and empty texts
+    have no words. Input columns named like the three results are replaced; all others pass.
 
     Windows are compared by 128 bits of hash. Copies of one text count once: a copy of a smaller id's text goes whole.
-    Nothing is collected; a passage that many documents share is one aggregated row per task and a join that AQE splits.
+    A passage that many documents share is one aggregated row per task and a join that AQE splits. Whole texts are
+    shuffled only for documents that have something to compare or to lose.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD}")
-    kind = docs.schema[id].dataType.simpleString()
-    slim = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    anchors = slim.mapInArrow(_passages(window), f"_anchor long, _whole long, _id {kind}, _pos int")
+    key = F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)).alias("_id")
+    slim = docs.select(key, F.col(text).cast("string").alias("_text"))
+    anchors = slim.mapInArrow(_passages(window), "_anchor long, _whole long, _pos int")
     shared = anchors.groupBy("_anchor").agg(F.min("_whole").alias("_a"), F.max("_whole").alias("_b")).filter("_a <> _b").select("_anchor")
-    # one row for a place in a text, however many copies it has; copies differ in id alone
-    marks = (anchors.join(shared, "_anchor").groupBy("_whole", "_pos").agg(F.min("_id").alias("_id"))
-             .groupBy("_whole").agg(F.min("_id").alias("_mid"), F.collect_list("_pos").alias("_marks")))
-    windows = (slim.join(marks, _same(slim["_id"], marks["_mid"]), "inner").select("_id", "_text", "_whole", "_marks")
-               .mapInArrow(_windows(window), f"_w1 long, _w2 long, _id {kind}, _whole long, _pos int"))
-    firsts = (windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max"), F.count("_id").alias("_ids"), F.count(F.lit(1)).alias("_n"))
-              .filter("_min < _max OR (_ids > 0 AND _ids < _n)").select("_w1", "_w2", "_min"))
-    gone = (windows.join(firsts, ["_w1", "_w2"]).filter("_id > _min OR _id IS NULL")
-            .groupBy("_id", "_whole").agg(F.collect_set("_pos").alias("_starts")))
-    wholes = slim.mapInArrow(_wholes(window), f"_id {kind}, _whole long")
-    earliest = wholes.groupBy("_whole").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max"), F.count("_id").alias("_ids"), F.count(F.lit(1)).alias("_n")).filter(
-        "_min < _max OR (_ids > 0 AND _ids < _n)").select("_whole", "_min")
-    copies = wholes.join(earliest, "_whole").filter("_id > _min OR _id IS NULL").select("_id", "_whole", F.lit(None).cast("array<int>").alias("_starts"))
-    # whole copies have no windows of their own, so an id and a text have one action
-    actions = gone.unionByName(copies.distinct()).groupBy("_id").agg(F.collect_list(F.struct("_whole", "_starts")).alias("_actions")).withColumnRenamed("_id", "_aid")
-    full = docs.drop("n_words", "n_removed", "kept_text")
-    columns = full.columns
-    joined = full.join(actions, _same(full[id], actions["_aid"]), "left").drop("_aid")
+    wholes = slim.mapInArrow(_wholes(window), "_id long, _whole long")
+    earliest = cut_lineage(wholes.groupBy("_whole").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last")))
+    # one row for a text, however many copies it has
+    marks = anchors.join(shared, "_anchor").groupBy("_whole").agg(F.collect_set("_pos").alias("_marks"))
+    marks = cut_lineage(marks.join(earliest.select("_whole", "_id"), "_whole"))
+    marked, _ = split_by_keys(slim, "_id", marks.select("_id").distinct())
+    windows = marked.join(marks, "_id").select("_id", "_text", "_whole", "_marks").mapInArrow(_windows(window), "_w1 long, _w2 long, _id long, _whole long, _pos int")
+    firsts = windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max")).filter("_min < _max").select("_w1", "_w2", "_min")
+    gone = windows.join(firsts, ["_w1", "_w2"]).filter("_id > _min").groupBy("_id", "_whole").agg(F.collect_set("_pos").alias("_starts"))
+    copies = (wholes.join(earliest.filter("_id < _last").select("_whole", F.col("_id").alias("_min")), "_whole").filter("_id > _min")
+              .select("_id", "_whole", F.lit(None).cast("array<int>").alias("_starts")).distinct())
+    # a whole copy has no windows of its own, so an id and a text have one action
+    actions = cut_lineage(gone.unionByName(copies).groupBy("_id").agg(F.collect_list(F.struct("_whole", "_starts")).alias("_actions")))
+    full = docs.drop("n_words", "n_removed", "kept_text").withColumn("_id", key)
+    touched, others = split_by_keys(full, "_id", actions.select("_id"))
+    every = touched.join(actions, "_id", "left").select(*full.columns, "_actions")
+    if others is not None:
+        every = every.unionByName(others.withColumn("_actions", F.lit(None).cast(actions.schema["_actions"].dataType)))
     out = T.StructType([*full.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_kept(window, columns.index(text), columns), out)
+    return every.mapInArrow(_kept(window, full.columns.index(text), full.columns), out).drop("_id")
