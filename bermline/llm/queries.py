@@ -8,6 +8,7 @@ from bermline.llm.decontamination import contamination
 from bermline.llm.fingerprints import compare_neighbours
 from bermline.llm.language import fit_languages, identify
 from bermline.llm.licenses import scan_licenses
+from bermline.llm.mixing import mix_sources
 from bermline.llm.ngram_join import near_duplicates
 from bermline.llm.quality import THRESHOLD, fit_quality, score_quality
 from bermline.llm.registry import QUERIES, SQL, query  # noqa: F401
@@ -94,3 +95,8 @@ def op1(spark, d):
 def op7(spark, d):
     seen = compare_neighbours(table(spark, d, "documents").select("doc_id", "text"))
     return seen.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op8_mixing_sources_to_target_weights")
+def op8(spark, d):
+    return mix_sources(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
