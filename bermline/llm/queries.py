@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bermline.llm.chat import format_conversations, masked_text, read_turns
 from bermline.llm.decontamination import contamination
 from bermline.llm.fingerprints import compare_neighbours
 from bermline.llm.language import fit_languages, identify
@@ -100,3 +101,26 @@ def op7(spark, d):
 @query("op8_mixing_sources_to_target_weights")
 def op8(spark, d):
     return mix_sources(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(replace(replace(role, '\', '\\'), '<|', '\<|')) + length(replace(replace(text, '\', '\\'), '<|', '\<|')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+@query("op10_chat_formatting", OP10_SQL)
+def op10(spark, d):
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    made = format_conversations(table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+    loss = masked_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end"))
+    digests = made.select("conv_id", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    turns = read_turns(made).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("_turns"))
+    text = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return digests.join(turns, digests["conv_id"].eqNullSafe(turns["conv_id"])).select(
+        digests["conv_id"], "n_turns", F.sha2(text, 256).alias("turns_sha256"), "loss_chars", "loss_sha256", "formatted_chars")
