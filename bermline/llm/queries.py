@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bermline.llm.chat import format_conversations, masked_text, read_turns
 from bermline.llm.decontamination import contamination
+from bermline.llm.extraction import extract, fit_extractor
 from bermline.llm.fingerprints import compare_neighbours
 from bermline.llm.language import fit_languages, identify
 from bermline.llm.licenses import scan_licenses
@@ -124,3 +125,8 @@ def op10(spark, d):
     text = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return digests.join(turns, digests["conv_id"].eqNullSafe(turns["conv_id"])).select(
         digests["conv_id"], "n_turns", F.sha2(text, 256).alias("turns_sha256"), "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query("op9_html_extraction")
+def op9(spark, d):
+    return extract(table(spark, d, "pages"), fit_extractor(spark), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
