@@ -136,7 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     return w
 
 
-def _score(weights: np.ndarray):
+def _score(weights: np.ndarray, name: str):
     at = np.flatnonzero(weights).astype(np.int32)
     values = weights[at].astype(np.float64)
 
@@ -144,21 +144,20 @@ def _score(weights: np.ndarray):
         w = np.zeros(1 << BITS)
         w[at] = values
         for b in batches:
-            out = []
+            told = []
             for _, _, data, offsets in slices(b.column(b.num_columns - 1), 1 << 20):
                 index, counts = features(data, offsets)
                 row = np.repeat(np.arange(len(counts)), counts)
-                out.append(1 / (1 + np.exp(-np.clip(np.bincount(row, w[index], len(counts)) / np.sqrt(np.maximum(counts, 1)), -30, 30))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names[:-1], "score"])
+                told.append(1 / (1 + np.exp(-np.clip(np.bincount(row, w[index], len(counts)) / np.sqrt(np.maximum(counts, 1)), -30, 30))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(told) if told else np.zeros(0))], names=[*b.schema.names[:-1], name])
     return run
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all but the text) with ``score`` from 0 to 1; higher: label 1 is likelier.
+def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The columns ``keep`` (default: all but the text) with ``out`` from 0 to 1; higher: label 1 is likelier.
 
-    Only the text is looked at. A null text scores as an empty one. A column named ``score`` is replaced.
+    Only the whole text is looked at. A null text scores as an empty one. An input column named ``out`` is replaced.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != "score" and (keep is not None or c != text)]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c != out and (keep is not None or c != text)]
     slim = docs.select(*keep, F.col(text).cast("string").alias("_scored"))
-    return slim.mapInArrow(_score(weights), T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
-
+    return slim.mapInArrow(_score(weights, out), T.StructType([*slim.schema.fields[:-1], T.StructField(out, T.DoubleType())]))
