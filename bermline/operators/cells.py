@@ -168,8 +168,7 @@ def within_distance_best(left: DataFrame, right: DataFrame, radius: float = 500.
     return best.select(left_id, *[F.col(f"_l.{c}").alias(c) for c in mine], *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, right_id: str, start_radius: float | None = None,
-                 max_rounds: int = 40) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, right_id: str, start_radius: float | None = None) -> DataFrame:
     """Nearest right point for every left row (smallest id on ties): adds ``right_id, d``.
 
     Distinct left positions are searched in rounds of doubling radius; a match
@@ -187,7 +186,7 @@ def nearest_join(left: DataFrame, right: DataFrame, right_id: str, start_radius:
         reach = ((e[1] - e[0]) ** 2 + (e[3] - e[2]) ** 2) ** 0.5
         # without a stated radius: about five right points are expected within it
         radius = start_radius or max((5 * (e[1] - e[0]) * (e[3] - e[2]) / (3.14 * n)) ** 0.5, reach / n, 1e-9)
-        for _ in range(max_rounds):
+        while True:  # the radius doubles until it spans the data
             pairs = point_pairs(todo, refs, radius)
             hit = cut_lineage(pairs.groupBy("x", "y").agg(F.min(F.struct("d", right_id)).alias("_m")))
             found.append(hit)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bermline.session import cut_lineage
 
 
-def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down", max_rounds: int = 64) -> DataFrame:
+def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down") -> DataFrame:
     """Terminal reach of every reach: columns ``id, basin_id``.
 
     A reach ends where its pointer is missing, <= 0 or leaves the set; the
@@ -26,7 +26,7 @@ def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down"
     # low: smallest id met so far, needed only for cycles; open: the pointer has not come to rest
     cur = cut_lineage(start.select("id", "ptr", F.least("id", "ptr").alias("low"), (F.col("id") != F.col("ptr")).alias("open")))
     n, rounds = cur.count(), 0
-    while rounds < max_rounds and not cur.filter("open").isEmpty():
+    while not cur.filter("open").isEmpty():
         # open after more than n steps: in a cycle or behind one
         if 2 ** rounds > 2 * n:
             break
@@ -41,7 +41,7 @@ def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down"
     return done.select(F.col("id").alias(id), F.when(F.col("open"), F.col("_cl")).otherwise(F.col("ptr")).alias("basin_id"))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``a, b`` pairs: ``id, component`` (smallest id), by alternating star contraction.
 
     Each round is two aggregations and two joins on vertex keys: no neighbour
@@ -50,7 +50,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     vertices = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut_lineage(e)
-    for _ in range(max_rounds):
+    while True:  # ends when a round changes nothing; the rounds grow with the logarithm of the size
         # large star: every neighbour larger than u is connected to the smallest neighbour of u (or u itself)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -66,8 +66,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return vertices.join(root, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage: float = 0.93, scene: str = "scene_id",
-                    max_scenes: int = 100_000) -> DataFrame:
+def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage: float = 0.93, scene: str = "scene_id") -> DataFrame:
     """Greedy groups of scenes that each cover the area: ``scene, grp, step, coverage, accepted``.
 
     The next scene is the one with the largest new area (smallest id on ties);
@@ -79,7 +78,7 @@ def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage:
     total = aoi.count()
     pool = cut_lineage(scene_cells.select(scene, "cx", "cy").distinct().join(aoi, ["cx", "cy"], "left_semi"))
     rows, grp = [], 0
-    while total and len(rows) < max_scenes:
+    while total:
         free, covered, members = pool, 0, []
         while covered < min_coverage * total:
             best = free.groupBy(scene).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), scene).head()
@@ -113,33 +112,38 @@ def coalesce_columns(df: DataFrame, first: str, second: str, out: str) -> DataFr
     return df.withColumn("_o", F.coalesce(first, second)).drop(first, second).withColumnRenamed("_o", out)
 
 
-def mutual_matching(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def mutual_matching(pairs: DataFrame) -> DataFrame:
     """Greedy matching of ``a, b, gap`` (shortest gap first, ids break ties), each end used once.
 
-    A pair that is the best of both its ends is what the greedy order would take
-    next among its neighbours, so all such pairs are accepted at once and their
-    ends removed; rounds repeat until no pair is left.
+    A pair that is the best of both its ends is what the greedy order would take. A pair that is the best of one end and
+    the second of the other depends on one pair alone, the other end's best: it is taken exactly if that one is not. Such
+    pairs form lists that end at a pair sure to be taken, so the parity of the place decides all of them in one round,
+    however long a list is. Rounds repeat until no pair is left.
     """
-    p = cut_lineage(pairs.select("a", "b", "gap"))
+    p = cut_lineage(pairs.select(F.struct("gap", "a", "b").alias("o")).distinct())
     taken = []
-    for _ in range(max_rounds):
-        if p.isEmpty():
-            break
-        order = F.struct("gap", "a", "b")
-        ends = p.select(F.col("a").alias("e"), order.alias("o")).union(p.select(F.col("b").alias("e"), order.alias("o")))
-        best = ends.groupBy("e").agg(F.min("o").alias("o"))
-        ok = best.groupBy("o").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("o.a", "o.b", "o.gap")
-        ok = cut_lineage(ok)
+    while not p.isEmpty():
+        ends = p.select("o", F.explode(F.array("o.a", "o.b")).alias("e")).distinct()
+        best = ends.groupBy("e").agg(F.min("o").alias("best"))
+        rest = ends.join(best, "e").filter("o <> best")
+        second = rest.groupBy("e").agg(F.min("o").alias("second"))
+        place = ends.join(best, "e").join(second, "e", "left").select(
+            "o", F.when(F.col("o") == F.col("best"), 0).when(F.col("o") == F.col("second"), 1).otherwise(2).alias("place"), "best")
+        one = place.groupBy("o").agg(F.sum("place").alias("ahead"), F.max(F.when(F.col("place") == 1, F.col("best"))).alias("nxt"))
+        links = one.filter("ahead <= 1").select(F.col("o").alias("id"), "nxt")
+        # lists that lead to a pair with more ahead of it are not decided in this round: list_order leaves them out
+        sure = list_order(links)
+        ok = cut_lineage(sure.filter("hops % 2 = 0").select("id.a", "id.b", "id.gap"))
         taken.append(ok)
-        used = ok.select(F.col("a").alias("e")).union(ok.select(F.col("b").alias("e")))
-        p = cut_lineage(p.join(used, F.col("a") == F.col("e"), "left_anti").join(used, F.col("b") == F.col("e"), "left_anti"))
-    out = taken[0] if taken else p
+        used = ok.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+        p = cut_lineage(p.join(used, F.col("o.a") == F.col("e"), "left_anti").join(used, F.col("o.b") == F.col("e"), "left_anti"))
+    out = taken[0] if taken else p.select("o.a", "o.b", "o.gap")
     for t in taken[1:]:
         out = out.unionByName(t)
     return out
 
 
-def list_order(links: DataFrame, value: str | None = None, max_rounds: int = 64) -> DataFrame:
+def list_order(links: DataFrame, value: str | None = None) -> DataFrame:
     """Positions in singly linked lists: ``id, nxt`` (NULL at the end) -> ``id, last, hops`` (and ``total`` of ``value``
     from the node to the end, the node included). Pointer doubling; nodes on cycles are left out.
     """
@@ -148,9 +152,9 @@ def list_order(links: DataFrame, value: str | None = None, max_rounds: int = 64)
                        F.when(F.col("nxt").isNull(), F.col("id")).alias("last"))
     cur = cut_lineage(cur)
     n = cur.count()
-    for k in range(max_rounds):
-        if cur.filter("ptr IS NOT NULL").isEmpty() or 2 ** k > 2 * max(n, 1):
-            break
+    k = 0
+    while not cur.filter("ptr IS NOT NULL").isEmpty() and 2 ** k <= 2 * max(n, 1):  # what is open then is on a cycle
+        k += 1
         hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("hops").alias("_h"), F.col("total").alias("_t"), F.col("last").alias("_l"))
         nxt = cur.filter("ptr IS NOT NULL").join(hop, F.col("ptr") == F.col("_i")).select(
             "id", F.col("_p").alias("ptr"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("total") + F.col("_t")).alias("total"), F.col("_l").alias("last"))

@@ -151,7 +151,7 @@ def thin_step(a: np.ndarray, second: bool) -> np.ndarray:
     return (a == 1) & (total >= 2) & (total <= 6) & (turns == 1) & c
 
 
-def skeletonize(pixels: DataFrame, keys: Sequence[str] = (), tile: int = 256, steps: int = 16, max_rounds: int = 1000) -> DataFrame:
+def skeletonize(pixels: DataFrame, keys: Sequence[str] = (), tile: int = 256, steps: int = 16) -> DataFrame:
     """Thinning of the whole raster at once, tile by tile.
 
     A deletion depends on pixels one step away per sub-iteration, so a tile with
@@ -170,18 +170,19 @@ def skeletonize(pixels: DataFrame, keys: Sequence[str] = (), tile: int = 256, st
         core = (slice(halo, halo + tile), slice(halo, halo + tile))
         changed = False
         for _ in range(steps):
-            changed = False
+            changed = any_kill = False
             for second in (False, True):
                 kill = thin_step(a, second)
                 changed = changed or bool(kill[core].any())
+                any_kill = any_kill or bool(kill.any())
                 a[kill] = 0
-            if not changed and not kill.any():
+            if not any_kill:  # neither half deleted anything, in the halo neither
                 break
         r, c = np.nonzero(a[core])
         out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(r) for k in keys})
         return out.assign(row=r + tr * tile, col=c + tc * tile, _ch=changed)[[f.name for f in schema.fields]]
 
-    for _ in range(max_rounds):
+    while True:  # every round but the last deletes a pixel
         cur = cut_lineage(with_tiles(cur.drop("_ch"), tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema))
         if cur.filter("_ch").isEmpty():
             break
@@ -346,7 +347,7 @@ def _per_component():
     return Window.partitionBy("component").orderBy("chain")
 
 
-def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = (), max_rounds: int = 100) -> DataFrame:
+def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """Remove end branches of at most ``min_px`` pixels that meet a junction, until none is left.
 
     In each round the branches are found on the contracted graph; of branches
@@ -354,7 +355,7 @@ def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = (),
     """
     keys = list(keys)
     cur = cut_lineage(_long(skeleton, keys).distinct())
-    for _ in range(max_rounds):
+    while True:  # every round but the last removes a pixel
         edges, steps = skeleton_chains(cur, keys)
         ends = pixel_degree(cur, keys).select(F.struct(*keys, "row", "col").alias("px"), "degree")
         e = edges.join(ends.select(F.col("px").alias("a"), F.col("degree").alias("da")), "a").join(

@@ -8,7 +8,7 @@ from bermline.plans.q_rasters import tile_grid
 from bermline.plans.q_rows import domain
 from bermline.plans.registry import query, rounded
 
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 L = lambda c: F.col(c).cast("long").alias(c)
 
 
@@ -33,7 +33,7 @@ def pts(spark, d):
  (SELECT *, unnest(range(CAST(floor((y - 12) / 50) AS BIGINT), CAST(floor((y + 12) / 50) AS BIGINT) + 1)) AS j FROM (SELECT x + 100 AS x, y + 100 AS y FROM points)))) GROUP BY 1, 2""")
 def j0(spark, d):
     p = pts(spark, d).select((F.col("x") + 100).alias("x"), (F.col("y") + 100).alias("y"))
-    return C.cell_keys(p, 50.0, 12.0).groupBy("cx", "cy").agg(N)
+    return C.cell_keys(p, 50.0, 12.0).groupBy("cx", "cy").agg(N())
 
 
 @query("j1_intersects_join", f"""SELECT DISTINCT p.comid, e.line_id FROM reaches p JOIN line_edges e ON e.x0 <= p.x + 20 AND e.x1 >= p.x - 20 AND e.y0 <= p.y + 20 AND e.y1 >= p.y - 20
@@ -69,7 +69,7 @@ def j4l(spark, d):
 @query("j5_assign_to_segments", f"SELECT line_id AS segment_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, line_id) AS rn FROM {_PL(7)}) WHERE rn = 1 GROUP BY 1")
 def j5(spark, d):
     s = V.lines(spark, d).withColumnRenamed("line_id", "segment_id")
-    return C.assign_to_segments(pts(spark, d), s, 7.0).groupBy("segment_id").agg(N)
+    return C.assign_to_segments(pts(spark, d), s, 7.0).groupBy("segment_id").agg(N())
 
 
 @query("j6_within_buffer_semi", f"SELECT DISTINCT id FROM {_PL(8)}")
@@ -79,7 +79,7 @@ def j6(spark, d):
 
 @query("j6_within_buffer_share", f"SELECT near, count(*) AS n FROM (SELECT id, id IN (SELECT id FROM {_PL(3)}) AS near FROM points) GROUP BY 1")
 def j6f(spark, d):
-    return C.within_buffer_semi(pts(spark, d), V.lines(spark, d), 3.0, flag="near").groupBy("near").agg(N)
+    return C.within_buffer_semi(pts(spark, d), V.lines(spark, d), 3.0, flag="near").groupBy("near").agg(N())
 
 
 @query("j7_clip_lines", """SELECT line_id, polygon_id, edge, round((tb - ta) * len, 4) AS len FROM (SELECT line_id, polygon_id, CAST(edge AS BIGINT) AS edge, greatest(0.0, least((p0-x0)/(x1-x0), (p0+60-x0)/(x1-x0)), least((100.0-y0)/(y1-y0), (1500.0-y0)/(y1-y0))) AS ta,

@@ -11,7 +11,7 @@ from bermline.plans import views as V
 from bermline.plans.registry import mix, query, rounded
 
 K = ["raster_id"]
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 L = lambda c: F.col(c).cast("long").alias(c)
 
 

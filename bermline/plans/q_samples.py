@@ -6,7 +6,7 @@ from bermline.operators import samples as S
 from bermline.plans import views as V
 from bermline.plans.registry import MIX, mix, query
 
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 
 
 def grouped(spark, d):
@@ -26,7 +26,7 @@ def gmix():
 @query("g1_group_split", f"SELECT split, region, count(*) AS n, count(DISTINCT comid) AS n_groups FROM (SELECT g.*, CASE WHEN rk <= floor(n * 0.75::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM {_G} g JOIN {_RANK} r USING (region, comid)) GROUP BY 1, 2")
 def g1(spark, d):
     s = S.group_split(grouped(spark, d), ["region", "comid"], u=gmix())
-    return s.groupBy("split", "region").agg(N, F.count_distinct("comid").alias("n_groups"))
+    return s.groupBy("split", "region").agg(N(), F.count_distinct("comid").alias("n_groups"))
 
 
 @query("g2_three_way_split", f"""SELECT region, comid, k, CASE WHEN rk <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rk <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split
@@ -109,7 +109,7 @@ def g10(spark, d):
 @query("g11_sample_pixels", f"""SELECT count(*) AS n, count(DISTINCT vec_id) AS n_patches, CAST(sum(vec_id) AS BIGINT) AS s FROM (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY {MIX.format(k='vec_id')}, vec_id) AS rk FROM patch_meta) WHERE rk <= 300), range(16)""")
 def g11(spark, d):
     s = S.sample_pixels(V.patches(spark, d), 300, 16, "vec_id", u=mix(F.col("vec_id")))
-    return s.agg(N, F.count_distinct("vec_id").alias("n_patches"), F.sum("vec_id").alias("s"))
+    return s.agg(N(), F.count_distinct("vec_id").alias("n_patches"), F.sum("vec_id").alias("s"))
 
 
 @query("g12_patch_centres")

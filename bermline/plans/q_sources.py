@@ -12,7 +12,7 @@ from bermline.sources import lidar as LI
 from bermline.sources import scenes as SC
 from bermline.streaming import streams as ST
 
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 
 
 def scratch(spark) -> str:
@@ -73,7 +73,7 @@ def s4(spark, d):
 def s5(spark, d):
     p = scratch(spark)
     S.write_patches(channel_patches(spark, d).withColumn("split", F.expr("CASE WHEN CAST(substr(patch_id, 3) AS BIGINT) % 4 = 0 THEN 'val' ELSE 'train' END")), p)
-    return spark.read.parquet(p).groupBy("region", "split").agg(N)
+    return spark.read.parquet(p).groupBy("region", "split").agg(N())
 
 
 @query("s7_write_raster", "SELECT count(*) AS n, count(value) AS n_valid, CAST(max(row) AS BIGINT) AS max_row, 10.0::DOUBLE AS res, 'value' AS bands FROM mosaic")
@@ -82,7 +82,7 @@ def s7(spark, d):
     m = V.mosaic(spark, d)
     S.write_raster(m, p, {"x0": 0.0, "y0": 100.0, "res": 10.0, "epsg": 2180}, -9999.0)
     px, meta = S.read_raster(spark, p)
-    return px.agg(N, F.count("value").alias("n_valid"), F.max("row").alias("max_row")).crossJoin(meta.select("res", F.array_join("bands", ",").alias("bands")))  # one row each
+    return px.agg(N(), F.count("value").alias("n_valid"), F.max("row").alias("max_row")).crossJoin(meta.select("res", F.array_join("bands", ",").alias("bands")))  # one row each
 
 
 def granules(spark, d):
@@ -146,7 +146,7 @@ def t1(spark, d):
         g.filter(F.col("seg") % 2 == k).write.mode("append").parquet(f"{p}/in")
         ST.ingest_granules(spark, f"{p}/in", f"{p}/out", f"{p}/ck")
     o = spark.read.parquet(f"{p}/out")
-    return o.groupBy("granule", "res").agg(N, F.round(F.sum("h_te_ellipsoid"), 2).alias("h"))
+    return o.groupBy("granule", "res").agg(N(), F.round(F.sum("h_te_ellipsoid"), 2).alias("h"))
 
 
 def event_stream(spark, d, p, parts=3):

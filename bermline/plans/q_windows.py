@@ -7,7 +7,7 @@ from bermline.operators.cells import ring_join
 from bermline.plans import views as V
 from bermline.plans.registry import query, rounded
 
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 
 
 @query("w1_along_track_distance", """SELECT event_id, track, round(sum(s) OVER (PARTITION BY track ORDER BY t, event_id), 4) AS d FROM
@@ -76,7 +76,7 @@ def w7d(spark, d):
 
 @query("w8_suffix_sum", "SELECT flag, h, CAST(sum(n) OVER (PARTITION BY flag ORDER BY h DESC) AS BIGINT) AS above FROM (SELECT flag, h, count(*) AS n FROM points GROUP BY 1, 2)")
 def w8(spark, d):
-    t = V.points(spark, d).groupBy("flag", "h").agg(N)
+    t = V.points(spark, d).groupBy("flag", "h").agg(N())
     return W.suffix_sum(t, ["h"], {"above": "n"}, ["flag"]).select("flag", "h", "above")
 
 
@@ -96,7 +96,7 @@ def w10(spark, d):
  ON r.x BETWEEN p.x - 40 AND p.x + 40 AND r.y BETWEEN p.y - 40 AND p.y + 40) WHERE d BETWEEN 10 AND 40""")
 def j10(spark, d):
     r = ring_join(V.points(spark, d).select("id", "x", "y"), V.reaches(spark, d).select(F.col("comid").alias("rid"), "x", "y"), 10.0, 40.0)
-    return r.agg(N, F.round(F.sum("d"), 2).alias("d"))
+    return r.agg(N(), F.round(F.sum("d"), 2).alias("d"))
 
 
 # ---- flood ---------------------------------------------------------------------------------

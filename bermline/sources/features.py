@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bermline.functions import geometry as G
-from bermline.functions.crs import reproject_columns
+from bermline.functions.crs import PROJECTIONS, reproject_columns
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 PARTS = T.ArrayType(T.ArrayType(POINT))
@@ -39,7 +39,7 @@ def read_features(spark: SparkSession, paths: str | Sequence[str], bbox: Sequenc
                   assume_epsg: int | None = None, parts: str = "parts", schema: T.StructType | None = None) -> DataFrame:
     """Read one or several layers (Parquet; JSON when the name ends so), filter by box, reproject to ``epsg``.
 
-    Layers are aligned by column name. The box is in the layer's own system.
+    Layers are aligned by column name. The box is in the layer's own system. A row whose system is unknown or NULL raises.
     """
     out = None
     for p in [paths] if isinstance(paths, str) else paths:
@@ -52,12 +52,13 @@ def read_features(spark: SparkSession, paths: str | Sequence[str], bbox: Sequenc
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     if epsg is None:
         return out
-    moved = F.col(parts)
-    found = [r["epsg"] for r in out.select("epsg").distinct().limit(64).collect()]  # systems in use, a handful
-    for source in sorted(e for e in found if e is not None):
-        if source != epsg:
-            moved = F.when(F.col("epsg") == source, F.transform(F.col(parts), lambda part: F.transform(
-                part, lambda q: reproject_columns(q["x"], q["y"], source, epsg)))).otherwise(moved)
+    # one branch for each known system; a row of any other, or without one, fails instead of keeping its old position
+    unknown = F.raise_error(F.concat(F.lit("unknown coordinate system "), F.coalesce(F.col("epsg").cast("string"), F.lit("NULL"))))
+    moved = F.when(F.col("epsg") == epsg, F.col(parts))
+    for source in sorted({4326, *PROJECTIONS} - {epsg}):
+        moved = moved.when(F.col("epsg") == source, F.transform(F.col(parts), lambda part, source=source: F.transform(
+            part, lambda q: reproject_columns(q["x"], q["y"], source, epsg))))
+    moved = moved.otherwise(unknown.cast(out.schema[parts].dataType))
     d = out.withColumn(parts, moved).withColumn("epsg", F.lit(epsg)).drop("xmin", "ymin", "xmax", "ymax")
     return with_bounds(d, parts)
 

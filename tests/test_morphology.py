@@ -86,6 +86,33 @@ def test_thinning_by_tiles_equals_whole(spark):
     assert got == {(r - 2, c - 2) for r, c in map(tuple, np.argwhere(want).tolist())}
 
 
+def thinned(a):
+    want = np.pad(a, 2)
+    while True:
+        changed = False
+        for second in (False, True):
+            kill = M.thin_step(want, second)
+            changed |= bool(kill.any())
+            want[kill] = 0
+        if not changed:
+            return want[2:-2, 2:-2]
+
+
+def test_thinning_of_many_masks_equals_whole(spark):
+    """200 random masks as rasters of one table, with tiles of three sizes."""
+    r = np.random.default_rng(12)
+    masks = []
+    for k in range(200):
+        a = (r.random((24 + k % 41, 24 + k % 41)) < 0.55 + 0.35 * r.random()).astype(np.uint8)
+        a[r.integers(0, 20):, :3 + k % 5] = 1
+        masks.append(a)
+    rows = [(k, int(i), int(j)) for k, a in enumerate(masks) for i, j in np.argwhere(a)]
+    df = spark.createDataFrame(rows, "m long, row long, col long")
+    want = {(k, int(i), int(j)) for k, a in enumerate(masks) for i, j in np.argwhere(thinned(a))}
+    for tile, steps in ((8, 4), (16, 3), (32, 16)):
+        assert {(x.m, x.row, x.col) for x in M.skeletonize(df, ["m"], tile=tile, steps=steps).collect()} == want
+
+
 def test_y_skeleton_gives_one_line(spark):
     """Arms of 10, 10 and 3 pixels, minimum 5: one line of length 20."""
     arms = [(0, c) for c in range(-10, 11)] + [(r, 0) for r in range(1, 4)]
@@ -145,6 +172,27 @@ def test_greedy_matching_takes_shortest_first(spark):
     assert {(r["a"], r["b"]) for r in GR.mutual_matching(p).collect()} == {(5, 6), (3, 4), (1, 2)}
 
 
+def greedy(rows):
+    used, out = set(), set()
+    for g, a, b in sorted((g, a, b) for a, b, g in rows):
+        if not {a, b} & used:
+            used |= {a, b}
+            out.add((a, b))
+    return out
+
+
+def test_matching_equals_greedy_order(spark):
+    """A chain of 300 falling gaps is complete; random pairs with ties and hubs follow the greedy order."""
+    chain = [(k, k + 1, float(1000 - k)) for k in range(300)]
+    got = GR.mutual_matching(spark.createDataFrame(chain, "a long, b long, gap double")).collect()
+    assert {(x["a"], x["b"]) for x in got} == greedy(chain) and len(got) == 150
+    r = np.random.default_rng(3)
+    rows = list({(int(min(a, b)), int(max(a, b))): (int(min(a, b)), int(max(a, b)), float(g)) for a, b, g in zip(r.integers(0, 40, 150), r.integers(0, 40, 150), r.integers(0, 20, 150)) if a != b}.values())
+    got = GR.mutual_matching(spark.createDataFrame(rows, "a long, b long, gap double")).collect()
+    assert {(x["a"], x["b"]) for x in got} == greedy(rows)
+    assert GR.mutual_matching(spark.createDataFrame([], "a long, b long, gap double")).count() == 0
+
+
 def test_pseudonodes_merge_but_junctions_do_not(spark):
     d = lines_df(spark, [(0, 0), (1, 0)], [(2, 0), (1, 0)], [(2, 0), (3, 0)], [(3, 0), (4, 1)], [(3, 0), (4, -1)])
     got = M.merge_pseudonodes(d).collect()
