@@ -2,9 +2,10 @@
 
 One side keeps its own cell, the other is copied to every cell within the
 search radius, and the exact test sits in the join condition. Each pair then
-meets in exactly one cell. The joins are ordinary shuffle joins on the cell key,
-so AQE may broadcast a side whose measured size is small and splits a cell that
-holds a large share of the rows. Results that do not need the pairs themselves
+meets in exactly one cell. The copied side is counted up to a bound: a small one is
+broadcast, so that the other side is not shuffled; a larger one is joined by a
+shuffle on the cell key, where AQE splits a cell that holds a large share of the
+rows. Results that do not need the pairs themselves
 (flags, minima, best match) are reduced by an aggregation directly above the
 join, which combines on the map side.
 """
@@ -20,6 +21,8 @@ from bermline.functions import geometry as G
 from bermline.operators.ordered import null_safe_join
 from bermline.session import cut_lineage
 
+BROADCAST_COPIES = 50_000  # edges or points with a few columns: some megabytes
+
 
 def cell_keys(df: DataFrame, size: float, expand: float = 0.0, x: str = "x", y: str = "y") -> DataFrame:
     """Add cell columns ``cx, cy``; with ``expand`` one row per cell within that distance."""
@@ -53,8 +56,13 @@ def _clash(left: DataFrame, right: DataFrame) -> None:
 
 
 def _exploded(df: DataFrame) -> DataFrame:
-    """Ask for a shuffle join: the planner estimates the size before the copies to cells are made, so it would
-    broadcast tables that are many times larger than it believes."""
+    """Broadcast copies of at most BROADCAST_COPIES rows, else ask for a shuffle join.
+
+    The planner estimates the size before the copies to cells are made, so it would broadcast tables that are many times
+    larger than it believes; the rows are counted instead, and no further than the bound (one small job).
+    """
+    if df.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
+        return F.broadcast(df)
     return df.hint("merge")
 
 

@@ -199,13 +199,13 @@ def a17(spark, d):
 
 
 def height_inputs(spark, d):
-    p = V.points(spark, d).selectExpr("comid div 2 AS segment_id", "comid div 20 AS levee_id", "h", "dz", "canopy").filter("dz between -3 and -1")
+    p = V.points(spark, d).selectExpr("comid div 2 AS segment_id", "comid div 20 AS levee_id", "h", "dz", "canopy")
     s = V.reaches(spark, d).selectExpr("comid div 2 AS segment_id", "comid div 20 AS levee_id", "uparea").groupBy("segment_id", "levee_id").agg(
         (F.max("uparea") / 1000).alias("dsm_med"), F.sum("uparea").alias("length_m"))
     return s, p
 
 
-_HEIGHTS = """p AS (SELECT comid // 2 AS segment_id, comid // 20 AS levee_id, h, dz FROM points WHERE dz BETWEEN -3 AND -1),
+_HEIGHTS = """p AS (SELECT comid // 2 AS segment_id, comid // 20 AS levee_id, h, dz FROM points),
  s AS (SELECT comid // 2 AS segment_id, comid // 20 AS levee_id, max(uparea) / 1000 AS dsm_med, sum(uparea) AS length_m FROM reaches GROUP BY 1, 2),
  a AS (SELECT segment_id, count(*) AS n, quantile_cont(h, 0.5) AS hm, quantile_cont(h, 0.2) AS hc, quantile_cont(dz, 0.5) AS dm FROM p GROUP BY 1),
  l AS (SELECT levee_id, count(*) AS n, quantile_cont(dz, 0.5) AS dm, quantile_cont(dz, 0.2) AS dc FROM p GROUP BY 1),

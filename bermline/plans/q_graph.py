@@ -6,6 +6,7 @@ from bermline.operators import graphs as GR
 from bermline.operators import robust as RB
 from bermline.plans import views as V
 from bermline.plans.registry import query, rounded
+from bermline.session import cut_lineage
 
 _BASIN = """RECURSIVE t AS (SELECT comid, comid AS cur, next_down AS nxt FROM reaches UNION ALL
  SELECT t.comid, r.comid, r.next_down FROM t JOIN reaches r ON t.nxt = r.comid WHERE t.nxt > 0),
@@ -17,18 +18,22 @@ def n1(spark, d):
     return GR.trace_outlets(V.reaches(spark, d))
 
 
-@query("j15_map_key", f"WITH {_BASIN} SELECT id, basin_id FROM points JOIN b USING (comid) WHERE basin_id > 40")
+@query("j15_map_key", f"WITH {_BASIN} SELECT id, basin_id FROM points JOIN b USING (comid)")
 def j15(spark, d):
     b = GR.trace_outlets(V.reaches(spark, d))
-    return C.map_key(V.points(spark, d).select("id", "comid"), b, "comid", "basin_id").select("id", "basin_id").filter("basin_id > 40")
+    return C.map_key(V.points(spark, d).select("id", "comid"), b, "comid", "basin_id").select("id", "basin_id")
 
 
 def report(spark, d, radius=15.0, min_uparea=50000.0):
-    """Segments take the largest reach within the radius, reaches flow to their outlet, basins are summed up."""
+    """Segments take the largest reach within the radius, reaches flow to their outlet, basins are summed up.
+
+    The largest reach passes the threshold exactly when any does, so small reaches are left out before the join.
+    """
     reaches = V.reaches(spark, d)
-    seg = C.within_distance_best(V.segments(spark, d), reaches.select("comid", "uparea", "x", "y"), radius)
-    basins = GR.trace_outlets(reaches)
-    tagged = C.map_key(seg.filter(F.col("uparea") >= min_uparea), basins, "comid", "basin_id")
+    large = reaches.filter(F.col("uparea") >= min_uparea).select("comid", "uparea", "x", "y")
+    seg = C.within_distance_best(V.segments(spark, d), large, radius)
+    basins = cut_lineage(GR.trace_outlets(reaches))
+    tagged = C.map_key(seg, basins, "comid", "basin_id")
     return RB.basin_report(tagged, reaches, basins, min_uparea)
 
 

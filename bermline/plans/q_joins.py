@@ -50,10 +50,9 @@ def j2(spark, d):
 
 
 @query("j3_nearest_join", """SELECT id, comid, round(d, 6) AS d FROM (SELECT p.id, r.comid, sqrt((p.x-r.x)^2+(p.y-r.y)^2) AS d, row_number() OVER (PARTITION BY p.id ORDER BY (p.x-r.x)^2+(p.y-r.y)^2, r.comid) AS rn
- FROM points p JOIN reaches r ON r.x BETWEEN p.x - 120 AND p.x + 120 AND r.y BETWEEN p.y - 120 AND p.y + 120 WHERE r.uparea >= 350000) WHERE rn = 1""")
+ FROM points p JOIN reaches r ON r.x BETWEEN p.x - 120 AND p.x + 120 AND r.y BETWEEN p.y - 120 AND p.y + 120) WHERE rn = 1""")
 def j3(spark, d):
-    big = V.reaches(spark, d).filter("uparea >= 350000").select("comid", "x", "y")
-    return rounded(C.nearest_join(pts(spark, d), big, "comid").select("id", "comid", "d"))
+    return rounded(C.nearest_join(pts(spark, d), V.reaches(spark, d).select("comid", "x", "y"), "comid").select("id", "comid", "d"))
 
 
 @query("j4_nearest_within", f"SELECT id, line_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, line_id) AS rn FROM {_PL(10)}) WHERE rn = 1")
