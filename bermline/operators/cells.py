@@ -213,6 +213,54 @@ def nearest_join(left: DataFrame, right: DataFrame, right_id: str, start_radius:
     return left.join(hits, ["x", "y"], "left")
 
 
+def lines_within_best(left: DataFrame, right: DataFrame, radius: float = 500.0, by: str = "uparea", tie: str = "comid",
+                      left_id: str = "segment_id") -> DataFrame:
+    """As ``within_distance_best`` between lines (``pts``): the distance of two lines is that of their nearest edges.
+
+    ``left_id`` and the columns of the chosen right line; unmatched lines drop out. A long segment meets a reach that its
+    middle is far from. Only one row per map task and left line is shuffled behind the join.
+    """
+    cols = [c for c in right.columns if c != "pts"]
+    size = max(2 * radius, 1e-9)
+    a = edge_cells(line_edges(left, [left_id]), size).drop("edge", "len")
+    b = edge_cells(line_edges(right, cols), size, radius).drop("edge", "len")
+    b = b.withColumnsRenamed({c: f"q_{c}" for c in ("x0", "y0", "x1", "y1", "cx", "cy")})
+    cond = (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & (edges_distance() <= radius)
+    rank = F.struct(F.col(by).alias("_by"), (-F.col(tie)).alias("_tie"))
+    best = a.join(_exploded(b), cond).groupBy(left_id).agg(F.max_by(F.struct(*cols), rank).alias("_m"))
+    return best.select(left_id, *[F.col(f"_m.{c}").alias(c) for c in cols])
+
+
+def nearest_line_join(points: DataFrame, lines: DataFrame, line_id: str = "line_id", start_radius: float | None = None) -> DataFrame:
+    """Nearest line for every point at any distance (smallest id on ties): adds ``line_id, d``; NULL only without lines.
+
+    Distinct positions are searched in rounds of doubling radius, as in ``nearest_join``; a line found within the radius
+    is final. Positions without coordinates get NULL.
+    """
+    todo = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
+    refs = lines.filter(F.size("pts") >= 2).select(line_id, "pts")
+    e = refs.select(F.explode("pts").alias("p")).select("p.x", "p.y").unionAll(todo).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    n, found = refs.count(), []
+    if n and e[0] is not None:
+        reach = max(((e[1] - e[0]) ** 2 + (e[3] - e[2]) ** 2) ** 0.5, 1e-9)
+        radius = start_radius or max((5 * (e[1] - e[0]) * (e[3] - e[2]) / (3.14 * n)) ** 0.5, reach / n, 1e-9)
+        while True:  # the radius doubles until it spans the data
+            pairs = point_line_pairs(todo, refs, radius, [line_id])
+            found.append(cut_lineage(pairs.groupBy("x", "y").agg(F.min(F.struct("d", line_id)).alias("_m"))))
+            if radius >= reach:
+                break
+            todo = cut_lineage(todo.join(found[-1], ["x", "y"], "left_anti"))
+            if todo.isEmpty():
+                break
+            radius *= 2
+    if not found:
+        return points.withColumn(line_id, F.lit(None).cast(lines.schema[line_id].dataType)).withColumn("d", F.lit(None).cast("double"))
+    hits = found[0]
+    for h in found[1:]:
+        hits = hits.unionByName(h)
+    return points.join(hits.select("x", "y", F.col(f"_m.{line_id}").alias(line_id), F.col("_m.d").alias("d")), ["x", "y"], "left")
+
+
 def nearest_within(points: DataFrame, lines: DataFrame, radius: float, point_id: str = "id",
                    line_id: str = "line_id", how: str = "inner", distance_col: str = "d") -> DataFrame:
     """Nearest line within ``radius`` per point (unique ``point_id``); ``how='left'`` keeps the others with NULL."""

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bermline.operators.cells import nearest_join, point_line_pairs, point_pairs
+from bermline.operators.cells import nearest_join, nearest_line_join, point_line_pairs, point_pairs
 from bermline.operators.ordered import hashed_rank, row_numbers, uniform_hash
 
 
@@ -106,24 +106,28 @@ def label_weights(pixels: DataFrame, outer: DataFrame, core: DataFrame, weights:
 
 def corridor_negatives(reaches: DataFrame, lines: DataFrame, n: int, buffer: float = 500.0, exclude: float = 100.0,
                        tries: int = 40, seed: int = 42, basins: DataFrame | None = None) -> DataFrame:
-    """n uniform points near the reaches (points x, y) and away from the lines, with nearest reach and basin.
+    """n uniform points near the reaches and away from the lines, with nearest reach and basin.
+
+    Reaches are lines (``comid, pts``) or, without a column ``pts``, points (``comid, x, y``).
 
     Fewer rows than n come back when n*tries candidates do not yield enough: the shortfall shows.
     """
     spark = reaches.sparkSession
-    box = reaches.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    as_lines = "pts" in reaches.columns
+    places = reaches.select(F.explode("pts").alias("_p")).select("_p.x", "_p.y") if as_lines else reaches.select("x", "y")
+    box = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     x0, x1, y0, y1 = box[0] - buffer, box[1] + buffer, box[2] - buffer, box[3] + buffer
     c = spark.range(n * tries).select(
         F.col("id").alias("cand"), (x0 + uniform_hash("id", seed=seed) * (x1 - x0)).alias("x"),
         (y0 + uniform_hash("id", seed=seed + 1) * (y1 - y0)).alias("y"))
-    refs = reaches.select(F.col("x"), F.col("y")).distinct()
-    near = point_pairs(c, refs, buffer).select(F.col("cand").alias("_id")).distinct()
+    met = point_line_pairs(c, reaches.select("pts"), buffer, []) if as_lines else point_pairs(c, places.distinct(), buffer)
+    near = met.select(F.col("cand").alias("_id")).distinct()
     c = c.join(near, F.col("cand") == F.col("_id"), "left_semi")
     close = point_line_pairs(c, lines.select("pts"), exclude, []).select(F.col("cand").alias("_id")).distinct()
     c = c.join(close, F.col("cand") == F.col("_id"), "left_anti")
     c = row_numbers(c, [], ["cand"], "_rn").filter(F.col("_rn") <= n)
     c = c.withColumn("patch_id", F.format_string("neg_%07d", F.col("_rn") - 1)).withColumn("patch_type", F.lit("negative")).drop("_rn")
-    c = nearest_join(c, reaches.select("x", "y", "comid"), "comid", buffer).drop("d")
+    c = (nearest_line_join(c, reaches.select("comid", "pts"), "comid", buffer) if as_lines else nearest_join(c, reaches.select("x", "y", "comid"), "comid", buffer)).drop("d")
     return c if basins is None else c.join(basins.select("comid", "basin_id"), "comid", "left")
 
 

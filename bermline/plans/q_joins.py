@@ -49,6 +49,32 @@ def j2(spark, d):
     return C.within_distance_best(V.segments(spark, d), V.reaches(spark, d).select("comid", "uparea", "x", "y"), 15.0).select("segment_id", "comid", "uparea")
 
 
+def reach_lines(spark, d):
+    """Each reach as a line of two edges."""
+    return V.reaches(spark, d).selectExpr("comid", "uparea", "array(struct(x AS x, y AS y), struct(x + 12 AS x, y + 7 AS y), struct(x + 25 AS x, y AS y)) AS pts")
+
+
+_RL = "SELECT comid, uparea, x AS x0, y AS y0, x + 12 AS x1, y + 7 AS y1 FROM reaches UNION ALL SELECT comid, uparea, x + 12, y + 7, x + 25, y FROM reaches"
+
+
+def edge_gap(a: str, b: str) -> str:
+    """Distance of two edges: none if they cross, else that of one of the four ends."""
+    side = lambda e, q, k: f"(({e}.x1-{e}.x0)*({q}.y{k}-{e}.y0)-({e}.y1-{e}.y0)*({q}.x{k}-{e}.x0))"
+    ends = [dist(f"{q}.x{k}", f"{q}.y{k}", e) for e, q in ((a, b), (b, a)) for k in (0, 1)]
+    return f"CASE WHEN {side(a, b, 0)}*{side(a, b, 1)} < 0 AND {side(b, a, 0)}*{side(b, a, 1)} < 0 THEN 0 ELSE least({', '.join(ends)}) END"
+
+
+@query("j2_lines_within_best", f"""WITH r AS ({_RL}) SELECT line_id, comid, uparea FROM (SELECT e.line_id, r.comid, r.uparea, row_number() OVER (PARTITION BY e.line_id ORDER BY r.uparea DESC, r.comid) AS rn
+ FROM line_edges e JOIN r ON r.x0 <= e.x1 + 10 AND r.x1 >= e.x0 - 10 AND least(r.y0, r.y1) <= e.y1 + 10 AND greatest(r.y0, r.y1) >= e.y0 - 10 WHERE {edge_gap('e', 'r')} <= 10) WHERE rn = 1""")
+def j2l(spark, d):
+    return C.lines_within_best(V.lines(spark, d), reach_lines(spark, d), 10.0, left_id="line_id")
+
+
+@query("j3_nearest_line_join", f"""SELECT comid, m.l AS line_id, round(m.d, 6) AS d FROM (SELECT p.comid, min({{'d': {dist()}, 'l': e.line_id}}) AS m FROM reaches p, line_edges e GROUP BY p.comid)""")
+def j3l(spark, d):
+    return rounded(C.nearest_line_join(V.reaches(spark, d).select("comid", "x", "y"), V.lines(spark, d)).select("comid", "line_id", "d"))
+
+
 @query("j3_nearest_join", """SELECT id, comid, round(d, 6) AS d FROM (SELECT p.id, r.comid, sqrt((p.x-r.x)^2+(p.y-r.y)^2) AS d, row_number() OVER (PARTITION BY p.id ORDER BY (p.x-r.x)^2+(p.y-r.y)^2, r.comid) AS rn
  FROM points p JOIN reaches r ON r.x BETWEEN p.x - 120 AND p.x + 120 AND r.y BETWEEN p.y - 120 AND p.y + 120) WHERE rn = 1""")
 def j3(spark, d):

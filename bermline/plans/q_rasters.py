@@ -89,12 +89,31 @@ def u8(spark, d):
     return rounded(m)
 
 
-@query("r1_rasterize")
+def _near_box(l, b, r, t):
+    """SQL: distance of the edge x0..y1 and a box, by another way than the operator's: an edge that has no end inside meets
+    the box exactly if it crosses one of its diagonals; else the nearest points include a corner or an end."""
+    seg = lambda px, py: (f"sqrt(({px}-x0-greatest(0, least(1, (({px}-x0)*(x1-x0)+({py}-y0)*(y1-y0))/((x1-x0)^2+(y1-y0)^2)))*(x1-x0))^2"
+                          f"+({py}-y0-greatest(0, least(1, (({px}-x0)*(x1-x0)+({py}-y0)*(y1-y0))/((x1-x0)^2+(y1-y0)^2)))*(y1-y0))^2)")
+    end = lambda x, y: f"sqrt(greatest({l}-{x}, 0, {x}-{r})^2+greatest({b}-{y}, 0, {y}-{t})^2)"
+    side = lambda ax, ay, bx, by, px, py: f"(({bx}-{ax})*({py}-{ay})-({by}-{ay})*({px}-{ax}))"
+    cross = lambda ax, ay, bx, by: (f"({side('x0', 'y0', 'x1', 'y1', ax, ay)}*{side('x0', 'y0', 'x1', 'y1', bx, by)} <= 0 AND "
+                                    f"{side(ax, ay, bx, by, 'x0', 'y0')}*{side(ax, ay, bx, by, 'x1', 'y1')} <= 0)")
+    least = ", ".join([*(seg(px, py) for px in (l, r) for py in (b, t)), end("x0", "y0"), end("x1", "y1")])
+    return f"CASE WHEN {cross(l, b, r, t)} OR {cross(l, t, r, b)} THEN 0 ELSE least({least}) END"
+
+
+@query("r1_rasterize", f"""WITH c AS (SELECT row, col, x0, y0, x1, y1, col * 10.0 AS l, 2200.0 - row * 10.0 - 10.0 AS b, col * 10.0 + 10.0 AS r, 2200.0 - row * 10.0 AS t FROM line_edges,
+ unnest(range(CAST(floor((least(x0, x1) - 30) / 10) AS BIGINT), CAST(floor((greatest(x0, x1) + 30) / 10) AS BIGINT) + 1)) a(col),
+ unnest(range(CAST(floor((2200 - greatest(y0, y1) - 30) / 10) AS BIGINT), CAST(floor((2200 - least(y0, y1) + 30) / 10) AS BIGINT) + 1)) d(row))
+ SELECT DISTINCT row, col FROM c WHERE {_near_box('l', 'b', 'r', 't')} <= 15""")
 def r1(spark, d):
     return R.rasterize(V.lines(spark, d), R.Grid(0.0, 2200.0, 10.0), 15.0)
 
 
-@query("r3_sliding_centres")
+@query("r3_sliding_centres", f"""WITH c AS (SELECT x0, y0, x1, y1, (i + 0.5) * 20.0 AS x, (j + 0.5) * 20.0 AS y FROM line_edges,
+ unnest(range(CAST(floor((least(x0, x1) - 60) / 20) AS BIGINT), CAST(floor((greatest(x0, x1) + 60) / 20) AS BIGINT) + 1)) a(i),
+ unnest(range(CAST(floor((least(y0, y1) - 60) / 20) AS BIGINT), CAST(floor((greatest(y0, y1) + 60) / 20) AS BIGINT) + 1)) d(j))
+ SELECT DISTINCT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM c WHERE {_near_box('(x-20)', '(y-20)', '(x+20)', '(y+20)')} <= 5""")
 def r3(spark, d):
     return R.sliding_centres(V.lines(spark, d), 5.0, 20.0, 40.0)
 

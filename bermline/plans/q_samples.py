@@ -96,7 +96,8 @@ def g8(spark, d):
 
 @query("g9_corridor_negatives")
 def g9(spark, d):
-    return S.corridor_negatives(V.reaches(spark, d), V.lines(spark, d), V.table(spark, d, "supplier").count(), 30.0, 8.0, 10)
+    from bermline.plans.q_joins import reach_lines
+    return S.corridor_negatives(reach_lines(spark, d), V.lines(spark, d), V.table(spark, d, "supplier").count(), 30.0, 8.0, 10)
 
 
 @query("g10_paired_negatives")
