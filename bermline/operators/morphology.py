@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,23 +65,38 @@ def pixel_degree(pixels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # ---- connected components ------------------------------------------------------------------
 
-def _tile_labels(r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
-    """Index of the first pixel (row-major) of the component of each pixel of one tile."""
-    pos = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist()))}
-    lab = [-1] * len(pos)
-    steps = NEIGHBOURS if eight else [(-1, 0), (0, -1), (0, 1), (1, 0)]
-    for i in np.lexsort((c, r)).tolist():
-        if lab[i] >= 0:
-            continue
-        lab[i], stack = i, [(int(r[i]), int(c[i]))]
-        while stack:
-            a, b = stack.pop()
-            for da, db in steps:
-                j = pos.get((a + da, b + db))
-                if j is not None and lab[j] < 0:
-                    lab[j] = i
-                    stack.append((a + da, b + db))
-    return np.array(lab, dtype=np.int64)
+def _labels(group: np.ndarray, r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
+    """Index of the first pixel (row-major) of the component of each pixel, for the pixels of many groups at once.
+
+    Neighbours are found in the sorted pixel codes; labels are hooked to the smaller one and pointers doubled until no
+    edge joins two labels.
+    """
+    w, h = int(c.max() - c.min()) + 3, int(r.max() - r.min()) + 3
+    code = (group * h + (r - r.min() + 1)) * w + (c - c.min() + 1)
+    order = np.argsort(code, kind="stable")
+    s = code[order]
+    ends = []
+    for delta in (1, w, w - 1, w + 1) if eight else (1, w):
+        at = np.searchsorted(s, s + delta)
+        hit = np.flatnonzero((at < len(s)) & (s[np.minimum(at, len(s) - 1)] == s + delta))
+        ends.append((hit, at[hit]))
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    lab = np.arange(len(s))
+    while True:
+        la, lb = lab[a], lab[b]
+        if (la == lb).all():
+            break
+        low = np.minimum(la, lb)
+        np.minimum.at(lab, la, low)
+        np.minimum.at(lab, lb, low)
+        while True:
+            up = lab[lab]
+            if (up == lab).all():
+                break
+            lab = up
+    out = np.empty(len(s), np.int64)
+    out[order] = order[lab]
+    return out
 
 
 def connected_components(pixels: DataFrame, connectivity: int = 8, keys: Sequence[str] = (), tile: int = 128) -> DataFrame:
@@ -95,12 +111,35 @@ def connected_components(pixels: DataFrame, connectivity: int = 8, keys: Sequenc
     p = p.withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
     schema = T.StructType([*[p.schema[k] for k in keys], *[T.StructField(c, T.LongType()) for c in ("row", "col", "_lr", "_lc")]])
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        i = _tile_labels(r, c, connectivity == 8)
-        return pdf[[*keys, "row", "col"]].assign(_lr=r[i], _lc=c[i])
-
-    lab = cut_lineage(p.groupBy(*keys, "_tr", "_tc").applyInPandas(label, schema))
+    def label(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        r, c = np.asarray(t.column("row")), np.asarray(t.column("col"))
+        i = _labels(group, r, c, connectivity == 8)
+        flat = t.combine_chunks()
+        return pa.RecordBatch.from_arrays([*(flat.column(k).chunk(0) for k in keys), pa.array(r), pa.array(c), pa.array(r[i]), pa.array(c[i])],
+                                          names=[*keys, "row", "col", "_lr", "_lc"])
+
+    def run(batches):
+        """Whole tiles of each batch at once; the last tile waits for the rest of its pixels."""
+        left = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([left, t]) if left is not None else t
+            if not t.num_rows:
+                continue
+            marks = np.zeros(t.num_rows, bool)
+            for k in (*keys, "_tr", "_tc"):
+                x = pd.factorize(t.column(k).to_pandas())[0]
+                marks[1:] |= x[1:] != x[:-1]
+            group = np.cumsum(marks)
+            last = int(np.searchsorted(group, group[-1]))
+            if last:
+                yield label(t.slice(0, last), group[:last])
+            left = t.slice(last)
+        if left is not None and left.num_rows:
+            yield label(left, np.zeros(left.num_rows, np.int64))
+
+    order = [*keys, "_tr", "_tc"]
+    lab = cut_lineage(p.select(*keys, "row", "col", "_tr", "_tc").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
     me = F.struct(*keys, "_lr", "_lc")
     rim = lab.filter((F.col("row") % tile == 0) | (F.col("row") % tile == tile - 1) | (F.col("col") % tile == 0) | (F.col("col") % tile == tile - 1))
     steps = NEIGHBOURS if connectivity == 8 else [(-1, 0), (0, -1), (0, 1), (1, 0)]
