@@ -369,7 +369,7 @@ def centrelines(skeleton: DataFrame, grid: Grid, min_length: float = 50.0, keys:
     paths = g.groupBy("g").applyInPandas(peel, "c string, path int, seq int, rev int")
     named = edges.withColumn("c", text(F.col("chain")))
     use = named.join(paths, "c").select("chain", comp.alias("comp"), "path", "seq", "rev", "n", "length")
-    ring = loops.withColumn("rn", F.dense_rank().over(_per_component())).select(
+    ring = loops.withColumn("rn", F.dense_rank().over(_per_component(keys))).select(
         "chain", comp.alias("comp"), (-F.col("rn")).alias("path"), F.lit(0).alias("seq"), F.lit(0).alias("rev"), "n", "length")
     use = use.unionByName(ring)
     px = steps.join(use, "chain").withColumn("at", F.when(F.col("rev") == 1, F.col("n") - F.col("pos")).otherwise(F.col("pos")))
@@ -381,9 +381,9 @@ def centrelines(skeleton: DataFrame, grid: Grid, min_length: float = 50.0, keys:
                     F.transform("_s", lambda v: v["p"]).alias("pts"))
 
 
-def _per_component():
+def _per_component(keys: Sequence[str]):
     from pyspark.sql.window import Window
-    return Window.partitionBy("component").orderBy("chain")
+    return Window.partitionBy(*[F.col(f"a.{k}") for k in keys], "component").orderBy("chain")
 
 
 def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = ()) -> DataFrame:

@@ -529,12 +529,12 @@ _BOX = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 def soft_skeleton(x: np.ndarray, iters: int) -> np.ndarray:
     """Differentiable thinning of a (batch, h, w) array; outside counts as +inf for minima and -inf for maxima."""
     erode = lambda a: np.minimum(_shift_reduce(a, _CROSS_V, np.inf, np.minimum), _shift_reduce(a, _CROSS_H, np.inf, np.minimum))
-    opened = lambda a: _shift_reduce(erode(a), _BOX, -np.inf, np.maximum)
-    img = x
-    skel = np.maximum(img - opened(img), 0)
+    lost = lambda a, eroded: np.maximum(a - _shift_reduce(eroded, _BOX, -np.inf, np.maximum), 0)  # what opening takes away
+    img, eroded = x, erode(x)
+    skel = lost(img, eroded)
     for _ in range(iters):
-        img = erode(img)
-        skel = skel + np.maximum(img - opened(img), 0) * (1 - skel)
+        img, eroded = eroded, erode(eroded)
+        skel = skel + lost(img, eroded) * (1 - skel)
     return skel
 
 

@@ -320,14 +320,18 @@ def r24(spark, d):
     return MO.trace_greedy(s, GRID, 3.0, 10).select("line_id", "n_lines", F.size("pts").alias("n"))
 
 
-@query("r25_merge_pseudonodes", "SELECT line_id, 2::BIGINT AS n_lines, 3::BIGINT AS n FROM lines")
+@query("r25_merge_pseudonodes", """SELECT line_id, 2::BIGINT AS n_lines, 3::BIGINT AS n, round(CAST(least(ax, cx) AS DOUBLE), 6) AS x0, round(CAST(bx AS DOUBLE), 6) AS x1, round(CAST(greatest(ax, cx) AS DOUBLE), 6) AS x2,
+ round(CAST(ay + by_ + cy AS DOUBLE), 6) AS ys FROM lines""")
 def r25(spark, d):
     """Every line is cut at its middle vertex and merged again."""
     ln = V.lines(spark, d).select(F.explode(F.array(
         F.struct((F.col("line_id") * 2).alias("line_id"), F.slice("pts", 1, 2).alias("pts")),
         F.struct((F.col("line_id") * 2 + 1).alias("line_id"), F.slice("pts", 2, 2).alias("pts")))).alias("_l")).select("_l.*")
     m = MO.merge_pseudonodes(ln)
-    return m.select(F.floor(F.col("line_id") / 2).alias("line_id"), "n_lines", F.size("pts").cast("long").alias("n"))
+    x = lambda k: F.col("pts")[k]["x"]
+    ys = F.aggregate("pts", F.lit(0.0), lambda a, p: a + p["y"])
+    return rounded(m.select(F.floor(F.col("line_id") / 2).alias("line_id"), "n_lines", F.size("pts").cast("long").alias("n"), F.least(x(0), x(2)).alias("x0"), x(1).alias("x1"),
+                            F.greatest(x(0), x(2)).alias("x2"), ys.alias("ys")))
 
 
 _CC4 = """RECURSIVE m AS (SELECT raster_id, row, col, CAST(floor(score * 3) AS BIGINT) AS value FROM pixels), e AS (SELECT a.raster_id, a.value, a.row * 8 + a.col AS u, b.row * 8 + b.col AS v FROM m a JOIN m b ON a.raster_id = b.raster_id AND a.value = b.value AND abs(a.row - b.row) + abs(a.col - b.col) <= 1),
