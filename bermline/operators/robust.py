@@ -48,6 +48,20 @@ def datum_offset(df: DataFrame, col: str, cells: DataFrame, size: float = 10000.
     return out.select(checked.alias("offset"), "median_all", "n_corridor", "n_all", "std", "p20", "p80", "share_02", "share_05")
 
 
+def axis_cells(df: DataFrame, col: str, axis: DataFrame, corridor: float = 30000.0, size: float = 10000.0, min_n: int = 100) -> DataFrame:
+    """Cells (gx, gy, n, median, x_m, y_m) with at least ``min_n`` values whose centre lies within ``corridor`` of the axis lines (``pts``)."""
+    from bermline.operators.cells import point_line_pairs
+
+    c = grid_stats(df, col, size, min_n)
+    near = point_line_pairs(c.select("gx", "gy", F.col("x_m").alias("x"), F.col("y_m").alias("y")), axis.select("pts"), corridor, []).select("gx", "gy").distinct()
+    return c.join(near, ["gx", "gy"], "left_semi")
+
+
+def corridor_offset(df: DataFrame, col: str, axis: DataFrame, corridor: float = 30000.0, size: float = 10000.0, min_cell: int = 100, min_n: int = 200) -> DataFrame:
+    """``datum_offset`` with the corridor of the axis: the median of the values in its well-filled cells."""
+    return datum_offset(df, col, axis_cells(df, col, axis, corridor, size, min_cell), size, min_n)
+
+
 def kruskal_terms(df: DataFrame, col: str, group: str) -> DataFrame:
     """H statistic with tie correction and degrees of freedom, computed on distinct values."""
     d = df.filter(F.col(col).isNotNull())
@@ -94,6 +108,36 @@ def kruskal(df: DataFrame, col: str, group: str) -> tuple[float, float]:
     return float(r["h"]), _gamma_q(r["dof"] / 2, r["h"] / 2)
 
 
+def kruskal_table(df: DataFrame, col: str, group: str) -> DataFrame:
+    """One row ``h, dof, n, p``: the Kruskal-Wallis test as a table."""
+    r = kruskal_terms(df, col, group).first()
+    p = _gamma_q(r["dof"] / 2, r["h"] / 2) if r["h"] is not None and r["dof"] else None
+    return df.sparkSession.createDataFrame([(r["h"], r["dof"], r["n"], p)], "h double, dof long, n long, p double")
+
+
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return min(max(x, 0.0), 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_share(1 - x, b, a)
+    lead = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 10000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + num * d), 1 + num / c
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return lead * f
+
+
+def student_p(t: float, dof: float) -> float:
+    """Two-sided p-value of Student's t."""
+    return _beta_share(dof / (dof + t * t), dof / 2, 0.5)
+
+
 def trend_sums(cells: DataFrame, value: str = "median", weight: str = "n") -> DataFrame:
     """Weighted normal-equation sums of value ~ 1 + x + y (coordinates per 100 km)."""
     x, y, v, w = F.col("x_m") / 1e5, F.col("y_m") / 1e5, F.col(value), F.col(weight)
@@ -113,7 +157,14 @@ def weighted_trend(cells: DataFrame, value: str = "median", weight: str = "n") -
     dof = r.k - 3
     rss = max(r.svv - float(coef @ b), 0.0)
     se = np.sqrt(np.diag(np.linalg.inv(a)) * rss / dof) if dof > 0 else np.full(3, np.nan)
-    return {"coef": coef.tolist(), "se": se.tolist(), "t": (coef / se).tolist()}
+    return {"coef": coef.tolist(), "se": se.tolist(), "t": (coef / se).tolist(), "p": [student_p(float(t), dof) if dof > 0 else math.nan for t in coef / se]}
+
+
+def trend_table(cells: DataFrame, value: str = "median", weight: str = "n") -> DataFrame:
+    """The weighted trend as rows ``term, coef, se, t, p`` (constant, east and north per 100 km)."""
+    r = weighted_trend(cells, value, weight)
+    rows = [(name, *(float(r[k][i]) for k in ("coef", "se", "t", "p"))) for i, name in enumerate(("constant", "east", "north"))]
+    return cells.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
 
 
 def resolve_heights(segments: DataFrame, points: DataFrame, dz_default: float = 0.9, min_seg: int = 3,

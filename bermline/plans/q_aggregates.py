@@ -198,6 +198,45 @@ def a17(spark, d):
     return rounded(R.trend_sums(R.grid_stats(V.points(spark, d), "h", 200.0, 100)))
 
 
+_T = "greatest(0.0, least(1.0, ((p.x-e.x0)*(e.x1-e.x0)+(p.y-e.y0)*(e.y1-e.y0))/((e.x1-e.x0)^2+(e.y1-e.y0)^2)))"
+_EDGE_DIST = f"sqrt((p.x-(e.x0+{_T}*(e.x1-e.x0)))^2+(p.y-(e.y0+{_T}*(e.y1-e.y0)))^2)"
+
+
+@query("a15_corridor_offset", f"""WITH p AS (SELECT dz, CAST(floor(x / 100) AS BIGINT) AS gx, CAST(floor(y / 100) AS BIGINT) AS gy FROM points),
+ c AS (SELECT gx, gy, (gx + 0.5) * 100 AS x, (gy + 0.5) * 100 AS y FROM p GROUP BY 1, 2 HAVING count(*) >= 20),
+ k AS (SELECT DISTINCT gx, gy FROM c p JOIN line_edges e ON p.x BETWEEN e.x0 - 40 AND e.x1 + 40 AND p.y BETWEEN e.y0 - 40 AND e.y1 + 40 WHERE {_EDGE_DIST} <= 40)
+ SELECT round(quantile_cont(dz, 0.5), 6) AS offset, count(*) AS n_corridor, (SELECT count(*) FROM points) AS n_all, (SELECT count(*) FROM k) AS n_cells FROM p SEMI JOIN k USING (gx, gy)""")
+def a15c(spark, d):
+    p = V.points(spark, d)
+    n = R.axis_cells(p, "dz", V.lines(spark, d), 40.0, 100.0, 20).agg(F.count(F.lit(1)).alias("n_cells"))
+    o = R.corridor_offset(p, "dz", V.lines(spark, d), 40.0, 100.0, 20)
+    return rounded(o.select("offset", "n_corridor", "n_all").crossJoin(n))  # one row each
+
+
+@query("a16_kruskal_table", """WITH v AS (SELECT flag, h, count(*) OVER (PARTITION BY h) AS t, rank() OVER (ORDER BY h) AS r FROM points WHERE flag IN ('A', 'N', 'R')),
+ g AS (SELECT flag, sum(r + (t - 1) / 2.0) AS s, count(*) AS n FROM v GROUP BY 1), a AS (SELECT sum(s * s / n) AS s, sum(n) AS n, count(*) AS k FROM g),
+ u AS (SELECT sum(CAST(t AS DOUBLE) * t * t - t) AS tie FROM (SELECT h, count(*) AS t FROM v GROUP BY 1)),
+ h AS (SELECT (12 / (n::DOUBLE * (n + 1)) * s - 3 * (n + 1)) / (1 - tie / (n::DOUBLE * n * n - n)) AS h, k - 1 AS dof, CAST(n AS BIGINT) AS n FROM a, u)
+ SELECT round(h, 4) AS h, dof, n, round(exp(-h / 2), 4) AS p FROM h""")
+def a16t(spark, d):
+    """With three groups the chi-square tail has the closed form of the twin."""
+    return rounded(R.kruskal_table(V.points(spark, d).filter("flag IN ('A', 'N', 'R')"), "h", "flag"), places=4)
+
+
+@query("a17_trend_table", """WITH c AS (SELECT (gx + 0.5) * 200.0 / 1e5 AS x, (gy + 0.5) * 200.0 / 1e5 AS y, n, m AS v FROM (
+ SELECT CAST(floor(x / 200) AS BIGINT) AS gx, CAST(floor(y / 200) AS BIGINT) AS gy, count(h) AS n, quantile_cont(h, 0.5) AS m FROM points GROUP BY 1, 2) WHERE n >= 100),
+ m AS (SELECT count(*) - 3 AS dof, sum(n)::DOUBLE AS w, sum(n * x) / sum(n) AS mx, sum(n * y) / sum(n) AS my, sum(n * v) / sum(n) AS mv FROM c),
+ z AS (SELECT any_value(dof) AS dof, any_value(w) AS w, any_value(mx) AS mx, any_value(my) AS my, any_value(mv) AS mv, sum(n * (x - mx) ^ 2) AS xx, sum(n * (y - my) ^ 2) AS yy, sum(n * (x - mx) * (y - my)) AS xy,
+  sum(n * (x - mx) * (v - mv)) AS xv, sum(n * (y - my) * (v - mv)) AS yv, sum(n * (v - mv) ^ 2) AS vv FROM c, m),
+ b AS (SELECT *, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS e, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS o FROM z),
+ r AS (SELECT *, (vv - e * xv - o * yv) / dof AS s2, xx * yy - xy * xy AS det FROM b),
+ t AS (SELECT 'constant' AS term, mv - e * mx - o * my AS coef, sqrt(s2 * (1 / w + (mx * mx * yy - 2 * mx * my * xy + my * my * xx) / det)) AS se FROM r UNION ALL
+  SELECT 'east', e, sqrt(s2 * yy / det) FROM r UNION ALL SELECT 'north', o, sqrt(s2 * xx / det) FROM r)
+ SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(coef / se, 4) AS t FROM t""")
+def a17t(spark, d):
+    return rounded(R.trend_table(R.grid_stats(V.points(spark, d), "h", 200.0, 100)).drop("p"), places=4)
+
+
 def height_inputs(spark, d):
     p = V.points(spark, d).selectExpr("comid div 2 AS segment_id", "comid div 20 AS levee_id", "h", "dz", "canopy")
     s = V.reaches(spark, d).selectExpr("comid div 2 AS segment_id", "comid div 20 AS levee_id", "uparea").groupBy("segment_id", "levee_id").agg(

@@ -195,3 +195,10 @@ def test_stream_steadiness_equals_batch(spark, tmp_path):
     for k, r in got.items():
         w = want[k]["dV_dt_m3s"]
         assert (r["dV_dt_m3s"] is None) == (w is None) and (w is None or abs(r["dV_dt_m3s"] - w) < 1e-6)
+
+
+def test_student_p_by_table():
+    """Two-sided 5 % points of Student's t."""
+    for dof, t in ((1, 12.7062), (2, 4.30265), (5, 2.57058), (10, 2.22814), (30, 2.04227), (120, 1.97993)):
+        assert abs(RB.student_p(t, dof) - 0.05) < 1e-5 and abs(RB.student_p(-t, dof) - 0.05) < 1e-5
+    assert RB.student_p(0.0, 7) == 1.0
