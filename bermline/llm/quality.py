@@ -109,7 +109,7 @@ def follow_leader(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOC
 
 def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """All rows of the bounded sample, in the order of a hash of the id."""
-    pdf = pdf.sort_values(["_order", "_id"])
+    pdf = pdf.sort_values(["_order", "_id", "_label", "_text"])
     texts = pa.array(pdf["_text"].tolist(), pa.string())
     rows = []
     for _, _, data, offsets in slices(texts):
@@ -136,7 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     return w
 
 
-def _score(weights: np.ndarray, name: str):
+def _score(weights: np.ndarray, name: str, text_at: int, kept: int):
     at = np.flatnonzero(weights).astype(np.int32)
     values = weights[at].astype(np.float64)
 
@@ -145,11 +145,11 @@ def _score(weights: np.ndarray, name: str):
         w[at] = values
         for b in batches:
             told = []
-            for _, _, data, offsets in slices(b.column(b.num_columns - 1), 1 << 20):
+            for _, _, data, offsets in slices(b.column(text_at)):
                 index, counts = features(data, offsets)
                 row = np.repeat(np.arange(len(counts)), counts)
                 told.append(1 / (1 + np.exp(-np.clip(np.bincount(row, w[index], len(counts)) / np.sqrt(np.maximum(counts, 1)), -30, 30))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(told) if told else np.zeros(0))], names=[*b.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(np.concatenate(told) if told else np.zeros(0))], names=[*b.schema.names[:kept], name])
     return run
 
 
@@ -159,5 +159,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text", keep
     Only the whole text is looked at. A null text scores as an empty one. An input column named ``out`` is replaced.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != out and (keep is not None or c != text)]
-    slim = docs.select(*keep, F.col(text).cast("string").alias("_scored"))
-    return slim.mapInArrow(_score(weights, out), T.StructType([*slim.schema.fields[:-1], T.StructField(out, T.DoubleType())]))
+    sent = text in keep and isinstance(docs.schema[text].dataType, T.StringType)  # then the text goes to Python once
+    slim = docs.select(*keep) if sent else docs.select(*keep, F.col(text).cast("string").alias("_scored"))
+    at = keep.index(text) if sent else len(keep)
+    return slim.mapInArrow(_score(weights, out, at, len(keep)), T.StructType([*slim.schema.fields[: len(keep)], T.StructField(out, T.DoubleType())]))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on text whose A-Z are lower-cased
 SPACED = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1_000_000
 
 _b = np.arange(256)
 _ALNUM_LOWER = np.where((_b >= 65) & (_b <= 90), _b + 32, _b).astype(np.uint8)
@@ -43,14 +43,14 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64, at least ``n`` of each."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size, b = max(n, 1 << 16), int(_BASES[base])
+        size, b = 1 << max(n - 1, 1 << 16).bit_length(), int(_BASES[base])
         both = []
         for x in (b, pow(b, -1, 1 << 64)):
             p = np.full(size, x, np.uint64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
         have = both[0], both[1]
-        if size <= SLICE_BYTES * 2:
+        if size <= 1 << 21:  # what a usual slice needs; the powers for a very long text are not kept
             _powers[base] = have
     return have
 
