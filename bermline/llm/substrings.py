@@ -88,9 +88,9 @@ def _kept(window: int, text_at: int, columns: list[str]):
     """Words that stay. Last column: (whole, starts of removed windows or null for a whole copy) of the row's id."""
     def run(batches):
         for b in batches:
-            n_words, n_removed, kept = [], [], []
             acts = b.column(b.num_columns - 1)
             for r0, r1, data, offsets in slices(b.column(text_at)):
+                n_words, n_removed, kept = [], [], []
                 raw = data.tobytes()
                 hashes = None
                 for i in range(r1 - r0):
@@ -116,8 +116,9 @@ def _kept(window: int, text_at: int, columns: list[str]):
                     n_words.append(n)
                     n_removed.append(n - len(ws))
                     kept.append(b" ".join(ws))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                                              pa.array(kept, pa.binary()).cast(pa.string())], names=[*columns, "n_words", "n_removed", "kept_text"])
+                part = b.slice(r0, r1 - r0).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                                                  pa.array(kept, pa.binary()).cast(pa.string())], names=[*columns, "n_words", "n_removed", "kept_text"])
     return run
 
 
@@ -138,7 +139,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id: str = "doc_id", text:
     key = F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)).alias("_id")
     slim = docs.select(key, F.col(text).cast("string").alias("_text"))
     anchors = slim.mapInArrow(_passages(window), "_anchor long, _whole long, _pos int")
-    shared = anchors.groupBy("_anchor").agg(F.min("_whole").alias("_a"), F.max("_whole").alias("_b")).filter("_a <> _b").select("_anchor")
+    # the few repeated keys are written first, so that the join's own shuffle stands alone and AQE can split a hot key
+    shared = cut_lineage(anchors.groupBy("_anchor").agg(F.min("_whole").alias("_a"), F.max("_whole").alias("_b")).filter("_a <> _b").select("_anchor"))
     wholes = slim.mapInArrow(_wholes(window), "_id long, _whole long")
     earliest = cut_lineage(wholes.groupBy("_whole").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last")))
     # one row for a text, however many copies it has
@@ -146,7 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id: str = "doc_id", text:
     marks = cut_lineage(marks.join(earliest.select("_whole", "_id"), "_whole"))
     marked, _ = split_by_keys(slim, "_id", marks.select("_id").distinct())
     windows = marked.join(marks, "_id").select("_id", "_text", "_whole", "_marks").mapInArrow(_windows(window), "_w1 long, _w2 long, _id long, _whole long, _pos int")
-    firsts = windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max")).filter("_min < _max").select("_w1", "_w2", "_min")
+    firsts = cut_lineage(windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max")).filter("_min < _max").select("_w1", "_w2", "_min"))
     gone = windows.join(firsts, ["_w1", "_w2"]).filter("_id > _min").groupBy("_id", "_whole").agg(F.collect_set("_pos").alias("_starts"))
     copies = (wholes.join(earliest.filter("_id < _last").select("_whole", F.col("_id").alias("_min")), "_whole").filter("_id > _min")
               .select("_id", "_whole", F.lit(None).cast("array<int>").alias("_starts")).distinct())
