@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bermline.llm.decontamination import words_of
+from bermline.llm.decontamination import exact_words, raw_words, text_key
 from bermline.llm.license_rules import REACH, Rule, rules
+from bermline.session import cut_lineage
 
 
 def rule_table(spark, listed: list[Rule]) -> DataFrame:
@@ -18,25 +19,26 @@ def rule_table(spark, listed: list[Rule]) -> DataFrame:
     return spark.createDataFrame(listed, "rule int, label string, keyword string, before string, after string, near string, priority int, weight double, base boolean")
 
 
-def detections(docs: DataFrame, id: str = "doc_id", text: str = "text", listed: list[Rule] | None = None) -> DataFrame:
-    """Every place where a rule matches: ``_id, text_hash, start, end, rule, label, priority, weight, base`` (words from 0, end exclusive).
+def detections(docs: DataFrame, text: str = "text", listed: list[Rule] | None = None) -> DataFrame:
+    """Every place where a rule matches: ``_hash, _more, start, end, rule, label, priority, weight, base`` (words from 0, end exclusive).
 
-    One row per place and rule, also for repeated rows of ``docs``. Null texts have no words.
+    One row for each place of a text and rule, however many rows have the text. Null texts have no words.
     """
-    known = F.broadcast(rule_table(docs.sparkSession, listed if listed is not None else rules()))
-    slim = docs.select(F.col(id).alias("_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), words_of(F.col(text)).alias("_words"))
-    places = slim.select("_id", "text_hash", "_words", F.posexplode("_words").alias("_pos", "_word"))
+    known = rule_table(docs.sparkSession, listed if listed is not None else rules())
+    slim = docs.select(*text_key(F.col(text)), F.col(text).cast("string").alias("_text"))
+    places = slim.select("_hash", "_more", F.posexplode(raw_words(F.col("_text"))).alias("_pos", "_word"))
+    met = cut_lineage(places.join(F.broadcast(known.select("keyword").distinct()), F.lower("_word") == F.col("keyword")).select("_hash", "_more", "_pos", "keyword").distinct())
     low = F.greatest(F.col("_pos") - REACH, F.lit(0))
-    around = F.array_join(F.slice("_words", low + 1, F.lit(2 * REACH + 1)), " ")
-    near = places.join(known, (F.col("_word") == F.col("keyword")) & around.contains(F.col("near")))
-    ahead = F.slice("_words", low + 1, F.col("_pos") - low)
-    behind = F.slice("_words", F.col("_pos") + 2, F.lit(REACH))
-    near = near.select("_id", "text_hash", "_pos", "rule", "label", "priority", "weight", "base",
-                       F.regexp_substr(F.concat(F.array_join(F.transform(ahead, lambda w: F.concat(w, F.lit(" "))), ""), F.lit("|")), F.col("before")).alias("_lead"),
-                       F.regexp_substr(F.concat(F.lit("|"), F.array_join(F.transform(behind, lambda w: F.concat(F.lit(" "), w)), "")), F.col("after")).alias("_tail"))
+    before, behind = F.slice("_words", low + 1, F.col("_pos") - low), F.slice("_words", F.col("_pos") + 2, F.lit(REACH))
+    lead = F.concat(F.array_join(before, " "), F.when(F.size(before) > 0, " ").otherwise(""), F.lit("|"))
+    tail = F.concat(F.lit("|"), F.when(F.size(behind) > 0, " ").otherwise(""), F.array_join(behind, " "))
+    around = exact_words(slim, met).filter(F.element_at("_words", F.col("_pos") + 1) == F.col("keyword")).select(
+        "_hash", "_more", "_pos", F.col("keyword").alias("_key"), lead.alias("_lead"), tail.alias("_tail"))
+    near = around.join(F.broadcast(known), (F.col("_key") == F.col("keyword")) & (F.col("_lead").contains(F.col("near")) | F.col("_tail").contains(F.col("near"))))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    found = near.filter("_lead IS NOT NULL AND _tail IS NOT NULL")
-    return found.select("_id", "text_hash", (F.col("_pos") - blanks(F.col("_lead"))).alias("start"), (F.col("_pos") + 1 + blanks(F.col("_tail"))).alias("end"),
+    ahead, after = F.regexp_substr("_lead", F.col("before")), F.regexp_substr("_tail", F.col("after"))
+    found = near.select("_hash", "_more", "_pos", ahead.alias("_lead"), after.alias("_tail"), "rule", "label", "priority", "weight", "base").filter("_lead IS NOT NULL AND _tail IS NOT NULL")
+    return found.select("_hash", "_more", (F.col("_pos") - blanks(F.col("_lead"))).alias("start"), (F.col("_pos") + 1 + blanks(F.col("_tail"))).alias("end"),
                         "rule", "label", "priority", "weight", "base").distinct()
 
 
@@ -45,7 +47,7 @@ def resolve(found: DataFrame) -> DataFrame:
 
     Of equal intervals the higher priority stays, then the earlier rule.
     """
-    order = Window.partitionBy("_id", "text_hash").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_hash", "_more").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted({r.priority for r in rules() if not r.base})
     own = found.filter("NOT base")
     for p in levels:  # furthest end so far among detections of at least this priority
@@ -62,17 +64,16 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     ``n_base`` counts the places of base phrases, ``first_word`` and ``last_word`` are their smallest and largest start
     (null if none); labels are distinct, sorted and comma-joined, ``score`` is the largest weight of what stays (0 if
-    nothing), ``n_found`` the number of detections that stay. Null and empty texts have no words and no labels. Rows are
-    told apart by id and text; repeated rows repeat their result. Other columns are ignored.
+    nothing), ``n_found`` the number of detections that stay. Null and empty texts have no words and no labels. Results
+    depend on the text alone: ids may be null or repeat, repeated rows repeat their result. Other columns are ignored.
     """
-    kept = resolve(detections(docs, id, text))
+    kept = resolve(cut_lineage(detections(docs, text)))
     base = F.when(F.col("base"), F.col("start"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    by_text = kept.groupBy("_id", "text_hash").agg(
+    by_text = kept.groupBy("_hash", "_more").agg(
         F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("weight").alias("score"), F.count(F.lit(1)).alias("n_found"))
-    by_text = by_text.withColumnsRenamed({"_id": "_fid", "text_hash": "_fhash"})
-    light = docs.select(F.col(id).alias("_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_hash"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    light = docs.select(F.col(id).alias("_id"), *text_key(F.col(text)), F.size(raw_words(F.col(text))).cast("long").alias("n_words"))
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
-    return light.join(by_text, light["_id"].eqNullSafe(by_text["_fid"]) & (light["_hash"] == by_text["_fhash"]), "left").select(
+    return light.join(by_text, ["_hash", "_more"], "left").select(
         F.col("_id").alias(id), "n_words", zero("n_base", 0), "first_word", "last_word", zero("base_labels", ""), zero("labels", ""), zero("score", 0.0), zero("n_found", 0))
