@@ -103,8 +103,8 @@ def test_thinning_of_many_masks_equals_whole(spark):
     r = np.random.default_rng(12)
     masks = []
     for k in range(200):
-        a = (r.random((24 + k % 41, 24 + k % 41)) < 0.55 + 0.35 * r.random()).astype(np.uint8)
-        a[r.integers(0, 20):, :3 + k % 5] = 1
+        a = (r.random((14 + k % 19, 14 + k % 19)) < 0.55 + 0.35 * r.random()).astype(np.uint8)
+        a[r.integers(0, 12):, : 3 + k % 5] = 1
         masks.append(a)
     rows = [(k, int(i), int(j)) for k, a in enumerate(masks) for i, j in np.argwhere(a)]
     df = spark.createDataFrame(rows, "m long, row long, col long")
