@@ -2,10 +2,11 @@
 
 Of all pieces of K characters those are anchors whose smallest inner piece of S characters lies at their front or back
 edge. Whether a piece is an anchor depends on its own characters alone, so an edit only disturbs the anchors it touches
-and equal passages keep theirs wherever they stand. A fingerprint lists the anchors in text order: 8 hex digits of the
-hash, then the distance from the anchor before in base 36, closed by a dot.
+and equal passages keep theirs wherever they stand. Only a text of at least SURE characters is sure to have one, so in a
+text shorter than twice that every inner piece is an anchor as well; the top bit of its hash is set. A fingerprint lists
+the anchors in text order: 8 hex digits of the hash, then the distance from the anchor before in base 36, closed by a dot.
 
-Two fingerprints are compared by position: common anchors are paired in order of occurrence, and the longest chain of
+Two fingerprints are compared on their inner pieces if both have some, else on their syncmers, and by position: common anchors are paired in order of occurrence, and the longest chain of
 pairs that runs forward in both counts. Likeness = 2 * chain / (anchors of both).
 """
 from __future__ import annotations
@@ -23,28 +24,32 @@ from bermline.llm.text import mix
 from bermline.operators.ordered import bucket_of, order_splits
 
 K, S = 30, 6
+SURE = 2 * K - S  # one more than needed: of K - S pieces of K characters in a row one is a closed syncmer
+_PIECE = np.uint32(1 << 31)
 _POWERS = [pow(0x9E3779B97F4A7C15, e, 1 << 64) for e in range(S)]
 _JOIN = mix(np.arange(1, K // S + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and positions of the closed syncmers of a text, in order.
+    """Hashes (32 bits, the top one tells inner pieces from syncmers) and positions of the anchors of a text, in order.
 
-    Of a text shorter than K characters every inner piece is an anchor, of one shorter than S the whole; the empty text has none.
+    Texts shorter than 2 * SURE characters have their inner pieces, those shorter than S the whole as one; texts of K
+    characters or more have their closed syncmers. The empty text alone has no anchor.
     """
     if not text:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(c) < S:
         whole = mix(np.array([sum((int(x) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, x in enumerate(c)) % (1 << 64)], np.uint64))
-        return (whole >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
+        return (whole >> np.uint64(32)).astype(np.uint32) | _PIECE, np.zeros(1, np.int64)
     n = len(c) - S + 1
     inner = np.zeros(n, np.uint64)
     for e in range(S):
         inner += c[e : e + n] * np.uint64(_POWERS[e])
     inner = mix(inner)
+    pieces = (inner >> np.uint64(32)).astype(np.uint32) | _PIECE
     if len(c) < K:
-        return (inner >> np.uint64(32)).astype(np.uint32), np.arange(n)
+        return pieces, np.arange(n)
     width = K - S + 1
     low, span = inner, 1
     while span * 2 <= width:
@@ -56,7 +61,12 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(at), np.uint64)
     for j in range(K // S):
         h += inner[at + j * S] * _JOIN[j]
-    return (mix(h) >> np.uint64(32)).astype(np.uint32), at
+    h = (mix(h) >> np.uint64(32)).astype(np.uint32) & ~_PIECE
+    if len(c) >= 2 * SURE:
+        return h, at
+    h, at = np.concatenate([pieces, h]), np.concatenate([np.arange(n), at])
+    order = np.argsort(at, kind="stable")
+    return h[order], at[order]
 
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -86,9 +96,16 @@ def parse(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of anchors on the longest common forward chain of two anchor sequences, 0 to 1; 1 if both are empty."""
+    """Share of anchors on the longest common forward chain of two anchor sequences, 0 to 1; 1 if both are empty.
+
+    Inner pieces count if both sequences have some, else the syncmers: of texts whose lengths differ by less than the
+    factor 2 one kind is in both.
+    """
     if not len(a) and not len(b):
         return 1.0
+    fine, other = a >= _PIECE, b >= _PIECE
+    both = fine.any() and other.any()
+    a, b = a[fine == both], b[other == both]
     if not len(a) or not len(b) or not np.isin(a, b).any():
         return 0.0
     same = 0  # a common start needs no search

@@ -369,6 +369,24 @@ def test_syncmers_are_context_free(spark):
     assert [x.fingerprint for x in sorted(got)] == ["", fingerprints.fingerprint(h, at)]
 
 
+def test_short_texts_have_anchors(spark):
+    r = random.Random(11)
+    draw = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    near = lambda a, b: fingerprints.likeness(fingerprints.anchors(a)[0], fingerprints.anchors(b)[0])
+    for n in [*range(1, 120), 500]:
+        t = draw(n)
+        h, at = fingerprints.anchors(t)
+        assert len(h) and all((x == y).all() for x, y in zip(fingerprints.parse(fingerprints.fingerprint(h, at)), (h, at))) and near(t, t) == 1
+    for n in range(30, 2 * fingerprints.SURE):
+        t, k = draw(n), r.randrange(n)
+        assert near(t, draw(n)) < 0.1 and 0.6 < near(t, t[:k] + "#" + t[k + 1:]) < 1  # another text, one other character
+        assert 0.5 < near(t, t[: n - n // 4] + draw(n // 4)) < 0.9 and near(t, t[n // 8 :]) > 0.85
+    short, long = draw(40), draw(400)
+    assert near(short, long) == 0 and near(short, short + long) < 0.5
+    got = fingerprints.fingerprint_texts(spark.createDataFrame([(i, draw(30 + i)) for i in range(24)], DOCS))
+    assert got.filter("fingerprint = ''").count() == 0 and got.select("fingerprint").distinct().count() == 24
+
+
 # --- mixing
 
 def test_mix_meets_its_targets(spark, monkeypatch):
