@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: documents whose sets of word n-grams are alike, found by a MinHash LSH forest.
+"""N-gram Jaccard join: documents whose sets of word n-grams are alike, found by MinHash banding of fixed depth.
 
-Every text gets ``TREES`` labels of ``MAX_DEPTH`` minimum hashes; a tree is the sorted prefix trie of one label. A
-match may be shortened level by level: two texts of similarity s agree on a prefix of k hashes in some of l trees with
-probability ``1 - (1 - s**k)**l``. ``stop_depth`` walks up from the deepest level until a pair at the threshold itself
-is met with the target recall; pairs that match deeper share the shorter prefix too, so the join reads this level.
-Texts that share a node there are compared exactly.
+Every text gets ``TREES`` bands of k minimum hashes. Two texts of similarity s agree in some of l bands with probability
+``1 - (1 - s**k)**l``; ``stop_depth`` gives the largest k up to ``MAX_DEPTH`` at which a pair at the threshold itself is
+met with the target recall. That is the level at which an LSH forest that shortens its matches for this threshold would
+be read, and the only one that is made. Texts that share a band (a node) are compared exactly, unless all their partners
+there fall ``SLACK`` standard errors below the threshold by the estimate of all minima.
 
 Pairs are never rows. A node with many texts is cut into blocks by hash, a task gets two blocks of one node, and
 returns only counts and a spanning forest of the links. A pair that shares nodes of several trees is counted in the
@@ -21,14 +21,14 @@ from bermline.llm.text import list_values, lists, mix, rolling, signed, slices,
 from bermline.operators.graphs import components
 from bermline.session import cut_lineage
 
-TREES, MAX_DEPTH, RECALL = 24, 8, 0.9999
+TREES, MAX_DEPTH, RECALL = 40, 8, 1 - 1e-9
 BLOCK = 1024  # texts of one node that a task gets from one side
 STRIP = 512  # rows of a block compared at once
-SLACK = 5.0  # standard errors that an estimate may fall below the threshold
+SLACK = 7.0  # standard errors that an estimate may fall below the threshold
 
 
 def stop_depth(threshold: float, trees: int = TREES, deepest: int = MAX_DEPTH, recall: float = RECALL) -> int:
-    """Longest prefix at which a pair of this similarity meets in some tree with the target recall."""
+    """Most hashes of a band at which a pair of this similarity meets in some band with the target recall."""
     for k in range(deepest, 1, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k

@@ -1,5 +1,6 @@
 """Every operator against brute force on small tables: nulls, empty and very long texts, ties, repeats, clashing columns, no rows."""
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -155,6 +156,14 @@ def test_ngram_join_edges(spark):
     assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** ngram_join.TREES
 
 
+def test_ngram_join_loses_no_link_of_a_large_group():
+    pairs, k = 10_000 * 9_999 / 2, ngram_join.stop_depth(0.8)
+    assert pairs * (1 - 0.8**k) ** ngram_join.TREES < 0.1  # all pairs at the threshold itself
+    m = ngram_join.TREES * k
+    least = 0.8 - ngram_join.SLACK * math.sqrt(0.8 * 0.2 / m)
+    assert sum(math.comb(m, i) * 0.8**i * 0.2 ** (m - i) for i in range(m) if i / m < least) < 1e-9  # a pair left out by its sketch
+
+
 # --- decontamination
 
 def test_decontamination_equals_brute_force(spark):
