@@ -260,6 +260,21 @@ def test_license_labels_equal_brute_force(spark):
     assert got == {i: brute_licenses(t) for i, t in rows}
 
 
+def test_versions_bare_names_and_license_bodies(spark):
+    want = [("licensed under the GPL v3", "gpl-3"), ("under LGPL v2.1", "lgpl-2"), ("under the MPL v2.0", "mpl-2"), ("released under AGPL v3", "agpl-3"), ("available under the GPL.", "gpl"),
+            ("under the LGPL", "lgpl"), ("under the AGPL", "agpl"), ("under the MPL", "mpl"), ("It has the GNU General Public License v3", "gpl-3"), ("GNU Lesser General Public License, version 2.1", "lgpl-2"),
+            ("Eclipse Public License v2.0", "epl-2"), ("Apache License v2.0", "apache-2"), ("under CC BY-SA v4.0", "cc-by-sa"), ("under Artistic License v2.0", "artistic-2"), ("license: LGPLv3", "lgpl-3"),
+            ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+            ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", "boost-1"),
+            ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+            ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+            ("In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
+            ("This is free and unencumbered software released into the public domain.", "unlicense"), ("the gpl and the mpl", ""), ("redistribution of wealth", "")]
+    got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], DOCS)).collect()}
+    assert [(t, got[i].labels) for i, (t, _) in enumerate(want)] == want and all((got[i].score > 0) == bool(label) for i, (_, label) in enumerate(want))
+    assert {i: (x.labels, x.score, x.n_found) for i, x in got.items()} == {i: brute_licenses(t) for i, (t, _) in enumerate(want)}
+
+
 def test_inner_detections_are_suppressed(spark):
     rows = [(1, 7, 0, 5, 1, "a", 2, 0.9, False), (1, 7, 1, 4, 2, "b", 2, 0.9, False), (1, 7, 1, 4, 3, "c", 3, 0.9, False), (1, 7, 0, 5, 4, "d", 2, 0.9, False),
             (1, 7, 4, 8, 5, "e", 1, 0.9, False), (1, 7, 1, 2, 6, "f", 5, 1.0, True), (2, 7, 1, 4, 7, "g", 1, 0.9, False)]
