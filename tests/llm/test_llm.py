@@ -468,6 +468,21 @@ def test_extraction(spark):
     assert extraction.extract(df.filter("false"), model).count() == 0
 
 
+def test_extraction_keeps_embedded_text(spark):
+    seen = lambda h: " ".join("".join(t for _, _, t in read_page(h).texts).split())
+    assert seen("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b <svg><title/><desc>no</desc><text>in</text></svg> c") == "a x=2 b in c"
+    assert seen("<select><option>no<option>no</select>a <textarea>no</textarea><script>no</script><template>no</template>b") == "a b"
+    for tag in ("object", "math", "canvas", "noscript", "svg"):
+        assert seen(f"<article><div>a <{tag}>in </div>b</article> c") == "a in b c"
+    assert seen("<div>a <select><option>no</div>b") == seen("<p>a <select><option>no<p>b") == seen("<div>a <select><option>no<h2>b") == "a b"
+    pages = ["<article><h1>Title</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be the value of it</p><object data=f><p>The figure shows the sea</p></object><p>And so on</p></article>",
+             "<article><p>The first part of the text</p><p>Here <object data=f>a film</p><p>The second part of the text</p></article>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {x.page_id: x.text for x in extraction.extract(df, extraction.fit_extractor(spark)).collect()}
+    assert got[0] == "Title\nLet x=2 be the value of it\nThe figure shows the sea\nAnd so on"
+    assert got[1] == "The first part of the text\nHere a film\nThe second part of the text"
+
+
 def test_marginals_equal_enumeration():
     counts = Counter()
     for k in range(60):
