@@ -34,15 +34,30 @@ def s1(spark, d):
     return f.select("line_id", "xmin", "ymin", "xmax", "ymax", F.size("parts").cast("long").alias("n_parts"))
 
 
-@query("s2_write_features", "SELECT line_id, 3035 AS epsg, true AS moved FROM lines")
+def _s2_sql() -> str:
+    """Coordinates in 3035 of points given in 2180, step by step: inverse transverse Mercator, authalic latitude, azimuthal forward."""
+    tm, la = crs.PROJECTIONS[2180], crs.PROJECTIONS[3035]
+    series = lambda c, f, g="": " - ".join(f"{v!r} * {f}({2 * j} * xi)" + (f" * {g}({2 * j} * eta)" if g else "") for j, v in enumerate(c, 1))
+    delta = " + ".join(f"{v!r} * sin({2 * j} * chi)" for j, v in enumerate(crs._DELTA, 1))
+    q = lambda s: f"((1 - {crs.E2!r}) * ({s} / (1 - {crs.E2!r} * {s} * {s}) - ln((1 - {crs.E!r} * {s}) / (1 + {crs.E!r} * {s})) / {2 * crs.E!r}))"
+    return f"""WITH a AS (SELECT line_id, (ay + 400000 - ({tm.fn})) / {tm.k0 * crs._KR!r} AS xi, (ax + 500000 - {tm.fe}) / {tm.k0 * crs._KR!r} AS eta FROM lines),
+ b AS (SELECT line_id, xi - {series(crs._BETA, "sin", "cosh")} AS xp, eta - {series(crs._BETA, "cos", "sinh")} AS ep FROM a),
+ c AS (SELECT line_id, asin(sin(xp) / cosh(ep)) AS chi, atan2(sinh(ep), cos(xp)) + radians({tm.lon0 - la.lon0}) AS lam FROM b),
+ d AS (SELECT line_id, sin(chi + {delta}) AS s, lam FROM c),
+ k AS (SELECT {q("1.0")} AS qp, {q(f"sin(radians({la.lat0}))")} AS q0, sin(radians({la.lat0})) AS s0),
+ e AS (SELECT line_id, lam, asin({q("s")} / qp) AS beta, asin(q0 / qp) AS b0, {crs.A} * sqrt(qp / 2) AS rq, {crs.A} * sqrt(1 - s0 * s0) / sqrt(1 - {crs.E2!r} * s0 * s0) AS m0 FROM d, k),
+ f AS (SELECT *, m0 / (rq * cos(b0)) AS dd, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(lam))) AS bb FROM e)
+SELECT line_id, 3035 AS epsg, round({la.fe} + bb * dd * cos(beta) * sin(lam), 3) AS x, round({la.fn} + bb / dd * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(lam)), 3) AS y FROM f"""
+
+
+@query("s2_write_features", _s2_sql())
 def s2(spark, d):
-    """Written in one system, read in another, and checked by going back."""
+    """Written in one system, read in another: coordinates of the first vertex."""
     p = scratch(spark)
     q = F.transform("pts", lambda v: F.struct((v["x"] + 500000).alias("x"), (v["y"] + 400000).alias("y")))
     S.write_features(V.lines(spark, d).select("line_id", F.array(q).alias("parts")), p, 2180)
     f = S.read_features(spark, p, epsg=3035)
-    back = crs.reproject_columns(F.col("parts")[0][0]["x"], F.col("parts")[0][0]["y"], 3035, 2180)
-    return f.withColumn("_b", back).select("line_id", "epsg", (F.abs(F.col("_b.x") - 500000 - 1.5 * F.col("line_id")) < 1e-2).alias("moved"))
+    return f.select("line_id", "epsg", F.round(F.col("parts")[0][0]["x"], 3).alias("x"), F.round(F.col("parts")[0][0]["y"], 3).alias("y"))
 
 
 @query("s3_read_patch_metadata", """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS region, printf('pos_%07d', o_orderkey) AS patch_id, 'positive' AS patch_type, o_totalprice AS uparea, o_orderkey AS comid FROM orders""")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,10 @@ def write_features(df: DataFrame, path: str, epsg: int, parts: str = "parts", mo
     d.repartitionByRange("xmin", "ymin").sortWithinPartitions("xmin", "ymin").write.mode(mode).parquet(path)
 
 
+def _moved(parts: Column, source: int, target: int) -> Column:
+    return F.transform(parts, lambda part: F.transform(part, lambda q: reproject_columns(q["x"], q["y"], source, target)))
+
+
 def read_features(spark: SparkSession, paths: str | Sequence[str], bbox: Sequence[float] | None = None, epsg: int | None = None,
                   assume_epsg: int | None = None, parts: str = "parts", schema: T.StructType | None = None) -> DataFrame:
     """Read one or several layers (Parquet; JSON when the name ends so), filter by box, reproject to ``epsg``.
@@ -56,8 +60,7 @@ def read_features(spark: SparkSession, paths: str | Sequence[str], bbox: Sequenc
     unknown = F.raise_error(F.concat(F.lit("unknown coordinate system "), F.coalesce(F.col("epsg").cast("string"), F.lit("NULL"))))
     moved = F.when(F.col("epsg") == epsg, F.col(parts))
     for source in sorted({4326, *PROJECTIONS} - {epsg}):
-        moved = moved.when(F.col("epsg") == source, F.transform(F.col(parts), lambda part, source=source: F.transform(
-            part, lambda q: reproject_columns(q["x"], q["y"], source, epsg))))
+        moved = moved.when(F.col("epsg") == source, _moved(F.col(parts), source, epsg))
     moved = moved.otherwise(unknown.cast(out.schema[parts].dataType))
     d = out.withColumn(parts, moved).withColumn("epsg", F.lit(epsg)).drop("xmin", "ymin", "xmax", "ymax")
     return with_bounds(d, parts)
