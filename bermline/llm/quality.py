@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bermline.llm.sampling import bounded_sample, held_out
-from bermline.llm.text import mix, slices, spans
+from bermline.llm.text import lists, mix, slices, spans
+from bermline.session import cut_lineage
 
 BITS = 18
+FEATURE_BYTES = 1 << 18  # text that is turned into features at once; its temporaries are some 70 times as large
 SAMPLE = 6000  # labelled rows of each label that are learned from at most
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.3, 1.0
@@ -90,47 +92,73 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (key & ((1 << BITS) - 1)).astype(np.int32), np.bincount(key >> BITS, minlength=rows)
 
 
-def follow_leader(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a logistic regression after passes over binary sparse rows: indices and values of those not zero."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for _ in range(epochs):
-        for x, y in zip(rows, labels):
+def follow_leader(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray | None = None, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a logistic regression after passes over binary sparse rows: indices and values of those not zero.
+
+    ``importance`` multiplies a row's gradient. The state is averaged over the last pass, so the rows that happen to come
+    last don't outweigh the others.
+    """
+    z, n, late = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
+    importance = np.ones(len(rows)) if importance is None else importance
+    for epoch in range(epochs):
+        for step, (x, y, c) in enumerate(zip(rows, labels, importance)):
             zi, ni = z[x], n[x]
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            g = 1 / (1 + np.exp(-np.clip(w.sum() / np.sqrt(len(x) or 1), -30, 30))) - y
-            g = g / np.sqrt(len(x) or 1)
+            scale = np.sqrt(len(x) or 1)
+            g = c * (1 / (1 + np.exp(-np.clip(w.sum() / scale, -30, 30))) - y) / scale
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-            z[x] += g - sigma * w
+            change = g - sigma * w
+            z[x] += change
             n[x] += g * g
+            if epoch == epochs - 1:
+                late[x] += step * change  # a change made at step t is missing in t of the states after each step
+    z -= late / max(len(rows), 1)
     w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     at = np.flatnonzero(w)
     return at, w[at]
 
 
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All rows of the bounded sample, in the order of a hash of the id."""
-    pdf = pdf.sort_values(["_order", "_id", "_label", "_text"])
-    texts = pa.array(pdf["_text"].tolist(), pa.string())
-    rows = []
-    for _, _, data, offsets in slices(texts):
-        index, counts = features(data, offsets)
-        rows += np.split(index, np.cumsum(counts)[:-1])
-    at, w = follow_leader(rows, pdf["_label"].to_numpy(float))
-    return pd.DataFrame({"index": at, "weight": w})
+def _indices(batches):
+    """Distinct feature indices of each text, the last column, in its place."""
+    for b in batches:
+        made = [features(data, offsets) for _, _, data, offsets in slices(b.column(b.num_columns - 1), FEATURE_BYTES)]
+        if made:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists(np.concatenate([x for x, _ in made]), np.concatenate([c for _, c in made]), pa.int32())],
+                                             names=[*b.schema.names[:-1], "_index"])
+
+
+def _fit_group(importance: dict[int, float]):
+    """All rows of the bounded sample, in an order that has nothing to do with how they were drawn."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_bytes=[np.asarray(x, np.int32).tobytes() for x in pdf["_index"]]).sort_values(["_order", "_id", "_label", "_bytes"])
+        rows = [np.frombuffer(x, np.int32) for x in pdf["_bytes"]]
+        at, w = follow_leader(rows, pdf["_label"].to_numpy(float), pdf["_label"].map(importance).to_numpy(float))
+        return pd.DataFrame({"index": at, "weight": w})
+    return fit
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE) -> np.ndarray:
     """Weights (2**BITS numbers) from rows of ``docs`` whose id has a label of 0 or 1 and is not held out.
 
     Learns from at most ``most`` rows of each label, drawn by a hash of the id: this documented bound lets one task fit
-    them. An id with both labels counts under both; repeated labels count once. Without such rows all weights are 0.
+    them, and only feature indices are sent there. A label that the bound thins counts for all its rows, so scores follow
+    the shares of the labels in the whole table. An id with both labels counts under both; repeated labels count once.
+    Without such rows all weights are 0.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~held_out(F.col(id))).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
     present = docs.select(F.col(id).alias("_id")).distinct()
-    ids = bounded_sample(known.join(present, "_id", "left_semi"), "_label", most, "_id")
-    rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    sample = rows.join(F.broadcast(ids), "_id").select("_id", "_text", "_label", F.xxhash64("_id").alias("_order"))
-    model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_fit_group, "index long, weight double").toPandas()
+    labelled = cut_lineage(known.join(present, "_id", "left_semi"))
+    there = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = {k: min(n, most) for k, n in there.items()}
+    share = sum(taken.values()) / max(sum(there.values()), 1)
+    importance = {k: there[k] / taken[k] * share for k in there}
+    ids = bounded_sample(labelled, "_label", most, "_id")
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text"))
+    # the draw takes the smallest hashes of the id; another seed keeps the order of the passes free of it
+    sample = rows.join(F.broadcast(ids), "_id").select("_id", "_label", F.xxhash64(F.lit("pass"), "_id").alias("_order"), "_text")
+    kinds = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
+    indexed = sample.mapInArrow(_indices, f"_id {kinds['_id']}, _label int, _order long, _index array<int>")
+    model = indexed.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_fit_group(importance), "index long, weight double").toPandas()
     w = np.zeros(1 << BITS)
     w[model["index"].to_numpy(np.int64)] = model["weight"].to_numpy()
     return w
@@ -145,7 +173,7 @@ def _score(weights: np.ndarray, name: str, text_at: int, kept: int):
         w[at] = values
         for b in batches:
             told = []
-            for _, _, data, offsets in slices(b.column(text_at)):
+            for _, _, data, offsets in slices(b.column(text_at), FEATURE_BYTES):
                 index, counts = features(data, offsets)
                 row = np.repeat(np.arange(len(counts)), counts)
                 told.append(1 / (1 + np.exp(-np.clip(np.bincount(row, w[index], len(counts)) / np.sqrt(np.maximum(counts, 1)), -30, 30))))

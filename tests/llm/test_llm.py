@@ -334,6 +334,42 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95 and np.mean([g >= quality.THRESHOLD for g in good]) > 0.97
 
 
+def test_follow_leader_equals_plain_updates():
+    """The passes in plain Python with dictionaries; the last pass is averaged state by state."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 12))).astype(np.int32) for _ in range(80)]
+    labels, importance = rng.integers(0, 2, 80).astype(float), rng.choice([0.4, 1.6], 80)
+    z, n, total = Counter(), Counter(), Counter()
+    def weight(i, z, n):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+    for epoch in range(3):
+        for x, y, c in zip(rows, labels, importance):
+            scale = len(x) ** 0.5 or 1
+            w = {i: weight(i, z, n) for i in x.tolist()}
+            g = c * (1 / (1 + 2.718281828459045 ** -(sum(w.values()) / scale)) - y) / scale
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * w[i]
+                n[i] += g * g
+            if epoch == 2:
+                total.update(z)
+    mean = Counter({i: v / 80 for i, v in total.items()})
+    at, w = quality.follow_leader(rows, labels, importance, 3)
+    want = np.array([weight(i, mean, n) for i in range(60)])
+    assert np.allclose(np.bincount(at, w, 60), want, atol=1e-9)
+
+
+def test_quality_follows_the_share_of_a_thinned_label(spark):
+    """Labels drawn 9 to 1 without regard to the text, more than the bound: scores stay near the share of label 1."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), i -> concat('w', pmod(xxhash64(id, i), 200)))) AS text")
+    labels = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN pmod(xxhash64(id, 'l'), 10) = 0 THEN 0 ELSE 1 END AS quality")
+    for one, share in ((labels, 0.9), (labels.selectExpr("doc_id", "1 - quality AS quality"), 0.1)):
+        for most in (300, 1500, 10000):
+            scores = [x.score for x in quality.score_quality(docs, quality.fit_quality(docs, one, most=most)).collect()]
+            assert abs(np.mean(scores) - share) < 0.1, (share, most)
+
+
 def test_quality_edges(spark):
     r = random.Random(3)
     docs = spark.createDataFrame([(i, prose(r, 40) if i % 2 else "### ***\n" * 20) for i in range(120)] + [(300, None), (301, ""), (302, "x " * 100000), (None, "a b"), (1, "other row")], DOCS)
