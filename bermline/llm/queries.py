@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bermline.llm.chat import format_conversations, masked_text, read_turns
 from bermline.llm.decontamination import contamination
 from bermline.llm.extraction import extract, fit_extractor
+from bermline.llm.filter_audit import audit_documents
 from bermline.llm.fingerprints import compare_neighbours
 from bermline.llm.language import fit_languages, identify
 from bermline.llm.licenses import scan_licenses
@@ -130,3 +131,26 @@ def op10(spark, d):
 @query("op9_html_extraction")
 def op9(spark, d):
     return extract(table(spark, d, "pages"), fit_extractor(spark), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+     f AS (SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > first_id)::INT AS fails FROM w),
+     g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (toxic = 1) AS n_toxic FROM f LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+     l AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+     o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+     s AS (SELECT array_to_string(['ABCDE'[x + 1] for x in ks], '') AS filter_order, step::INT AS step, (1 << ks[step])::INT AS own,
+             coalesce(list_sum([1 << x for x in ks[1 : step - 1]]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+     x AS (SELECT *, (fails & own) > 0 AS o, (fails & before) > 0 AS b FROM g, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT o AND NOT b), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (o AND NOT b), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (o AND b), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n_good) FILTER (o AND NOT b), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (o AND NOT b), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(fails), 1)) FILTER (o), 0)::BIGINT AS shapley
+FROM x GROUP BY 1, 2, 3"""
+
+
+@query("op12_filter_interaction_audit", OP12_SQL)
+def op12(spark, d):
+    return audit_documents(table(spark, d, "documents"), table(spark, d, "labels"))
