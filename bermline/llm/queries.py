@@ -14,6 +14,7 @@ from bermline.llm.licenses import scan_licenses
 from bermline.llm.mixing import mix_sources
 from bermline.llm.ngram_join import near_duplicates
 from bermline.llm.quality import THRESHOLD, fit_quality, score_quality
+from bermline.llm.ranked_search import rank_documents
 from bermline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from bermline.llm.sampling import held_out
 from bermline.llm.substrings import remove_repeats
@@ -154,3 +155,23 @@ FROM x GROUP BY 1, 2, 3"""
 @query("op12_filter_interaction_audit", OP12_SQL)
 def op12(spark, d):
     return audit_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}') AS ws FROM documents),
+     i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM}')) AS term FROM benchmark),
+     q AS (SELECT item_id, term, count(*) AS repeats FROM i GROUP BY 1, 2),
+     total AS (SELECT count(*) FILTER (len(ws) > 0) AS nn, sum(len(ws))::BIGINT AS ll FROM d),
+     words AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+     tf AS (SELECT doc_id, n, term, count(*) AS tf FROM words SEMI JOIN q USING (term) GROUP BY 1, 2, 3),
+     df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+     w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
+     s AS (SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll))))::BIGINT AS score
+           FROM q JOIN w USING (term) JOIN tf USING (term), total GROUP BY 1, 2),
+     r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+@query("op11_ranked_lexical_search", OP11_SQL)
+def op11(spark, d):
+    return rank_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
