@@ -18,6 +18,7 @@ from bermline.llm.ranked_search import rank_documents
 from bermline.llm.registry import QUERIES, SQL, query  # noqa: F401
 from bermline.llm.sampling import held_out
 from bermline.llm.substrings import remove_repeats
+from bermline.llm.suffix_dedup import remove_repeated_bytes
 from bermline.llm.text import ALNUM, SPACED
 
 
@@ -175,3 +176,23 @@ SELECT * FROM r WHERE rank <= 10"""
 @query("op11_ranked_lexical_search", OP11_SQL)
 def op11(spark, d):
     return rank_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+     s AS (SELECT doc_id, p, md5(substr(hx, 2 * p + 1, 400)) AS k FROM d, unnest(range(0, greatest(len(hx) // 2 - 199, 0))) r(p)),
+     twice AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+     hit AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, -1) AS opens FROM s SEMI JOIN twice USING (k)),
+     numbered AS (SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit),
+     runs AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM numbered GROUP BY doc_id, run),
+     gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z0, a, z FROM runs),
+     told AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(hx, 2 * z0 + 1, 2 * (a - z0)), '' ORDER BY a) || substr(any_value(hx), 2 * max(z) + 1) AS kept
+              FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(hx) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256
+FROM d LEFT JOIN told USING (doc_id)"""
+
+
+@query("op13_suffix_array_dedup", OP13_SQL)
+def op13(spark, d):
+    cut = remove_repeated_bytes(table(spark, d, "documents"), keep=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
