@@ -180,7 +180,8 @@ def op11(spark, d):
 
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-     s AS (SELECT doc_id, p, md5(substr(hx, 2 * p + 1, 400)) AS k FROM d, unnest(range(0, greatest(len(hx) // 2 - 199, 0))) r(p)),
+     c AS (SELECT doc_id, a, substr(hx, 2 * a + 1, 2 * 699) AS hx FROM d, unnest(range(0, greatest(len(hx) // 2 - 199, 0), 500)) r(a)),
+     s AS (SELECT doc_id, a + p AS p, md5(substr(hx, 2 * p + 1, 400)) AS k FROM c, unnest(range(0, len(hx) // 2 - 199)) r(p)),
      twice AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
      hit AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, -1) AS opens FROM s SEMI JOIN twice USING (k)),
      numbered AS (SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit),
