@@ -24,7 +24,8 @@ TOP = 10
 BLOCK_ROWS = 8192
 PASS_BYTES = 8_000_000  # item text whose terms are sent to all tasks in one pass over the documents; more items take more passes
 CELLS = 1 << 22  # terms times documents of one bitmap
-SCALE, B_PERCENT = 1000, 75
+TOGETHER = 64  # documents of several masks that are scored in one step
+B_PERCENT = 75
 
 
 class Items:
@@ -119,17 +120,18 @@ def search_block(block: Block, terms: np.ndarray, weights: np.ndarray, best: Bes
         allowed = bits.astype(np.int64) @ bound
         order = np.argsort(-allowed, kind="stable")
         members = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=len(kinds)))
-        at, take = 0, 1
+        count = np.bincount(group, minlength=len(kinds))
+        ends, size = np.cumsum(count), np.cumsum(count[order])
+        at = 0
         while at < len(order) and allowed[order[at]] >= best.least:
-            chosen = order[at : at + take]
-            chosen = chosen[allowed[chosen] >= best.least]
-            rows = np.concatenate([members[ends[k - 1] if k else 0 : ends[k]] for k in chosen]) + a
+            # small groups are scored together, a large one only after all before it
+            next_ = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, "right")))
+            rows = np.concatenate([members[ends[k] - count[k] : ends[k]] for k in order[at:next_]]) + a
             for r0 in range(0, len(rows), step):
                 rows_now = rows[r0 : r0 + step]
                 best.add(block.scores(terms, weights, rows_now), ids[rows_now], nulls[rows_now])
             scored += len(rows)
-            at, take = at + take, take * 2
+            at = next_
     return scored
 
 

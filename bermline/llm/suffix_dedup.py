@@ -327,8 +327,9 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE, text: str = "text",
     shared = cut_lineage(anchors.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_c"), F.min("_segment").alias("_a"), F.max("_segment").alias("_z")).filter("_c > 1").select(
         "_anchor", (F.col("_a") != F.col("_z")).alias("_mixed")))
     places = slim.mapInArrow(_places(size, gram), "_t1 long, _t2 long, _anchor long, _segment long, _first long, _n int, _shift int")
-    place = ["_t1", "_t2", "_anchor", "_segment", "_first", "_n", "_shift", "_mixed"]
-    marked = cut_lineage(places.join(shared, "_anchor").groupBy(*place).agg(F.count(F.lit(1)).alias("_rows")))
+    # a text and a place give the rest; keys without the anchor keep this grouping apart from the join, which AQE can then split
+    place = ["_anchor", "_segment", "_n", "_shift", "_mixed"]
+    marked = cut_lineage(places.join(shared, "_anchor").groupBy("_t1", "_t2", "_first").agg(F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in place]))
     mixed = marked.filter("_mixed")
     # one place gives the bytes of a segment, however often it occurs
     chosen = mixed.groupBy("_anchor", "_segment").agg(F.sum("_rows").alias("_times"), F.min(F.struct("_t1", "_t2", "_first", "_n", "_shift")).alias("_at"))
