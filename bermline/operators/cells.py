@@ -38,6 +38,16 @@ def line_edges(lines: DataFrame, keep: Sequence[str]) -> DataFrame:
     return e.select(*keep, "edge", *[F.col(f"_e.{c}").alias(c) for c in ("x0", "y0", "x1", "y1", "len")])
 
 
+def short_edges(edges: DataFrame, longest: float) -> DataFrame:
+    """Cut long edges, so that the bounding box of a piece covers few cells."""
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / longest)).cast("int")
+    d = edges.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    a, b = F.col("_k") / F.col("_n"), (F.col("_k") + 1) / F.col("_n")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    new = {"_a": F.col("x0") + a * dx, "_b": F.col("y0") + a * dy, "_c": F.col("x0") + b * dx, "_d": F.col("y0") + b * dy}
+    return d.withColumns(new).drop("x0", "y0", "x1", "y1", "_n", "_k").withColumnsRenamed({"_a": "x0", "_b": "y0", "_c": "x1", "_d": "y1"})
+
+
 def edge_cells(edges: DataFrame, size: float, expand: float = 0.0) -> DataFrame:
     """Copy each edge to the cells it comes within ``expand`` of."""
     lo = lambda a, b: F.floor((F.least(a, b) - expand) / size)
@@ -302,18 +312,28 @@ def exclude_near(points: DataFrame, lines: DataFrame, buffer: float = 100.0, poi
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, how: str = "left_semi", size: float = 1000.0,
-                     polygon_id: str = "polygon_id") -> DataFrame:
-    """Points inside polygons: bbox cells first, exact even-odd test in the join condition."""
-    b = G.bounds(F.col("parts")[0])
-    polys = polygons.withColumn("_b", b)
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_b.{lo}") / size), F.floor(F.col(f"_b.{hi}") / size)))
-    polys = polys.withColumn("_cx", span("xmin", "xmax")).withColumn("_cy", span("ymin", "ymax"))
-    pts = cell_keys(points, size)
-    cond = ((F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))
-            & F.col("x").between(F.col("_b.xmin"), F.col("_b.xmax"))
-            & F.col("y").between(F.col("_b.ymin"), F.col("_b.ymax"))
-            & G.inside_polygon(F.col("parts"), F.col("x"), F.col("y")))
-    return pts.join(polys, cond, how).drop("cx", "cy", "_cx", "_cy", "_b")
+                     polygon_id: str = "polygon_id", key: Sequence[str] | None = None) -> DataFrame:
+    """Points inside polygons (even-odd rule over ``parts``), decided by the edges of one cell of a quadtree cover.
+
+    ``how``: ``inner`` gives a row for each polygon a point lies in, with the polygon's other columns; ``left_semi`` and
+    ``left_anti`` give points that lie in some or in none. For these two, ``key`` names columns that tell points apart;
+    without it the points are written once with a number. Polygons need no id for them.
+    """
+    from bermline.operators.coverage import polygon_cover, polygon_pairs
+
+    if how == "inner":
+        met = polygon_pairs(points, polygon_cover(polygons.select(polygon_id, "parts"), size, polygon_id), size)
+        more = [c for c in polygons.columns if c not in (polygon_id, "parts")]
+        if not more:
+            return met.withColumnRenamed("_id", polygon_id)
+        return met.join(polygons.select(polygon_id, *more), F.col("_id") == F.col(polygon_id)).drop("_id")
+    if polygon_id not in polygons.columns:
+        polygons = polygons.select("parts").distinct().withColumn(polygon_id, F.xxhash64("parts"))
+    if key is None:
+        points, key = cut_lineage(points.withColumn("_point", F.monotonically_increasing_id())), ["_point"]
+    cover = polygon_cover(polygons.select(polygon_id, "parts"), size, polygon_id)
+    found = polygon_pairs(points.select(*key, "x", "y"), cover, size).select(*key).distinct()
+    return points.join(found, list(key), how).drop("_point")
 
 
 def crossing_share(p: str = "", q: str = "q_") -> Column:
@@ -346,34 +366,31 @@ def line_intersections(lines_a: DataFrame, lines_b: DataFrame, size: float = 100
 def clip_lines(lines: DataFrame, polygons: DataFrame, size: float = 1000.0, line_id: str = "line_id",
                polygon_id: str = "polygon_id") -> DataFrame:
     """Parts of lines inside polygons: edges are cut where they cross a ring and the pieces whose
-    midpoint lies inside are kept. Returns ``line_id, polygon_id, edge, k, x0, y0, x1, y1, len``."""
+    midpoint lies inside are kept. Returns ``line_id, polygon_id, edge, k, x0, y0, x1, y1, len``.
+
+    The midpoints are looked up in a quadtree cover; an edge that no ring crosses is one piece for every polygon around it.
+    """
+    from bermline.operators.coverage import polygon_cover, polygon_pairs
+
     e = line_edges(lines, [line_id])
     rings = polygons.select(polygon_id, F.explode("parts").alias("pts"))
     cuts = _edge_meetings(e, line_edges(rings, [polygon_id]), size)
-    cuts = cuts.groupBy(line_id, "edge", polygon_id).agg(F.collect_set("_t").alias("_ts"))  # crossings of one edge
-    # pairs without a crossing can still be fully inside: test by bounding box
-    boxes = polygons.select(polygon_id, "parts", G.bounds(F.col("parts")[0]).alias("_b"))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_b.{lo}") / size), F.floor(F.col(f"_b.{hi}") / size)))
-    boxes = boxes.withColumn("_cx", span("xmin", "xmax")).withColumn("_cy", span("ymin", "ymax"))
-    touching = edge_cells(e, size)
-    cond = ((F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))
-            & (F.greatest("x0", "x1") >= F.col("_b.xmin")) & (F.least("x0", "x1") <= F.col("_b.xmax"))
-            & (F.greatest("y0", "y1") >= F.col("_b.ymin")) & (F.least("y0", "y1") <= F.col("_b.ymax")))
-    cand = touching.join(boxes, cond).select(line_id, polygon_id, "edge", "x0", "y0", "x1", "y1").distinct()
-    cand = null_safe_join(cand, cuts, [line_id, "edge", polygon_id], "left")
-    ts = F.array_sort(F.array_distinct(F.concat(
-        F.array(F.lit(0.0)), F.coalesce("_ts", F.array().cast("array<double>")), F.array(F.lit(1.0)))))
-    pieces = cand.withColumn("_ts", ts).select(
-        line_id, polygon_id, "edge", "x0", "y0", "x1", "y1", F.posexplode(F.expr(
+    cuts = cuts.groupBy(line_id, "edge", polygon_id, "x0", "y0", "x1", "y1").agg(F.collect_set("_t").alias("_ts"))  # crossings of one edge
+    cuts = cut_lineage(cuts)
+    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), "_ts", F.array(F.lit(1.0)))))
+    pieces = cuts.withColumn("_ts", ts).select(
+        line_id, F.col(polygon_id).alias("_own"), "edge", "x0", "y0", "x1", "y1", F.posexplode(F.expr(
             "zip_with(slice(_ts, 1, size(_ts) - 1), slice(_ts, 2, size(_ts) - 1), (a, b) -> struct(a, b))")).alias("k", "_p"))
+    whole = e.select(line_id, F.lit(None).cast(polygons.schema[polygon_id].dataType).alias("_own"), "edge", "x0", "y0", "x1", "y1",
+                     F.lit(0).alias("k"), F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b")).alias("_p"))
     ax = lambda t: F.col("x0") + t * (F.col("x1") - F.col("x0"))
     ay = lambda t: F.col("y0") + t * (F.col("y1") - F.col("y0"))
     t0, t1 = F.col("_p.a"), F.col("_p.b")
-    mid = (t0 + t1) / 2
-    pieces = pieces.withColumn("_mx", ax(mid)).withColumn("_my", ay(mid))
-    pieces = pieces.join(polygons.select(F.col(polygon_id).alias("_pid"), "parts"),
-                         F.col(polygon_id) == F.col("_pid"))
-    kept = pieces.filter(G.inside_polygon(F.col("parts"), F.col("_mx"), F.col("_my")))
+    every = pieces.unionByName(whole).withColumn("_mx", ax((t0 + t1) / 2)).withColumn("_my", ay((t0 + t1) / 2))
+    met = polygon_pairs(every, polygon_cover(polygons.select(polygon_id, "parts"), size, polygon_id), size, "_mx", "_my").withColumnRenamed("_id", polygon_id)
+    cut = met.filter(F.col("_own") == F.col(polygon_id))
+    uncut = null_safe_join(met.filter(F.col("_own").isNull()), cuts.select(line_id, "edge", polygon_id), [line_id, "edge", polygon_id], "left_anti")
+    kept = cut.unionByName(uncut)
     out = kept.select(line_id, polygon_id, "edge", "k", ax(t0).alias("_a"), ay(t0).alias("_c"),
                       ax(t1).alias("_d"), ay(t1).alias("_f"))
     out = out.withColumnsRenamed({"_a": "x0", "_c": "y0", "_d": "x1", "_f": "y1"})
@@ -513,24 +530,18 @@ def sample_on_axis(points: DataFrame, lines: DataFrame, pixels: DataFrame, x0: f
 
 
 def coverage_share(footprints: DataFrame, aoi: DataFrame, cell: float, id_col: str = "scene_id") -> DataFrame:
-    """Share of AOI cells whose centre lies in each footprint polygon."""
-    a = polygon_cells(aoi, cell).select("cx", "cy").distinct()
-    f = polygon_cells(footprints, cell).select(id_col, "cx", "cy").distinct()
-    total = a.agg(F.count(F.lit(1)).alias("_n"))
-    hit = f.join(a, ["cx", "cy"]).groupBy(id_col).agg(F.count(F.lit(1)).alias("cells"))
+    """Share of AOI cells whose centre lies in each footprint polygon; both areas are runs of cells, never single cells."""
+    from bermline.operators.coverage import merge_runs, polygon_runs, shared_cells
+
+    areas = aoi.select("parts").distinct().withColumn("_aoi", F.xxhash64("parts"))
+    a = cut_lineage(merge_runs(polygon_runs(areas, cell, "_aoi").select("row", "c0", "c1")))
+    total = a.agg(F.coalesce(F.sum(F.col("c1") - F.col("c0") + 1), F.lit(0)).alias("_n"))
+    hit = shared_cells(polygon_runs(footprints.select(id_col, "parts"), cell, id_col), a, [id_col]).withColumnRenamed("n", "cells")
     out = footprints.select(id_col).join(hit, id_col, "left").crossJoin(total)  # one row of totals
     return out.select(id_col, F.coalesce("cells", F.lit(0)).alias("cells"),
                       (F.coalesce("cells", F.lit(0)) / F.col("_n")).alias("share"))
 
 
-def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
-    """Cells whose centre lies inside a polygon."""
-    d = polygons.withColumn("_b", G.bounds(F.col("parts")[0]))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"_b.{lo}") / cell), F.floor(F.col(f"_b.{hi}") / cell)))
-    d = d.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
-    return d.filter(G.inside_polygon(F.col("parts"), (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell)).drop("_b")
-
-
 def windows_with_line(lines: DataFrame, size: float, raster_bounds: tuple[float, float, float, float],
                       candidates: int | None = None, line_id: str = "line_id", limit: int | None = None) -> DataFrame:
     """Square windows around line middles that meet a line and overlap the raster; rounded-key distinct.

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from bermline.functions import geometry as G
-from bermline.operators.cells import box_edge_distance, line_edges, sample_bilinear, sample_nearest
+from bermline.operators.cells import box_edge_distance, line_edges, sample_bilinear, sample_nearest, short_edges
 from bermline.operators.ordered import null_safe_join
 
 
@@ -34,22 +34,12 @@ class Grid:
 
 # ---- lines to cells ----------------------------------------------------------------------
 
-def _short_edges(edges: DataFrame, longest: float) -> DataFrame:
-    """Cut long edges, so that the bounding box of a piece covers few cells."""
-    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / longest)).cast("int")
-    d = edges.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    a, b = F.col("_k") / F.col("_n"), (F.col("_k") + 1) / F.col("_n")
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    new = {"_a": F.col("x0") + a * dx, "_b": F.col("y0") + a * dy, "_c": F.col("x0") + b * dx, "_d": F.col("y0") + b * dy}
-    return d.withColumns(new).drop("x0", "y0", "x1", "y1", "_n", "_k").withColumnsRenamed({"_a": "x0", "_b": "y0", "_c": "x1", "_d": "y1"})
-
-
 def rasterize(lines: DataFrame, grid: Grid, buffer: float = 15.0, all_touched: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Distinct cells (row, col) covered by lines buffered by ``buffer``.
 
     ``all_touched``: the cell square comes within the buffer; otherwise its centre does.
     """
-    e = _short_edges(line_edges(lines, list(keep)).drop("edge", "len"), 32 * grid.res)
+    e = short_edges(line_edges(lines, list(keep)).drop("edge", "len"), 32 * grid.res)
     reach = buffer + grid.res
     lo = lambda v: F.floor((v - reach - grid.x0) / grid.res)
     cx = F.sequence(lo(F.least("x0", "x1")), F.floor((F.greatest("x0", "x1") + reach - grid.x0) / grid.res))
@@ -156,7 +146,7 @@ def sliding_centres(lines: DataFrame, buffer: float, stride: float = 1280.0, ext
     Each edge proposes the centres near its own box, so the work follows the
     lines and not the area of the whole extent.
     """
-    e = _short_edges(line_edges(lines, []).drop("edge", "len"), 4 * stride)
+    e = short_edges(line_edges(lines, []).drop("edge", "len"), 4 * stride)
     reach = buffer + extent / 2
     idx = lambda lo, hi: F.sequence(F.ceil((lo - reach) / stride - 0.5), F.floor((hi + reach) / stride - 0.5))
     c = e.withColumn("_i", F.explode(idx(F.least("x0", "x1"), F.greatest("x0", "x1"))))
@@ -293,7 +283,7 @@ def warp(pixels: DataFrame, source: Grid, source_epsg: int, target: Grid, target
     c = cells.select(F.col("row").alias("trow"), F.col("col").alias("tcol"))
     c = c.withColumn("x", target.x0 + (F.col("tcol") + 0.5) * target.res).withColumn("y", target.y0 - (F.col("trow") + 0.5) * target.res)
     if mask is not None:
-        c = point_in_polygon(c, mask)
+        c = point_in_polygon(c, mask, key=["trow", "tcol"])
     c = c.withColumn("_p", reproject_columns(F.col("x"), F.col("y"), target_epsg, source_epsg))
     c = c.withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y")).drop("_p").withColumn("id", F.struct("trow", "tcol"))
     if method == "bilinear":

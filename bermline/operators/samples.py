@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bermline.operators.cells import nearest_join, nearest_line_join, point_line_pairs, point_pairs
-from bermline.operators.ordered import hashed_rank, row_numbers, uniform_hash
+from bermline.operators.coverage import dissolve_runs, line_runs, run_cells
+from bermline.operators.ordered import hashed_rank, row_numbers, running_totals, uniform_hash
+from bermline.session import cut_lineage
 
 
 def _ranked_groups(df: DataFrame, group: Sequence[str], seed: int, u: Column | None) -> DataFrame:
@@ -108,24 +110,31 @@ def corridor_negatives(reaches: DataFrame, lines: DataFrame, n: int, buffer: flo
                        tries: int = 40, seed: int = 42, basins: DataFrame | None = None) -> DataFrame:
     """n uniform points near the reaches and away from the lines, with nearest reach and basin.
 
-    Reaches are lines (``comid, pts``) or, without a column ``pts``, points (``comid, x, y``).
+    Reaches are lines (``comid, pts``) or, without a column ``pts``, points (``comid, x, y``). Candidates are drawn from
+    the cells that the buffered reaches touch, all cells alike, and kept where the exact distances allow; so the draw is
+    uniform over the corridor and hardly any candidate is wasted on land far from it. Rounds of more candidates follow
+    while too few are left.
 
     Fewer rows than n come back when n*tries candidates do not yield enough: the shortfall shows.
     """
-    spark = reaches.sparkSession
     as_lines = "pts" in reaches.columns
-    places = reaches.select(F.explode("pts").alias("_p")).select("_p.x", "_p.y") if as_lines else reaches.select("x", "y")
-    box = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    x0, x1, y0, y1 = box[0] - buffer, box[1] + buffer, box[2] - buffer, box[3] + buffer
-    c = spark.range(n * tries).select(
-        F.col("id").alias("cand"), (x0 + uniform_hash("id", seed=seed) * (x1 - x0)).alias("x"),
-        (y0 + uniform_hash("id", seed=seed + 1) * (y1 - y0)).alias("y"))
-    met = point_line_pairs(c, reaches.select("pts"), buffer, []) if as_lines else point_pairs(c, places.distinct(), buffer)
-    near = met.select(F.col("cand").alias("_id")).distinct()
-    c = c.join(near, F.col("cand") == F.col("_id"), "left_semi")
-    close = point_line_pairs(c, lines.select("pts"), exclude, []).select(F.col("cand").alias("_id")).distinct()
-    c = c.join(close, F.col("cand") == F.col("_id"), "left_anti")
-    c = row_numbers(c, [], ["cand"], "_rn").filter(F.col("_rn") <= n)
+    shapes = reaches.select("pts") if as_lines else reaches.select(F.array(F.struct("x", "y"), F.struct("x", "y")).alias("pts"))
+    size = buffer / 8
+    runs = corridor_runs(shapes, buffer + size, size)  # every cell the buffer touches: half a diagonal is under a cell
+    places = reaches.select("x", "y").distinct() if not as_lines else None
+    drawn, kept = 0, None
+    while drawn < n * tries and (kept is None or kept.count() < n):
+        more = min(max(2 * n, 4 * drawn), n * tries - drawn)
+        c = cells_of_runs(runs, drawn, drawn + more, seed).select(
+            "cand", ((F.col("col") + uniform_hash("cand", seed=seed + 1)) * size).alias("x"), ((F.col("row") + uniform_hash("cand", seed=seed + 2)) * size).alias("y"))
+        met = point_line_pairs(c, shapes, buffer, []) if as_lines else point_pairs(c, places, buffer)
+        near = met.select(F.col("cand").alias("_id")).distinct()
+        c = c.join(near, F.col("cand") == F.col("_id"), "left_semi")
+        close = point_line_pairs(c, lines.select("pts"), exclude, []).select(F.col("cand").alias("_id")).distinct()
+        c = c.join(close, F.col("cand") == F.col("_id"), "left_anti")
+        kept = cut_lineage(c if kept is None else kept.unionByName(c))
+        drawn += more
+    c = row_numbers(kept, [], ["cand"], "_rn").filter(F.col("_rn") <= n)
     c = c.withColumn("patch_id", F.format_string("neg_%07d", F.col("_rn") - 1)).withColumn("patch_type", F.lit("negative")).drop("_rn")
     c = (nearest_line_join(c, reaches.select("comid", "pts"), "comid", buffer) if as_lines else nearest_join(c, reaches.select("x", "y", "comid"), "comid", buffer)).drop("d")
     return c if basins is None else c.join(basins.select("comid", "basin_id"), "comid", "left")
@@ -204,10 +213,32 @@ def corridor(reaches: DataFrame, min_uparea: float = 2000.0, basins: Sequence[in
     return d
 
 
-def corridor_cells(lines: DataFrame, buffer: float, size: float) -> DataFrame:
-    """Dissolved corridor: distinct cells within ``buffer`` of a line."""
-    from bermline.operators.cells import edge_cells, line_edges
+def corridor_runs(lines: DataFrame, buffer: float, size: float) -> DataFrame:
+    """The dissolved corridor: merged runs (``row, c0, c1``) of the cells whose centre comes within ``buffer`` of a line."""
+    return line_runs(lines.select("pts"), buffer, size)
 
-    return edge_cells(line_edges(lines, []), size, buffer).select("cx", "cy").distinct()
 
+def corridor_pieces(lines: DataFrame, buffer: float, size: float) -> DataFrame:
+    """Connected pieces of the corridor: ``piece, n_cells, area``, the rows they span and their columns."""
+    d = dissolve_runs(corridor_runs(lines, buffer, size))
+    n = F.sum(run_cells(d)).alias("n_cells")
+    return d.groupBy("piece").agg(n, (F.sum(run_cells(d)) * (size * size)).alias("area"), F.min("row").alias("row0"), F.max("row").alias("row1"),
+                                  F.min("c0").alias("c0"), F.max("c1").alias("c1"))
 
+
+def cells_of_runs(runs: DataFrame, first: int, last: int, seed: int = 42) -> DataFrame:
+    """Candidates ``cand`` from ``first`` to ``last`` with a cell ``row, col`` each, drawn evenly from all cells of the runs.
+
+    Runs get their place in a prefix sum of cells; a candidate's draw is looked up by blocks of that sum.
+    """
+    n = run_cells(runs)
+    r = cut_lineage(running_totals(runs.withColumn("_n", n), [], ["row", "c0"], {"_end": "_n"}))
+    total = r.agg(F.max("_end")).first()[0] or 0
+    spark = runs.sparkSession
+    block = max(1, total // 65536)  # a run of many blocks has a row for each of them
+    r = r.withColumn("_start", F.col("_end") - F.col("_n"))
+    r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))))
+    pick = spark.range(first, last if total else first).select(F.col("id").alias("cand"), F.floor(uniform_hash("id", seed=seed) * total).alias("_at"))
+    pick = pick.withColumn("_b", F.floor(F.col("_at") / block))
+    met = pick.join(r.select("row", "c0", "_start", "_end", "_b"), "_b").filter("_start <= _at AND _at < _end")
+    return met.select("cand", "row", (F.col("c0") + F.col("_at") - F.col("_start")).alias("col"))

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from bermline.operators import rasters as RA
 from bermline.operators import samples as S
+from bermline.operators.coverage import run_cells
 from bermline.plans import views as V
+from bermline.plans.q_joins import dist
 from bermline.plans.registry import MIX, mix, query
 
 N = lambda: F.count(F.lit(1)).alias("n")
@@ -142,3 +144,30 @@ def a39(spark, d):
     return S.corridor(V.reaches(spark, d).withColumn("basin_id", F.col("comid") % 50), 150000.0, [1, 2, 3]).select("comid")
 
 
+
+
+_BUFFERED = f"""(SELECT DISTINCT r AS row, c AS col FROM (SELECT *, unnest(range(CAST(floor((x0 - 7) / 5) AS BIGINT), CAST(floor((x1 + 7) / 5) AS BIGINT) + 1)) AS c FROM
+ (SELECT *, unnest(range(CAST(floor((y0 - 7) / 5) AS BIGINT), CAST(floor((y1 + 7) / 5) AS BIGINT) + 1)) AS r FROM (SELECT e.* FROM line_edges e JOIN lines USING (line_id) WHERE size >= 30))) e
+ WHERE {dist("(c + 0.5) * 5", "(r + 0.5) * 5")} <= 7)"""
+
+
+def large_lines(spark, d):
+    return V.lines(spark, d).filter("size >= 30")
+
+
+@query("a39_corridor_rows", f"SELECT row, count(*) AS n_cells, CAST(sum(opens) AS BIGINT) AS n_runs, CAST(min(col) AS BIGINT) AS c0, CAST(max(col) AS BIGINT) AS c1 FROM (SELECT *, CASE WHEN col = lag(col) OVER (PARTITION BY row ORDER BY col) + 1 AND col % 4096 <> 0 THEN 0 ELSE 1 END AS opens FROM {_BUFFERED}) GROUP BY 1")
+def a39_rows(spark, d):
+    """Cells and runs of the buffered lines by row."""
+    r = S.corridor_runs(large_lines(spark, d), 7.0, 5.0)
+    return r.groupBy("row").agg(F.sum(run_cells(r)).alias("n_cells"), F.count(F.lit(1)).alias("n_runs"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+
+
+@query("a39_corridor_pieces", f"""WITH RECURSIVE cell AS MATERIALIZED {_BUFFERED}, run AS MATERIALIZED (SELECT row, g, min(col) AS c0, max(col) AS c1 FROM (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS g FROM cell) GROUP BY 1, 2),
+ id AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY row, c0) AS id FROM run),
+ link AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM id a JOIN id b ON abs(a.row - b.row) = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+ reach AS (SELECT id, id AS other FROM id UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.other WHERE link.b < reach.id OR true),
+ piece AS (SELECT id, min(other) AS piece FROM reach GROUP BY 1)
+ SELECT min(row) AS row0, max(row) AS row1, min(c0) AS c0, max(c1) AS c1, CAST(sum(c1 - c0 + 1) AS BIGINT) AS n_cells, 25.0 * sum(c1 - c0 + 1)::DOUBLE AS area FROM id JOIN piece USING (id) GROUP BY piece""")
+def a39_pieces(spark, d):
+    """Connected pieces of the corridor of the largest lines."""
+    return S.corridor_pieces(large_lines(spark, d), 7.0, 5.0).drop("piece")
