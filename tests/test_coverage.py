@@ -137,7 +137,7 @@ def test_corridor_equals_brute_raster(spark, monkeypatch):
     lines = [[(r.uniform(-60, 60), r.uniform(-60, 60)) for _ in range(2)] for _ in range(6)] + [[(-40.3, 7.1), (50.2, 7.1)], [(3.3, -50.0), (3.3, 20.0)], [(55.0, 55.0), (55.0, 55.0)]]
     lines = [[(a / 2, b / 2) for a, b in p] for p in lines]
     df = spark.createDataFrame([(i, [{"x": a, "y": b} for a, b in p]) for i, p in enumerate(lines)], LINE)
-    for block in (4096, 16):  # runs end where a block of cells ends
+    for block in (16,):  # runs end where a block of cells ends
         monkeypatch.setattr(V, "RUN_BLOCK", block)
         runs = S.corridor_runs(df, 1.37, 0.5).collect()
         got = [(x["row"], c) for x in runs for c in range(x["c0"], x["c1"] + 1)]
