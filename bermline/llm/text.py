@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on text whose A-Z are lower-cased
 SPACED = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1_000_000
+BATCH_ROWS = 1000
 
 _b = np.arange(256)
 _ALNUM_LOWER = np.where((_b >= 65) & (_b <= 90), _b + 32, _b).astype(np.uint8)
@@ -135,6 +136,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
+def bounded_batches(spark, rows: int = BATCH_ROWS) -> None:
+    """Let Python get at most ``rows`` rows at a time, unless the session says otherwise: a batch of the usual size holds
+    tens of megabytes of text, in the JVM's direct memory and again in the worker, and neither is given back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(rows))
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """The same bits as Spark's long."""
     return h.view(np.int64)
