@@ -16,6 +16,7 @@ from bermline.llm.mixing import mix_sources
 from bermline.llm.ngram_join import near_duplicates
 from bermline.llm.quality import THRESHOLD, fit_quality, score_quality
 from bermline.llm.substrings import remove_repeats
+from bermline.llm.text import bounded_batches
 from bermline.session import cut_lineage
 
 
@@ -28,18 +29,21 @@ def _without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones that are not held out, doesn't reject."""
+    bounded_batches(spark)
     weights = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, weights, keep=docs.columns, out="_kept_score").filter(F.col("_kept_score") >= THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates. Rows without an id stay."""
+    bounded_batches(spark)
     classes = near_duplicates(docs)
     return _without(docs, "doc_id", cut_lineage(classes.filter("doc_id <> class_id").select("doc_id")))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that earlier documents have; a document that loses every word goes."""
+    bounded_batches(spark)
     own = {c: f"_own_{c}" for c in ("n_words", "n_removed", "kept_text") if c in docs.columns}
     cut = remove_repeats(docs.withColumnsRenamed(own))
     lost = F.col("n_removed") > 0
