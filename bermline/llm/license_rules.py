@@ -25,6 +25,7 @@ NAMES = [
     ("bsd-3-clause", "bsd", r"(?:new |modified |revised |3 clause |three clause )", ""),
     ("bsd-3-clause", "bsd", "", r" 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original |4 clause |four clause )", ""),
+    ("bsd", "bsd", "", ""),
     ("0bsd", "0bsd", "", ""),
     ("gpl-2", "general", r"(?:gnu )?", r" public" + VERSION + r" v?2" + ZERO),
     ("gpl-3", "general", r"(?:gnu )?", r" public" + VERSION + r" v?3" + ZERO),
@@ -74,6 +75,12 @@ NAMES = [
     ("ms-pl", "microsoft", "", r" public"),
     ("odbl", "odbl", "", ""),
     ("odbl", "database", r"open ", ""),
+    ("elastic-2", "elastic", "", VERSION + r" v?2" + ZERO),
+    ("elastic", "elastic", "", ""),
+    ("sspl-1", "sspl", "", r"(?:(?: version)? v?1" + ZERO + ")?"),
+    ("sspl-1", "server", "", r" side public"),
+    ("busl-1.1", "busl", "", r"(?:(?: version)? v?1 1)?"),
+    ("busl-1.1", "business", "", r" source"),
     ("openrail", "openrail", "", r"(?: m)?"),
     ("cc0", "cc0", "", r"(?: v?1 0)?"),
     ("cc-by", "cc", "", r" by(?: v?[1-4] [05])?"),
@@ -101,6 +108,12 @@ STATEMENTS = [
     ("field", r"licen[cs]es? (?:type |name |is |the )?", r"(?: licen[cs]e)?", "licen", 1, 0.8),
     ("name", "", r" licen[cs]e", "licen", 1, 0.7),
 ]
+LICENSED = r"licen[cs]ed (?:to you |only |freely )?under "
+# Names of programs too: "under x11" says nothing about a license, "licensed under x11" and "under the x11 license" do
+PROGRAMS = {"x11", "isc", "expat", "bsd", "artistic", "zlib", "postgresql", "ruby", "elastic"}
+# Plain words that are a name only together with the word license
+TITLES = (" public", " software", " source")
+TITLE_WORDS = {"documentation", "distribution", "font", "database"}
 # Label, keyword, words before it, words behind it
 BODIES = [
     ("mit", "obtaining", r"permission is hereby granted free of charge to any person ", r" a copy"),
@@ -136,8 +149,13 @@ class Rule(NamedTuple):
 def rules() -> list[Rule]:
     """All rules in order of priority, then as listed; the base phrases come first."""
     out = [(label, key, before, after, "", 5, 1.0, True) for label, key, before, after in BASE]
-    for _, lead, tail, near, priority, weight in STATEMENTS:
-        out += [(label, key, lead + before, after + tail, near, priority, weight, False) for label, key, before, after in NAMES]
+    for kind, lead, tail, near, priority, weight in STATEMENTS:
+        for label, key, before, after in NAMES:
+            title = after.endswith(TITLES) or key in TITLE_WORDS
+            program = key in PROGRAMS and VERSION not in after
+            whole = title or program and kind == "under"
+            front = LICENSED + TERMS if program and kind == "grant" else lead
+            out.append((label, key, front + before, after + (tail.replace(r"(?: licen[cs]e)?", r" licen[cs]e") if whole else tail), near, priority, weight, False))
     # "gnu general public license v3": the word license stands before the version
     out += [(label, key, before, after.replace(VERSION, NAMED), "licen", 1, 0.7, False) for label, key, before, after in NAMES if VERSION in after]
     out += [(label, key, before, after, "", 3, 1.0, False) for label, key, before, after in BODIES]
