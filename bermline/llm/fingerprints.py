@@ -164,7 +164,7 @@ def fingerprint_texts(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(*anchors(x or "")) for x in b.column(b.num_columns - 1).to_pylist()], pa.string())],
                                              names=[*b.schema.names[:-1], "fingerprint"])
     keep = docs.drop("fingerprint")
-    return keep.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("fingerprint", T.StringType())]))
+    return keep.select("*", F.col(text).cast("string").alias("_fingerprinted")).mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 BUCKET_ROWS, MOST_BUCKETS = 4000, 8192  # rows of an id range that are aimed at; ranges at most (then they hold more rows)

@@ -49,8 +49,8 @@ def _wholes(window: int):
             for r0, r1, data, offsets in slices(b.column(1)):
                 w = split_words(data, offsets, alnum=False)
                 row = np.flatnonzero(w.counts >= window)
-                whole = spans(w.hash, w.first[:-1], w.first[1:])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, r1 - r0).take(pa.array(row)), pa.array(signed(whole[row]))], names=["_id", "_whole"])
+                both = [pa.array(signed(spans(w.hash, w.first[:-1], w.first[1:], base)[row])) for base in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, r1 - r0).take(pa.array(row)), *both], names=["_id", "_whole", "_whole2"])
     return run
 
 
@@ -130,7 +130,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id: str = "doc_id", text:
     share an id don't remove each other's words, and a null id counts as the largest possible one. Null and empty texts
     have no words. Input columns named like the three results are replaced; all others pass.
 
-    Windows are compared by 128 bits of hash. Copies of one text count once: a copy of a smaller id's text goes whole.
+    Windows and whole texts are compared by 128 bits of hash. Copies of one text count once: a copy of a smaller id's text goes whole.
     A passage that many documents share is one aggregated row per task and a join that AQE splits. Whole texts are
     shuffled only for documents that have something to compare or to lose.
     """
@@ -141,23 +141,26 @@ def remove_repeats(docs: DataFrame, window: int = 50, id: str = "doc_id", text:
     anchors = slim.mapInArrow(_passages(window), "_anchor long, _whole long, _pos int")
     # the few repeated keys are written first, so that the join's own shuffle stands alone and AQE can split a hot key
     shared = cut_lineage(anchors.groupBy("_anchor").agg(F.min("_whole").alias("_a"), F.max("_whole").alias("_b")).filter("_a <> _b").select("_anchor"))
-    wholes = slim.mapInArrow(_wholes(window), "_id long, _whole long")
-    earliest = cut_lineage(wholes.groupBy("_whole").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last")))
-    # one row for a text, however many copies it has
+    wholes = slim.mapInArrow(_wholes(window), "_id long, _whole long, _whole2 long")
+    earliest = cut_lineage(wholes.groupBy("_whole", "_whole2").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last")))
+    # one row for a text, however many copies it has; texts that agree in the first hash only are marked alike
     marks = anchors.join(shared, "_anchor").groupBy("_whole").agg(F.collect_set("_pos").alias("_marks"))
     marks = cut_lineage(marks.join(earliest.select("_whole", "_id"), "_whole"))
     marked, _ = split_by_keys(slim, "_id", marks.select("_id").distinct())
     windows = marked.join(marks, "_id").select("_id", "_text", "_whole", "_marks").mapInArrow(_windows(window), "_w1 long, _w2 long, _id long, _whole long, _pos int")
     firsts = cut_lineage(windows.groupBy("_w1", "_w2").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max")).filter("_min < _max").select("_w1", "_w2", "_min"))
     gone = windows.join(firsts, ["_w1", "_w2"]).filter("_id > _min").groupBy("_id", "_whole").agg(F.collect_set("_pos").alias("_starts"))
-    copies = (wholes.join(earliest.filter("_id < _last").select("_whole", F.col("_id").alias("_min")), "_whole").filter("_id > _min")
+    copies = (wholes.join(earliest.filter("_id < _last").select("_whole", "_whole2", F.col("_id").alias("_min")), ["_whole", "_whole2"]).filter("_id > _min")
               .select("_id", "_whole", F.lit(None).cast("array<int>").alias("_starts")).distinct())
     # a whole copy has no windows of its own, so an id and a text have one action
     actions = cut_lineage(gone.unionByName(copies).groupBy("_id").agg(F.collect_list(F.struct("_whole", "_starts")).alias("_actions")))
-    full = docs.drop("n_words", "n_removed", "kept_text").withColumn("_id", key)
+    kept = docs.drop("n_words", "n_removed", "kept_text")
+    own = {c: f"_own{c}" for c in kept.columns if c in ("_id", "_actions", "_among")}  # input columns with names that are needed here
+    full = kept.withColumnsRenamed(own).withColumn("_id", F.coalesce(F.col(own.get(id, id)).cast("long"), F.lit(2**63 - 1)))
     touched, others = split_by_keys(full, "_id", actions.select("_id"))
     every = touched.join(actions, "_id", "left").select(*full.columns, "_actions")
     if others is not None:
         every = every.unionByName(others.withColumn("_actions", F.lit(None).cast(actions.schema["_actions"].dataType)))
     out = T.StructType([*full.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return every.mapInArrow(_kept(window, full.columns.index(text), full.columns), out).drop("_id")
+    done = every.mapInArrow(_kept(window, full.columns.index(own.get(text, text)), full.columns), out).drop("_id")
+    return done.withColumnsRenamed({v: k for k, v in own.items()})

@@ -96,12 +96,25 @@ def test_substring_dedup_equals_brute_force(spark, seed):
     rows = [(i, " ".join(r.choice([prose(r, r.randrange(60)), r.choice(shared), r.choice(shared)[3:]]) for _ in range(3))) for i in range(40)]
     rows += [(5, rows[3][1]), (100, rows[3][1]), (100, rows[3][1]), (None, rows[3][1]), (None, prose(r, 70)), (101, None), (102, ""), (103, "\n\t "),
              (104, "la " * 3000), (105, "la " * 200), (106, prose(r, 9000)), (107, shared[0]), (108, shared[2])]
-    df = spark.createDataFrame([(a, b, "x", 7) for a, b in rows], DOCS + ", kept_text string, other int")
+    df = spark.createDataFrame([(a, b, "x", 7, "mine") for a, b in rows], DOCS + ", kept_text string, other int, _id string").withColumn("_actions", F.lit(3))
     out = remove_repeats(df)
-    assert set(out.columns) == {"doc_id", "text", "other", "n_words", "n_removed", "kept_text"}
+    assert set(out.columns) == {"doc_id", "text", "other", "_id", "_actions", "n_words", "n_removed", "kept_text"}
+    assert {(x["_id"], x["_actions"]) for x in out.collect()} == {("mine", 3)}
     assert Counter(tuple(x) for x in out.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == brute_repeats(rows, 50)
 
 
+def test_texts_that_agree_in_one_hash_only_are_not_copies(spark, monkeypatch):
+    import bermline.llm.substrings as module
+    r = random.Random(4)
+    rows = [(i, prose(r, 60)) for i in range(6)] + [(7, "so " * 70), (8, "so " * 70)]
+    whole = module.spans
+    monkeypatch.setattr(module, "spans", lambda h, a, z, base=0: whole(h, a, z, base) if base else whole(h, a, a, base))  # the first hash is the same for all texts
+    run = module._wholes(50)
+    import pyarrow as pa
+    got = pa.Table.from_batches(list(run([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["a", "b"])]))).to_pydict()
+    assert len(set(got["_whole"])) == 1 and len(set(got["_whole2"])) == 7
+
+
 def test_substring_dedup_shuffle_path_and_no_rows(spark, monkeypatch):
     r = random.Random(9)
     rows = [(i, prose(r, 55) if i % 3 else "to be or not " * 15) for i in range(12)]
@@ -269,7 +282,13 @@ def test_versions_bare_names_and_license_bodies(spark):
             ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
             ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
             ("In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
-            ("This is free and unencumbered software released into the public domain.", "unlicense"), ("the gpl and the mpl", ""), ("redistribution of wealth", "")]
+            ("This is free and unencumbered software released into the public domain.", "unlicense"), ("the gpl and the mpl", ""), ("redistribution of wealth", ""),
+            ("the tests run under ruby", ""), ("windows opened under x11", ""), ("rows stored under postgresql", ""), ("known under the general public", ""), ("under artistic direction", ""),
+            ("under european union public procurement law", ""), ("under microsoft public cloud", ""), ("built under bsd", ""), ("under the business source of income", ""), ("provided under zlib", ""),
+            ("licensed under Ruby", "ruby"), ("under the terms of the X11 license", "x11"), ("the PostgreSQL License", "postgresql"), ("released under the GNU General Public License", "gpl"),
+            ("under the European Union Public Licence", "eupl"), ("under the Microsoft Public License", "ms-pl"), ("a BSD license", "bsd"), ("under the new BSD license", "bsd-3-clause"),
+            ("Elastic License 2.0", "elastic-2"), ("the Server Side Public License", "sspl-1"), ("licensed under SSPL", "sspl-1"), ("the Business Source License", "busl-1.1"), ("under BUSL 1.1", "busl-1.1"),
+            ("released under the Artistic License", "artistic"), ("under the Boost Software License", "boost-1")]
     got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], DOCS)).collect()}
     assert [(t, got[i].labels) for i, (t, _) in enumerate(want)] == want and all((got[i].score > 0) == bool(label) for i, (_, label) in enumerate(want))
     assert {i: (x.labels, x.score, x.n_found) for i, x in got.items()} == {i: brute_licenses(t) for i, (t, _) in enumerate(want)}
