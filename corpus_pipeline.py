@@ -57,8 +57,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that are not contaminated by the benchmark."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = cut_lineage(found.filter("contaminated").select(F.xxhash64("doc_id", "text_hash").alias("_gone")).distinct())
-    keyed = docs.withColumn("_document", F.xxhash64("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return _without(keyed, "_document", gone).select(*docs.columns)
+    name = "_document" + "_" * max(map(len, docs.columns))  # longer than any column of the table
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
+    return _without(keyed, name, gone).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
