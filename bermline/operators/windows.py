@@ -32,12 +32,14 @@ def along_track_prominence(points: DataFrame, track: Sequence[str] = ("track",),
                            r_in: float = 40.0, r_out: float = 300.0, min_n: int = 4, near: str | None = None) -> DataFrame:
     """Add ``prominence`` = height minus the median of neighbours with r_in <= |distance| <= r_out.
 
-    NULL with fewer than ``min_n`` neighbours or where ``near`` is false. Tracks
+    Every row is returned; ``prominence`` is NULL with fewer than ``min_n`` neighbours or where ``near`` is false, and a
+    row without a distance is nobody's neighbour and has none. A neighbour without a height doesn't count. Tracks
     are cut into pieces of length r_out; each row is also copied to the two
     neighbouring pieces, so a frame never needs a whole track in one task.
     """
     own = F.floor(F.col(d) / r_out)
-    p = points.withColumn("_piece", F.explode(F.array(own - 1, own, own + 1))).withColumn("_own", F.col("_piece") == own)
+    nowhere = points.filter(F.col(d).isNull()).withColumn("n_neighbours", F.lit(0).cast("long")).withColumn("prominence", F.lit(None).cast("double"))
+    p = points.filter(F.col(d).isNotNull()).withColumn("_piece", F.explode(F.array(own - 1, own, own + 1))).withColumn("_own", F.col("_piece") == own)
     keys = ", ".join([*track, "_piece"])
     frame = f"OVER (PARTITION BY {keys} ORDER BY {d} RANGE BETWEEN {{}} AND {{}})"
     before = F.expr(f"collect_list({h}) " + frame.format(f"{float(r_out)}D PRECEDING", f"{float(r_in)}D PRECEDING"))
@@ -47,8 +49,9 @@ def along_track_prominence(points: DataFrame, track: Sequence[str] = ("track",),
     ok = F.size("_nb") >= min_n
     if near:
         ok = ok & F.col(near)
-    return (p.withColumn("n_neighbours", F.size("_nb").cast("long"))
-            .withColumn("prominence", F.when(ok, F.col(h) - array_median(F.col("_nb")))).drop("_nb", "_piece", "_own"))
+    p = (p.withColumn("n_neighbours", F.size("_nb").cast("long"))
+         .withColumn("prominence", F.when(ok, F.col(h) - array_median(F.col("_nb"))).cast("double")).drop("_nb", "_piece", "_own"))
+    return p.unionByName(nowhere)
 
 
 def planar_prominence(candidates: DataFrame, refs: DataFrame, h: str = "h", r_in: float = 50.0, r_out: float = 200.0,

@@ -355,10 +355,10 @@ def r28(spark, d):
 
 
 @query("r29_warp", """WITH b AS (SELECT (count(*) + 15) // 16 * 8 AS nr FROM embeddings), t AS (SELECT r AS row, c AS col, CAST(floor((c * 15.0 + 7.5 + 5) / 10.0) AS BIGINT) AS sc, CAST(floor((r * 15.0 + 7.5 - 4) / 10.0) AS BIGINT) AS sr
- FROM b, range(CAST(nr // 2 AS BIGINT)) x(r), range(64) y(c)) SELECT t.row, t.col, m.value FROM t LEFT JOIN mosaic m ON m.row = t.sr AND m.col = t.sc""")
+ FROM b, range(CAST(ceil((nr * 10 + 4) / 15.0) AS BIGINT)) x(r), range(86) y(c)) SELECT t.row, t.col, m.value FROM t LEFT JOIN mosaic m ON m.row = t.sr AND m.col = t.sc""")
 def r29(spark, d):
     n = (V.table(spark, d, "embeddings").count() + 15) // 16 * 8
-    src, dst = R.Grid(400000.0, 500000.0, 10.0, n, 128), R.Grid(400005.0, 500004.0, 15.0, n // 2, 64)
+    src, dst = R.Grid(400000.0, 500000.0, 10.0, n, 128), R.Grid(400005.0, 500004.0, 15.0, -(-(n * 10 + 4) // 15), 86)
     return R.warp(V.mosaic(spark, d), src, 2180, dst, 2180)
 
 

@@ -164,21 +164,22 @@ def t1(spark, d):
     return o.groupBy("granule", "res").agg(N(), F.round(F.sum("h_te_ellipsoid"), 2).alias("h"))
 
 
-def event_stream(spark, d, p, parts=3):
-    """Events split by time into files that a stream reads one by one."""
+def event_arrivals(spark, d, p, parts=3):
+    """Events written part by part in order of time; after each part the stream that reads all that is new."""
     e = V.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("run"), "value")
     lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
     step = (hi - lo) / parts
     for k in range(parts):
         part = e.filter((F.col("ts") >= F.lit(lo + step * k)) & ((F.col("ts") < F.lit(lo + step * (k + 1))) if k < parts - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(f"{p}/in")
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{p}/in")
+        part.write.mode("append").parquet(f"{p}/in")
+        yield spark.readStream.schema(e.schema).parquet(f"{p}/in")
 
 
 @query("t2_stream_moments", "SELECT event_type AS run, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
 def t2(spark, d):
     p = scratch(spark)
-    ST.run_updates(ST.stream_moments(event_stream(spark, d, p), ["run"], "value"), f"{p}/out", f"{p}/ck")
+    for arrived in event_arrivals(spark, d, p):
+        ST.run_updates(ST.stream_moments(arrived, ["run"], "value"), f"{p}/out", f"{p}/ck")
     return rounded(ST.latest_updates(spark, f"{p}/out", ["run"]))
 
 
@@ -187,9 +188,10 @@ def t2(spark, d):
 def t3(spark, d):
     """Closed hours only: the last hours stay open until the watermark passes them."""
     p = scratch(spark)
-    h = ST.hourly_volumes(event_stream(spark, d, p))
-    q = h.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/ck").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for arrived in event_arrivals(spark, d, p):
+        h = ST.hourly_volumes(arrived)
+        q = h.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/ck").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     o = spark.read.parquet(f"{p}/out")
     return rounded(o.select("run", F.floor(F.unix_micros("hour_start") / 3600000000).alias("hour"), "volume_mil_m3"))
 
@@ -206,9 +208,10 @@ def t3s(spark, d):
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         inflow = V.table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg((F.max("value") * 100).alias("q_in"))
-        s = ST.stream_steadiness(ST.hourly_volumes(event_stream(spark, d, p)), inflow, 25.0)
-        q = s.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/ck").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
+        for arrived in event_arrivals(spark, d, p):
+            s = ST.stream_steadiness(ST.hourly_volumes(arrived), inflow, 25.0)
+            q = s.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/ck").outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
     finally:
         if old is None:
             spark.conf.unset(key)

@@ -16,11 +16,11 @@ def w1(spark, d):
     return rounded(W.along_track_distance(V.tracks(spark, d), ["track"], ["t", "event_id"]).select("event_id", "track", "d"), places=4)
 
 
-@query("w2_along_track_prominence", """SELECT a.event_id, count(*) AS n_neighbours, round(any_value(a.h) - quantile_cont(b.h, 0.5), 6) AS prominence
- FROM tracks a JOIN tracks b ON a.track = b.track AND abs(b.x - a.x) >= 40 AND abs(b.x - a.x) <= 300 GROUP BY 1 HAVING count(*) >= 4""")
+@query("w2_along_track_prominence", """SELECT a.event_id, count(b.h) AS n_neighbours, CASE WHEN count(b.h) >= 4 THEN round(any_value(a.h) - quantile_cont(b.h, 0.5), 6) END AS prominence
+ FROM tracks a LEFT JOIN tracks b ON a.track = b.track AND abs(b.x - a.x) >= 40 AND abs(b.x - a.x) <= 300 GROUP BY 1""")
 def w2(spark, d):
     t = V.tracks(spark, d).withColumn("d", F.col("x"))
-    p = W.along_track_prominence(t).filter("prominence IS NOT NULL")
+    p = W.along_track_prominence(t)
     return rounded(p.select("event_id", "n_neighbours", "prominence"))
 
 

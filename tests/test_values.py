@@ -77,6 +77,16 @@ def test_along_track_frame_is_inclusive(spark):
     assert r["n_neighbours"] == 4 and r["prominence"] == 100 - 3.0  # neighbours 0, 2, 4, 5
 
 
+def test_along_track_returns_every_row(spark):
+    rows = [("t", 0.0, 100.0), ("t", 0.0, 100.0), ("t", None, 7.0), ("t", None, 8.0), (None, 50.0, 1.0), ("u", 50.0, 2.0), *[("t", 60.0 + k, float(k)) for k in range(4)], ("t", 70.0, None)]
+    d = spark.createDataFrame(rows, "track string, d double, h double")
+    got = W.along_track_prominence(d).collect()
+    assert len(got) == len(rows)
+    assert [(r["n_neighbours"], r["prominence"]) for r in got if r["h"] == 100.0] == [(4, 98.5)] * 2  # the copy and the row without a height are none
+    assert all(r["n_neighbours"] == 0 and r["prominence"] is None for r in got if r["d"] is None or r["track"] != "t")
+    assert W.along_track_prominence(d.limit(0)).count() == 0
+
+
 def test_steady_by_hand(spark):
     s = spark.createDataFrame([("a", 1, 0.2, 79.0, 1.017), ("b", 1, 0.2, 7.9, 0.154), ("c", 1, 0.01, 1.0, None)],
                               "run string, hour int, dz_max_m double, dV_dt_m3s double, dV_dt_pct_inflow double")
@@ -174,17 +184,18 @@ def test_score_arrays_in_batches(spark):
 
 def test_stream_steadiness_equals_batch(spark, tmp_path):
     from bermline.plans import views as V
-    from bermline.plans.q_sources import event_stream
+    from bermline.plans.q_sources import event_arrivals
     from bermline.streaming import streams as ST
 
     d = "/root/testdata/sf0.001"
     inflow = V.table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg((F.max("value") * 100).alias("q_in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        s = ST.stream_steadiness(ST.hourly_volumes(event_stream(spark, d, str(tmp_path))), inflow, 25.0)
-        q = (s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
-             .outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
+        for arrived in event_arrivals(spark, d, str(tmp_path)):
+            s = ST.stream_steadiness(ST.hourly_volumes(arrived), inflow, 25.0)
+            q = (s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+                 .outputMode("append").trigger(availableNow=True).start())
+            q.awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {(r["run"], r["hour_start"]): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
