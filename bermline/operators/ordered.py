@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-SKETCH_ACCURACY = 20_000     # rank error of percentile_approx is n / accuracy
-BRACKET = 2e-4               # half width, in rank share, of the exact search range
+SKETCH_ACCURACY = 20_000     # rank error of percentile_approx is at most n / accuracy
+BRACKET = 4 / SKETCH_ACCURACY  # half width, in rank share, of the exact search range: four times that error
 SMALL_GROUP = 10_000         # groups up to this size are searched whole
 MAX_LITERAL_GROUPS = 4_096   # group tables up to this many rows are broadcast
 
@@ -37,11 +37,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def bucket_count(df: DataFrame, least: int = 16, most: int = 4096) -> int:
-    """A power of two near the shuffle width of the session."""
+def bucket_count(df: DataFrame, least: int = 16) -> int:
+    """The first power of two from ``least`` on that reaches the shuffle width of the session."""
     want = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     n = least
-    while n < want and n < most:
+    while n < want:
         n *= 2
     return n
 
@@ -49,7 +49,7 @@ def bucket_count(df: DataFrame, least: int = 16, most: int = 4096) -> int:
 def order_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
     """Equal-depth split points of a numeric column (one bounded row of sketch output)."""
     probs = [k / buckets for k in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, SKETCH_ACCURACY)).first()
+    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(SKETCH_ACCURACY, 8 * buckets))).first()
     return list(row[0]) if row and row[0] else []
 
 
@@ -137,13 +137,14 @@ def uniform_hash(*cols, seed: int = 42) -> Column:
 
 
 def hashed_rank(df: DataFrame, by: Sequence[str], u: str, tie: Sequence[str],
-                out: str = "rank", total: str = "total", buckets: int = 1024) -> DataFrame:
+                out: str = "rank", total: str = "total", buckets: int | None = None) -> DataFrame:
     """Row number within ``by`` in the order of the uniform column ``u``, and the group size.
 
     ``u`` is uniform in [0, 1), so equal-width buckets are equally filled and
-    even one dominant group is split ``buckets`` ways.
+    even one dominant group is split ``buckets`` ways (by default 1,024, more
+    when the session shuffles wider).
     """
-    by = list(by)
+    by, buckets = list(by), buckets or bucket_count(df, 1024)
     d = df.withColumn("_b", F.floor(F.col(u) * buckets))
     inside = W.partitionBy(*by, "_b").orderBy(u, *tie)
     sizes = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))

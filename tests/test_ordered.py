@@ -86,3 +86,16 @@ def test_hot_key_is_spread(skewed):
     df, _ = skewed
     d = O._bucketed(df, ["t"], 16).filter("g = 'hot'").groupBy("_b").count().toPandas()
     assert len(d) == 16 and d["count"].max() < d["count"].sum() / 8
+
+
+def test_buckets_grow_with_the_shuffle_width(skewed):
+    df, _ = skewed
+    conf, key = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    try:
+        conf.set(key, "6000")
+        assert O.bucket_count(df) == O.bucket_count(df, 1024) == 8192
+        conf.set(key, "20")
+        assert O.bucket_count(df) == 32 and O.bucket_count(df, 1024) == 1024
+    finally:
+        conf.set(key, before)
