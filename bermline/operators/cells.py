@@ -22,6 +22,7 @@ from bermline.operators.ordered import null_safe_join
 from bermline.session import cut_lineage
 
 BROADCAST_COPIES = 50_000  # edges or points with a few columns: some megabytes
+SPREAD_ROWS = 20_000  # lines or edges in one task before each becomes many cells or runs
 
 
 def cell_keys(df: DataFrame, size: float, expand: float = 0.0, x: str = "x", y: str = "y") -> DataFrame:
@@ -48,6 +49,15 @@ def short_edges(edges: DataFrame, longest: float) -> DataFrame:
     return d.withColumns(new).drop("x0", "y0", "x1", "y1", "_n", "_k").withColumnsRenamed({"_a": "x0", "_b": "y0", "_c": "x1", "_d": "y1"})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as the session shuffles to, and at most about SPREAD_ROWS rows in each.
+
+    A file of lines is small, so few tasks read it; without this they alone would make all its cells.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(width, -(-df.count() // SPREAD_ROWS)))
+
+
 def edge_cells(edges: DataFrame, size: float, expand: float = 0.0) -> DataFrame:
     """Copy each edge to the cells it comes within ``expand`` of."""
     lo = lambda a, b: F.floor((F.least(a, b) - expand) / size)
@@ -121,27 +131,32 @@ def edges_distance(p: str = "", q: str = "q_") -> Column:
     return F.when(proper, F.lit(0.0)).otherwise(ends)
 
 
+def edges_boxes_near(radius: float, p: str = "", q: str = "q_") -> Column:
+    """Whether the boxes of two edges come within ``radius`` along both axes: a cheap test before the distance."""
+    slack = radius * (1 + 1e-9)
+    lo, hi = lambda e, c: F.least(f"{e}{c}0", f"{e}{c}1"), lambda e, c: F.greatest(f"{e}{c}0", f"{e}{c}1")
+    along = lambda c: (lo(p, c) <= hi(q, c) + slack) & (lo(q, c) <= hi(p, c) + slack)
+    return along("x") & along("y")
+
+
 def line_pairs(left: DataFrame, right: DataFrame, radius: float, size: float,
                left_id: str, right_id: str) -> DataFrame:
     """Distinct (left id, right id) of lines within ``radius`` of each other."""
     a = edge_cells(line_edges(left, [left_id]), size).drop("edge", "len")
     b = edge_cells(line_edges(right, [right_id]), size, radius).drop("edge", "len")
     b = b.withColumnsRenamed({c: f"q_{c}" for c in ("x0", "y0", "x1", "y1", "cx", "cy")})
-    cond = (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & (edges_distance() <= radius)
+    cond = (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & edges_boxes_near(radius) & (edges_distance() <= radius)
     return a.join(_exploded(b), cond).select(left_id, right_id).distinct()
 
 
 def intersects_join(left: DataFrame, right: DataFrame, buffer: float = 0.0, size: float = 1000.0,
                     left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:
     """Ids of boxes (``left``: xmin..ymax) and lines (``right``: pts) that meet within ``buffer``."""
-    box = F.array(F.struct(F.col("xmin").alias("x"), F.col("ymin").alias("y")),
-                  F.struct(F.col("xmax").alias("x"), F.col("ymax").alias("y")))
     cells = left.select(left_id, "xmin", "ymin", "xmax", "ymax")
     span = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - buffer) / size), F.floor((F.col(hi) + buffer) / size)))
     cells = cells.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
-    e = edge_cells(line_edges(right, [right_id]), size).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
-    cond = ((F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy"))
-            & (box_edge_distance() <= buffer))
+    e = edge_cells(line_edges(spread(right), [right_id]), size).drop("edge", "len").withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+    cond = (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & box_edge_near(buffer)
     return cells.join(_exploded(e), cond).select(left_id, right_id).distinct()
 
 
@@ -168,6 +183,33 @@ def box_edge_distance(xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax") -> Col
         F.least(to_box(x0, y0), to_box(x1, y1), *corners))
 
 
+def box_edge_near(buffer: float, xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax") -> Column:
+    """Whether an axis-parallel box and an edge x0..y1 come within ``buffer``, as ``box_edge_distance() <= buffer``.
+
+    Written so that every part is small: a condition of many thousand byte codes is never compiled to machine code.
+    Boxes apart along an axis are told at once. Of the four corners only the one nearest to the edge's line can decide.
+    """
+    x0, y0, x1, y1, l, b, r, t = (F.col(c) for c in ("x0", "y0", "x1", "y1", xmin, ymin, xmax, ymax))
+    dx, dy = x1 - x0, y1 - y0
+    slack = buffer * (1 + 1e-9)
+    met = (l <= F.greatest(x0, x1) + slack) & (r >= F.least(x0, x1) - slack) & (b <= F.greatest(y0, y1) + slack) & (t >= F.least(y0, y1) - slack)
+    share = lambda d, start, up, down: F.when(d > 0, (up - start) / d).when(d < 0, (down - start) / d)
+    enter = F.greatest(share(dx, x0, l, r), share(dy, y0, b, t), F.lit(0.0))  # an edge parallel to an axis has no share there
+    leave = F.least(share(dx, x0, r, l), share(dy, y0, t, b), F.lit(1.0))
+    overlap = (enter <= leave) & ((dx != 0) | x0.between(l, r)) & ((dy != 0) | y0.between(b, t))
+    if buffer == 0:
+        return met & overlap
+    gap_of = lambda xa, xb, ya, yb: F.hypot(F.greatest(l - xb, F.lit(0.0), xa - r), F.greatest(b - yb, F.lit(0.0), ya - t)) <= buffer
+    end = lambda x, y: gap_of(x, x, y, y)
+    flat = gap_of(F.least(x0, x1), F.greatest(x0, x1), F.least(y0, y1), F.greatest(y0, y1))  # such an edge is a box itself
+    w, h, mx, my = (r - l) / 2, (t - b) / 2, (l + r) / 2 - x0, (b + t) / 2 - y0
+    side = dx * my - dy * mx
+    gap = F.abs(side) - w * F.abs(dy) - h * F.abs(dx)
+    foot = dx * mx + dy * my + F.signum(side) * (w * dx * F.signum(dy) - h * dy * F.signum(dx))
+    corner = (gap <= buffer * F.hypot(dx, dy)) & foot.between(0, dx * dx + dy * dy)
+    return met & F.when((dx == 0) | (dy == 0), flat).otherwise(overlap | end(x0, y0) | end(x1, y1) | corner)
+
+
 # ---- the join family ----------------------------------------------------------------
 
 def within_distance_best(left: DataFrame, right: DataFrame, radius: float = 500.0, by: str = "uparea",
@@ -232,10 +274,10 @@ def lines_within_best(left: DataFrame, right: DataFrame, radius: float = 500.0,
     """
     cols = [c for c in right.columns if c != "pts"]
     size = max(2 * radius, 1e-9)
-    a = edge_cells(line_edges(left, [left_id]), size).drop("edge", "len")
-    b = edge_cells(line_edges(right, cols), size, radius).drop("edge", "len")
+    a = edge_cells(line_edges(spread(left), [left_id]), size).drop("edge", "len")
+    b = edge_cells(line_edges(spread(right), cols), size, radius).drop("edge", "len")
     b = b.withColumnsRenamed({c: f"q_{c}" for c in ("x0", "y0", "x1", "y1", "cx", "cy")})
-    cond = (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & (edges_distance() <= radius)
+    cond = (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & edges_boxes_near(radius) & (edges_distance() <= radius)
     rank = F.struct(F.col(by).alias("_by"), (-F.col(tie)).alias("_tie"))
     best = a.join(_exploded(b), cond).groupBy(left_id).agg(F.max_by(F.struct(*cols), rank).alias("_m"))
     return best.select(left_id, *[F.col(f"_m.{c}").alias(c) for c in cols])

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from bermline.functions import geometry as G
-from bermline.operators.cells import box_edge_distance, line_edges, sample_bilinear, sample_nearest, short_edges
+from bermline.operators.cells import line_edges, sample_bilinear, sample_nearest, short_edges, spread
+from bermline.operators.coverage import merge_runs, slab_reach
 from bermline.operators.ordered import null_safe_join
 
 
@@ -39,21 +40,22 @@ def rasterize(lines: DataFrame, grid: Grid, buffer: float = 15.0, all_touched: b
 
     ``all_touched``: the cell square comes within the buffer; otherwise its centre does.
     """
-    e = short_edges(line_edges(lines, list(keep)).drop("edge", "len"), 32 * grid.res)
+    keep = list(keep)
+    e = short_edges(line_edges(spread(lines), keep).drop("edge", "len"), 256 * grid.res)
     reach = buffer + grid.res
-    lo = lambda v: F.floor((v - reach - grid.x0) / grid.res)
-    cx = F.sequence(lo(F.least("x0", "x1")), F.floor((F.greatest("x0", "x1") + reach - grid.x0) / grid.res))
-    cy = F.sequence(F.floor((grid.y0 - F.greatest("y0", "y1") - reach) / grid.res), F.floor((grid.y0 - F.least("y0", "y1") + reach) / grid.res))
-    c = e.withColumn("col", F.explode(cx)).withColumn("row", F.explode(cy))
-    if grid.nrows is not None:
-        c = c.filter(F.col("row").between(0, grid.nrows - 1) & F.col("col").between(0, grid.ncols - 1))
+    whole = lambda v: F.lit(v).cast("long")
+    inside = lambda lo, hi, n: (lo, hi) if n is None else (F.greatest(lo, whole(0)), F.least(hi, whole(n - 1)))
+    r0, r1 = inside(F.floor((grid.y0 - F.greatest("y0", "y1") - reach) / grid.res), F.floor((grid.y0 - F.least("y0", "y1") + reach) / grid.res), grid.nrows)
+    e = e.filter(r0 <= r1)
     if all_touched:
-        left, top = grid.x0 + F.col("col") * grid.res, grid.y0 - F.col("row") * grid.res
-        c = c.withColumns({"_l": left, "_b": top - grid.res, "_r": left + grid.res, "_t": top})
-        hit = box_edge_distance("_l", "_b", "_r", "_t") <= buffer
-    else:
-        hit = G.edge_distance(grid.x0 + (F.col("col") + 0.5) * grid.res, grid.y0 - (F.col("row") + 0.5) * grid.res,
-                              F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= buffer
+        s = slab_reach(e, buffer, F.sequence(r0, r1), lambda r: (grid.y0 - r * grid.res - grid.res, grid.y0 - r * grid.res))
+        c0, c1 = inside(F.ceil((F.col("_a") - grid.x0) / grid.res - 1), F.floor((F.col("_z") - grid.x0) / grid.res), grid.ncols)
+        runs = merge_runs(s.select(*keep, "row", c0.alias("c0"), c1.alias("c1")).filter("c0 <= c1"), keep)
+        return runs.select(*keep, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    c0, c1 = inside(F.floor((F.least("x0", "x1") - reach - grid.x0) / grid.res), F.floor((F.greatest("x0", "x1") + reach - grid.x0) / grid.res), grid.ncols)
+    c = e.filter(c0 <= c1).withColumn("col", F.explode(F.sequence(c0, c1))).withColumn("row", F.explode(F.sequence(r0, r1)))
+    hit = G.edge_distance(grid.x0 + (F.col("col") + 0.5) * grid.res, grid.y0 - (F.col("row") + 0.5) * grid.res,
+                          F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= buffer
     return c.filter(hit).select(*keep, "row", "col").distinct()
 
 
@@ -68,9 +70,10 @@ def mosaic_extreme(pixels: DataFrame, how: str = "max", keys: Sequence[str] = ("
     return pixels.groupBy(*keys).agg((F.max if how == "max" else F.min)("value").alias("value"))
 
 
-def mosaic_sum(pixels: DataFrame, keys: Sequence[str] = ("row", "col"), zero_is_nodata: bool = True) -> DataFrame:
-    """Sum with missing as 0; an exact 0 counts as missing."""
+def mosaic_sum(pixels: DataFrame, keys: Sequence[str] = ("row", "col"), zero_is_nodata: bool = True, places: int | None = None) -> DataFrame:
+    """Sum with missing as 0, rounded to ``places`` if these are given; a result of 0 counts as missing."""
     s = F.sum(F.coalesce("value", F.lit(0.0)))
+    s = s if places is None else F.round(s, places)
     return pixels.groupBy(*keys).agg((F.nullif(s, F.lit(0.0)) if zero_is_nodata else s).alias("value"))
 
 
@@ -146,15 +149,14 @@ def sliding_centres(lines: DataFrame, buffer: float, stride: float = 1280.0, ext
     Each edge proposes the centres near its own box, so the work follows the
     lines and not the area of the whole extent.
     """
-    e = short_edges(line_edges(lines, []).drop("edge", "len"), 4 * stride)
-    reach = buffer + extent / 2
-    idx = lambda lo, hi: F.sequence(F.ceil((lo - reach) / stride - 0.5), F.floor((hi + reach) / stride - 0.5))
-    c = e.withColumn("_i", F.explode(idx(F.least("x0", "x1"), F.greatest("x0", "x1"))))
-    c = c.withColumn("_j", F.explode(idx(F.least("y0", "y1"), F.greatest("y0", "y1"))))
-    c = c.withColumn("x", (F.col("_i") + 0.5) * stride).withColumn("y", (F.col("_j") + 0.5) * stride)
+    e = short_edges(line_edges(spread(lines.select("pts")), []).drop("edge", "len"), 4 * stride)
     h = extent / 2
-    c = c.withColumns({"_l": F.col("x") - h, "_b": F.col("y") - h, "_r": F.col("x") + h, "_t": F.col("y") + h})
-    return c.filter(box_edge_distance("_l", "_b", "_r", "_t") <= buffer).select("x", "y").distinct()
+    reach = buffer + h
+    rows = F.sequence(F.ceil((F.least("y0", "y1") - reach) / stride - 0.5), F.floor((F.greatest("y0", "y1") + reach) / stride - 0.5))
+    s = slab_reach(e, buffer, rows, lambda j: ((j + 0.5) * stride - h, (j + 0.5) * stride + h))
+    runs = s.select("row", F.ceil((F.col("_a") - h) / stride - 0.5).alias("c0"), F.floor((F.col("_z") + h) / stride - 0.5).alias("c1")).filter("c0 <= c1")
+    c = merge_runs(runs).select("row", F.explode(F.sequence("c0", "c1")).alias("_i"))
+    return c.select(((F.col("_i") + 0.5) * stride).alias("x"), ((F.col("row") + 0.5) * stride).alias("y"))
 
 
 def fishnet(areas: DataFrame, cell: float, block: int, overlap: float) -> DataFrame:
