@@ -463,12 +463,14 @@ def bridge_gaps(lines: DataFrame, max_gap: float = 100.0, max_angle: float = 45.
     return _chain_lines(lines, m.select(F.col("a.l").alias("a_id"), F.col("a.p").alias("a_port"), F.col("b.l").alias("b_id"), F.col("b.p").alias("b_port")), line_id)
 
 
-def merge_pseudonodes(lines: DataFrame, line_id: str = "line_id", places: int = 6) -> DataFrame:
-    """Merge lines that meet, two at a time, at a common end point."""
+def merge_pseudonodes(lines: DataFrame, line_id: str = "line_id", places: int = 6, within: Sequence[str] = ()) -> DataFrame:
+    """Merge lines that meet, two at a time, at a common end point; ``within`` names columns that both must have equal, so that
+    the parts of one feature are not merged with another feature that happens to end at the same place."""
+    within = list(within)
     p = F.col("pts")
     end = lambda port, e: F.struct(F.lit(port).alias("port"), F.round(e["x"], places).alias("x"), F.round(e["y"], places).alias("y"))
-    ends = lines.select(F.col(line_id).alias("l"), F.explode(F.array(end(0, F.element_at(p, 1)), end(1, F.element_at(p, -1)))).alias("_e")).select("l", "_e.*")
-    two = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("l", "port")).alias("a"), F.max(F.struct("l", "port")).alias("b")).filter("n = 2")
+    ends = lines.select(*within, F.col(line_id).alias("l"), F.explode(F.array(end(0, F.element_at(p, 1)), end(1, F.element_at(p, -1)))).alias("_e")).select(*within, "l", "_e.*")
+    two = ends.groupBy(*within, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("l", "port")).alias("a"), F.max(F.struct("l", "port")).alias("b")).filter("n = 2")
     two = two.filter(F.col("a.l") != F.col("b.l"))
     part = two.select(F.col("a.l").alias("a_id"), F.col("a.port").alias("a_port"), F.col("b.l").alias("b_id"), F.col("b.port").alias("b_port"))
     out = _chain_lines(lines, part, line_id)

@@ -45,3 +45,13 @@ def test_sum_that_rounds_to_zero_is_missing(spark):
     d = spark.createDataFrame([(0, 0, 2e-8), (0, 0, -1e-8), (0, 1, 1e-8), (0, 1, 0.25)], "row int, col int, value double")
     got = {r["col"]: r["value"] for r in R.mosaic_sum(d, places=6).collect()}
     assert got == {0: None, 1: 0.25}
+
+
+def test_parts_of_a_line_merge_only_with_each_other(spark):
+    """The second line starts where the first one ends."""
+    from bermline.operators.morphology import merge_pseudonodes
+
+    rows = [(0, 0, [(0, 0), (1, 1)]), (1, 0, [(1, 1), (2, 0)]), (2, 1, [(2, 0), (3, 1)]), (3, 1, [(3, 1), (4, 0)])]
+    d = spark.createDataFrame([(i, k, [(float(x), float(y)) for x, y in p]) for i, k, p in rows], "line_id long, line long, pts array<struct<x double, y double>>")
+    assert {(r["line_id"], r["n_lines"], len(r["pts"])) for r in merge_pseudonodes(d, within=["line"]).collect()} == {(0, 2, 3), (2, 2, 3)}
+    assert [(r["n_lines"], len(r["pts"])) for r in merge_pseudonodes(d).collect()] == [(4, 5)]
