@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -350,27 +351,66 @@ def glcm(pixels: DataFrame, nrows: int, ncols: int, window: int = 7, levels: int
         i = np.abs(i)
         return np.where(i >= n, 2 * (n - 1) - i, i)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = int(pdf["tile_r"].iloc[0]), int(pdf["tile_c"].iloc[0])
-        r0, r1 = tr * tile, min((tr + 1) * tile, nrows)
-        c0, c1 = tc * tile, min((tc + 1) * tile, ncols)
-        if r1 <= r0 or c1 <= c0 or r1 <= 0 or c1 <= 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        rr, cc = mirrored(np.arange(r0 - pad, r1 + pad), nrows), mirrored(np.arange(c0 - pad, c1 + pad), ncols)
-        base_r, base_c = rr.min(), cc.min()
-        a = np.zeros((rr.max() - base_r + 1, cc.max() - base_c + 1), np.int32)
-        inside = pdf["row"].between(rr.min(), rr.max()) & pdf["col"].between(cc.min(), cc.max())
-        p = pdf[inside]
-        a[p["row"].to_numpy() - base_r, p["col"].to_numpy() - base_c] = p["level"].to_numpy()
-        res = window_glcm(a[np.ix_(rr - base_r, cc - base_c)], window, levels, distance)
-        gr, gc = np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij")
-        out = {k: [pdf[k].iloc[0]] * gr.size for k in keys}
-        out.update({"row": gr.ravel(), "col": gc.ravel()})
-        out.update({k: v.ravel() for k, v in res.items()})
-        return pd.DataFrame(out)
-
-    # mirrored borders reach pad pixels inward, which the halo already holds
-    return with_tiles(px, tile, pad).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema)
+    def textures(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Bands of whole tiles: those of one shape are stacked, one frame of a mirrored border each."""
+        col = lambda k: np.asarray(t.column(k))
+        ends = np.append(starts[1:], t.num_rows)
+        tr, tc = col("tile_r")[starts], col("tile_c")[starts]
+        r0, c0 = tr * tile, tc * tile
+        height, width = np.minimum(r0 + tile, nrows) - r0, np.minimum(c0 + tile, ncols) - c0
+        owner = np.repeat(np.arange(len(starts)), ends - starts)
+        # a frame holds the tile and pad pixels around it; pixels beyond the raster are mirrored into it afterwards
+        at_r, at_c = col("row") - r0[owner] + pad, col("col") - c0[owner] + pad
+        level = col("level")
+        for h, w in sorted(set(zip(height.tolist(), width.tolist()))):
+            mine = np.flatnonzero((height == h) & (width == w))
+            per = max(1, 65536 // ((h + 2 * pad) * (w + 2 * pad)))
+            for k in range(0, len(mine), per):
+                some = mine[k:k + per]
+                place = np.full(len(starts), -1)
+                place[some] = np.arange(len(some))
+                take = place[owner] >= 0
+                a = np.zeros((len(some), h + 2 * pad, w + 2 * pad), np.int32)
+                a[place[owner[take]], at_r[take], at_c[take]] = level[take]
+                for x, (i, j) in enumerate(zip(r0[some], c0[some])):
+                    if i < pad or j < pad or i + h + pad > nrows or j + w + pad > ncols:
+                        rr, cc = mirrored(np.arange(i - pad, i + h + pad), nrows) - i + pad, mirrored(np.arange(j - pad, j + w + pad), ncols) - j + pad
+                        a[x] = a[x][np.ix_(rr, cc)]
+                # the frames stand below each other; windows across two of them are left out
+                res = window_glcm(a.reshape(-1, w + 2 * pad), window, levels, distance)
+                inner = (np.arange(len(some))[:, None] * (h + 2 * pad) + np.arange(h)).ravel()
+                row = np.repeat(r0[some], h * w) + np.tile(np.repeat(np.arange(h), w), len(some))
+                column = np.repeat(c0[some], h * w) + np.tile(np.arange(w), h * len(some))
+                first = pa.array(np.repeat(starts[some], h * w))
+                out = [t.column(k).take(first).combine_chunks() for k in keys]
+                out += [pa.array(row.astype(np.int64)), pa.array(column.astype(np.int64)), *[pa.array(res[b][inner].ravel()) for b in ("contrast", "homogeneity", "energy", "correlation")]]
+                yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in out], names=[f.name for f in schema.fields])
+
+    def run(batches):
+        """Whole tiles of each batch at once; the last tile waits for the rest of its pixels."""
+        left = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = (pa.concat_tables([left, t]) if left is not None else t).combine_chunks()
+            if not t.num_rows:
+                continue
+            marks = np.zeros(t.num_rows, bool)
+            marks[0] = True
+            for k in order:
+                x = pd.factorize(t.column(k).to_pandas())[0]
+                marks[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(marks)
+            if len(starts) > 1:
+                yield from textures(t.slice(0, starts[-1]).combine_chunks(), starts[:-1])
+            left = t.slice(starts[-1])
+        if left is not None:
+            yield from textures(left.combine_chunks(), np.zeros(1, np.int64))
+
+    # mirrored borders reach pad pixels inward, which the halo already holds; tiles beyond the raster have no pixels of their own
+    order = [*keys, "tile_r", "tile_c"]
+    real = F.col("tile_r").between(0, (nrows - 1) // tile) & F.col("tile_c").between(0, (ncols - 1) // tile)
+    px = px.filter(F.col("row").between(0, nrows - 1) & F.col("col").between(0, ncols - 1))
+    return with_tiles(px, tile, pad).filter(real).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 # ---- patch reads and assembly ------------------------------------------------------------------------

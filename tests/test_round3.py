@@ -1,7 +1,7 @@
 """Cases of the third review: explosive steps, sums, merged lines, map round trips."""
 import math
 
-import pytest
+
 from pyspark.sql import functions as F
 
 from bermline.operators import cells as C
@@ -64,3 +64,31 @@ def test_reach_positions_stay_on_the_map(spark, tmp_path):
     spark.createDataFrame([(k, 1.0) for k in keys], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["comid"]: r["err_mm"] for r in all_queries()["p33_reproject"](spark, str(tmp_path)).collect()}
     assert got == {k: 0 for k in keys}
+
+
+def test_glcm_of_many_rasters_in_whole_batches(spark):
+    """Rasters of equal and unequal tiles against the texture of each mirrored raster as a whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    q = rng.integers(0, 6, (7, 9, 11))
+    d = spark.createDataFrame([(k, r, c, int(q[k, r, c])) for k in range(7) for r in range(9) for c in range(11)], "raster_id long, row long, col long, level int")
+    got = {(r["raster_id"], r["row"], r["col"]): r for r in R.glcm(d, 9, 11, window=5, levels=6, tile=4, keys=["raster_id"]).collect()}
+    assert len(got) == q.size and "MapInArrow" in R.glcm(d, 9, 11, window=5, levels=6, tile=4, keys=["raster_id"])._jdf.queryExecution().toString()
+    for k in range(7):
+        for band, want in R.window_glcm(np.pad(q[k], 2, mode="reflect"), 5, 6).items():
+            assert all(abs(got[k, r, c][band] - want[r, c]) < 1e-12 for r in range(9) for c in range(11)), (k, band)
+
+
+def test_level_drift_does_not_shuffle_by_run(spark):
+    from bermline.operators.windows import level_drift
+
+    d = spark.range(4000).selectExpr("concat('run', id % 2) AS run", "id div 40 AS row", "id div 4 % 10 AS col", "CAST(id div 2 % 2 * 4 AS BIGINT) AS hour", "id * 1.0D AS zs")
+    seen = []
+    real = type(d).checkpoint
+    type(d).checkpoint = lambda self, *a, **k: (seen.append(self._jdf.queryExecution().executedPlan().toString()), real(self, *a, **k))[1]
+    try:
+        level_drift(d).collect()
+    finally:
+        type(d).checkpoint = real
+    assert seen and "BroadcastHashJoin" in seen[0] and "hashpartitioning(run#" not in seen[0].split("BroadcastHashJoin")[1]
