@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bermline.operators.cells import point_pairs
-from bermline.operators.ordered import (bucket_count, order_splits, previous_values, quantiles, row_numbers,
+from bermline.operators.ordered import (bucket_count, literal_table, order_splits, previous_values, quantiles, row_numbers,
                                         running_totals)
 from bermline.session import cut_lineage
 
@@ -111,10 +111,13 @@ def steady_state(series: DataFrame, pct: float = 1.0, dz: float = 0.05) -> DataF
 def level_drift(cells: DataFrame, frac: float = 0.75, keys: Sequence[str] = ("row", "col"), dz: float = 0.05) -> DataFrame:
     """|level at the end - level at ``frac`` of the run|: median, maximum and a steady flag per run."""
     n = cells.groupBy("run").agg(F.max("hour").alias("_last"))
-    d = cells.join(n, "run").withColumn("_at", F.bround(F.col("_last") * F.lit(frac), 0).cast("long"))
+    n, few = literal_table(n)
+    # a shuffle by run would read all cells of a run in one task
+    d = (cells.join(F.broadcast(n), "run") if few else cells.join(n, "run")).withColumn("_at", F.bround(F.col("_last") * F.lit(frac), 0).cast("long"))
     d = d.filter((F.col("hour") == F.col("_last")) | (F.col("hour") == F.col("_at")))
     d = d.groupBy("run", *keys).agg(F.abs(F.max(F.when(F.col("hour") == F.col("_last"), F.col("zs")))
                                           - F.max(F.when(F.col("hour") == F.col("_at"), F.col("zs")))).alias("_d"))
+    d = cut_lineage(d.select("run", "_d"))  # the quantiles read it more than once
     q = quantiles(d, ("run",), "_d", (0.5,), extra=[F.max("_d").alias("drift_max")])
     return q.select("run", F.col("n").alias("n_cells"), F.col("q")[0].alias("drift_median"), "drift_max", (F.col("drift_max") < dz).alias("steady"))
 
