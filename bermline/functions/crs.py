@@ -160,10 +160,14 @@ def reproject(df: DataFrame, source: int, target: int, x: str = "x", y: str = "y
 def orthometric(points: DataFrame, grid: DataFrame, lon0: float, lat0: float, step: float, point_id: str = "id", h: str = "h_te_ellipsoid") -> DataFrame:
     """Height above the geoid: bilinear undulation from the four grid nodes (row, col, n_value; row grows north), NULL outside."""
     c, r = (F.col("lon") - lon0) / step, (F.col("lat") - lat0) / step
-    p = points.select(F.col(point_id).alias("_id"), F.floor(c).alias("_c"), F.floor(r).alias("_r"), (c - F.floor(c)).alias("_u"), (r - F.floor(r)).alias("_v"))
-    node = lambda i, j: F.struct((F.col("_r") + i).alias("row"), (F.col("_c") + j).alias("col"),
-                                 ((F.col("_v") if i else 1 - F.col("_v")) * (F.col("_u") if j else 1 - F.col("_u"))).alias("w"))
-    e = p.select("_id", F.explode(F.array(node(0, 0), node(0, 1), node(1, 0), node(1, 1))).alias("_n")).select("_id", "_n.*")
-    s = e.join(grid.select("row", "col", "n_value"), ["row", "col"]).groupBy("_id").agg(
-        F.when(F.count("n_value") == 4, F.sum(F.col("w") * F.col("n_value"))).alias("geoid_N"))
-    return points.join(s, F.col(point_id) == F.col("_id"), "left").drop("_id").withColumn("h_te_ortho", F.col(h) - F.col("geoid_N"))
+    # the four nodes of a grid cell are put into one row, so that a point is shuffled once and no pairs are grouped
+    corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    node = F.explode(F.array(*[F.struct((F.col("row") - i).alias("_r"), (F.col("col") - j).alias("_c"), F.lit(2 * i + j).alias("_k")) for i, j in corners]))
+    g = grid.select(node.alias("_n"), "n_value").select("_n.*", "n_value")
+    g = g.groupBy("_r", "_c").agg(F.count("n_value").alias("_count"), *[F.max(F.when(F.col("_k") == k, F.col("n_value"))).alias(f"_n{k}") for k in range(4)])
+    g = g.filter("_count = 4").drop("_count")
+    p = points.withColumn("_pc", F.floor(c)).withColumn("_pr", F.floor(r)).withColumn("_u", c - F.floor(c)).withColumn("_v", r - F.floor(r))
+    s = p.join(g, (F.col("_pr") == F.col("_r")) & (F.col("_pc") == F.col("_c")), "left")
+    weight = lambda i, j: (F.col("_v") if i else 1 - F.col("_v")) * (F.col("_u") if j else 1 - F.col("_u"))
+    n = sum((weight(i, j) * F.col(f"_n{2 * i + j}") for i, j in corners[1:]), weight(0, 0) * F.col("_n0"))
+    return s.withColumn("geoid_N", n).drop("_pc", "_pr", "_u", "_v", "_r", "_c", *[f"_n{k}" for k in range(4)]).withColumn("h_te_ortho", F.col(h) - F.col("geoid_N"))

@@ -92,3 +92,13 @@ def test_level_drift_does_not_shuffle_by_run(spark):
     finally:
         type(d).checkpoint = real
     assert seen and "BroadcastHashJoin" in seen[0] and "hashpartitioning(run#" not in seen[0].split("BroadcastHashJoin")[1]
+
+
+def test_orthometric_takes_each_point_once(spark):
+    """Two points of one id keep their own heights: no grouping by id."""
+    from bermline.functions import crs
+
+    g = spark.createDataFrame([(r, c, 10.0 * r + c) for r in range(3) for c in range(3) if (r, c) != (2, 2)], "row long, col long, n_value double")
+    p = spark.createDataFrame([(1, 0.5, 0.5, 100.0), (1, 0.25, 1.5, 50.0), (2, 1.5, 1.5, 9.0), (3, None, 1.0, 9.0)], "id long, lon double, lat double, h_te_ellipsoid double")
+    got = sorted((r["id"], r["lon"] or -1.0, r["geoid_N"], r["h_te_ortho"]) for r in crs.orthometric(p, g, 0.0, 0.0, 1.0).collect())
+    assert got == [(1, 0.25, 15.25, 34.75), (1, 0.5, 5.5, 94.5), (2, 1.5, None, None), (3, -1.0, None, None)]
