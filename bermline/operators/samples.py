@@ -120,7 +120,8 @@ def corridor_negatives(reaches: DataFrame, lines: DataFrame, n: int, buffer: flo
     as_lines = "pts" in reaches.columns
     shapes = reaches.select("pts") if as_lines else reaches.select(F.array(F.struct("x", "y"), F.struct("x", "y")).alias("pts"))
     size = buffer / 8
-    runs = corridor_runs(shapes, buffer + size, size)  # every cell the buffer touches: half a diagonal is under a cell
+    # every cell the buffer touches: half a diagonal is under a cell; each round draws from the runs
+    runs = cut_lineage(corridor_runs(shapes, buffer + size, size))
     places = reaches.select("x", "y").distinct() if not as_lines else None
     drawn, kept = 0, None
     while drawn < n * tries and (kept is None or kept.count() < n):
