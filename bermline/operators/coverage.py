@@ -8,19 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bermline.functions import geometry as G
 from bermline.operators.cells import BROADCAST_COPIES, line_edges, short_edges, spread
-from bermline.operators.graphs import components
+from bermline.operators.graphs import components, joined_labels
 from bermline.session import cut_lineage
 
 OFFSET_X, OFFSET_Y = 0.41421356237309515, 0.7320508075688772  # shares of a cell: corners keep off round coordinates and off lines between them
 MOST_EDGES = 64  # edges of one boundary cell; a polygon with a denser one is covered by smaller cells
 FINER = 3  # halvings of the cell for such a polygon
 RUN_BLOCK = 4096  # cells of a row that are merged together
+RUN_ROWS = 128  # rows of a tile in which runs are labelled together
 
 
 def _column(x: Column, size) -> Column:
@@ -230,18 +233,37 @@ def run_cells(runs: DataFrame) -> Column:
     return F.col("c1") - F.col("c0") + 1
 
 
+def _tile_labels(runs: pd.DataFrame) -> pd.DataFrame:
+    """Runs of one tile with ``_label``, the first ``_run`` of those that hang together inside the tile."""
+    runs = runs.sort_values("_run").reset_index(drop=True)
+    row, c0, c1, n = runs["row"].to_numpy(), runs["c0"].to_numpy() % RUN_BLOCK, runs["c1"].to_numpy() % RUN_BLOCK, len(runs)
+    at = lambda r, c: r * RUN_BLOCK + c
+    # runs of a row are in order and apart: those of the row before that a run meets stand together
+    first, last = np.searchsorted(at(row, c1), at(row - 1, c0)), np.searchsorted(at(row, c0), at(row - 1, c1), side="right")
+    met = np.maximum(last - first, 0)
+    i = np.repeat(np.arange(n), met)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(met) - met, met) + np.repeat(first, met)
+    runs["_label"] = runs["_run"].to_numpy()[joined_labels(n, i, j)]
+    return runs[["row", "c0", "c1", "_run", "_label"]]
+
+
 def dissolve_runs(runs: DataFrame) -> DataFrame:
     """Merged runs with ``piece``, the same for runs that touch along a side of a cell, directly or through others.
 
-    Rows and columns lie within 2**30 of 0. Runs of one row meet only at block borders, so pieces across rows are found by
-    a join on row and block.
+    Rows and columns lie within 2**30 of 0. Tiles of RUN_ROWS rows and one block of cells are labelled on their own, so only
+    labels that meet at a tile's border form a graph. The planner takes runs for as small as the file of lines they come from
+    and would broadcast them all, so the joins of runs ask for a shuffle.
     """
-    r = cut_lineage(merge_runs(runs).select("row", "c0", "c1", (F.col("row") * F.lit(2**31) + F.col("c0") + F.lit(2**30)).alias("_run")))
-    above = r.select((F.col("row") - 1).alias("row"), F.floor(F.col("c0") / RUN_BLOCK).alias("_b"), F.col("c0").alias("_c0"), F.col("c1").alias("_c1"), F.col("_run").alias("b"))
-    meet = r.withColumn("_b", F.floor(F.col("c0") / RUN_BLOCK)).join(above, ["row", "_b"]).filter("c0 <= _c1 AND _c0 <= c1").select(F.col("_run").alias("a"), "b")
-    beside = r.select("row", (F.col("c1") + 1).alias("c0"), F.col("_run").alias("a")).join(r.select("row", "c0", F.col("_run").alias("b")), ["row", "c0"]).select("a", "b")
-    parts = components(meet.unionByName(beside))
-    return r.join(parts, F.col("_run") == F.col("id"), "left").select("row", "c0", "c1", F.coalesce("component", "_run").alias("piece"))
+    r = merge_runs(runs).select("row", "c0", "c1", (F.col("row") * F.lit(2**31) + F.col("c0") + F.lit(2**30)).alias("_run"))
+    r = r.groupBy(F.floor(F.col("row") / RUN_ROWS).alias("_tr"), F.floor(F.col("c0") / RUN_BLOCK).alias("_b"))
+    r = cut_lineage(r.applyInPandas(_tile_labels, "row long, c0 long, c1 long, _run long, _label long"))
+    rim = r.withColumn("_b", F.floor(F.col("c0") / RUN_BLOCK)).withColumn("_in", F.pmod("row", F.lit(RUN_ROWS)))
+    above = rim.filter("_in = 0").select((F.col("row") - 1).alias("row"), "_b", F.col("c0").alias("_c0"), F.col("c1").alias("_c1"), F.col("_label").alias("b"))
+    meet = rim.filter(F.col("_in") == RUN_ROWS - 1).join(above.hint("merge"), ["row", "_b"]).filter("c0 <= _c1 AND _c0 <= c1").select(F.col("_label").alias("a"), "b")
+    starts = r.filter(F.pmod("c0", F.lit(RUN_BLOCK)) == 0).select("row", "c0", F.col("_label").alias("b"))
+    ends = r.select("row", (F.col("c1") + 1).alias("c0"), F.col("_label").alias("a")).filter(F.pmod("c0", F.lit(RUN_BLOCK)) == 0)
+    parts = components(meet.unionByName(ends.join(starts.hint("merge"), ["row", "c0"]).select("a", "b")).distinct())
+    return r.join(parts, F.col("_label") == F.col("id"), "left").select("row", "c0", "c1", F.coalesce("component", "_label").alias("piece"))
 
 
 def shared_cells(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,24 @@ def components(edges: DataFrame) -> DataFrame:
     return vertices.join(root, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def joined_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index joined to each of ``n`` indices by the edges ``a, b``, inside a task: labels are hooked to the smaller
+    one and pointers doubled until no edge joins two labels."""
+    lab = np.arange(n)
+    while True:
+        la, lb = lab[a], lab[b]
+        if (la == lb).all():
+            return lab
+        low = np.minimum(la, lb)
+        np.minimum.at(lab, la, low)
+        np.minimum.at(lab, lb, low)
+        while True:
+            up = lab[lab]
+            if (up == lab).all():
+                break
+            lab = up
+
+
 def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage: float = 0.93, scene: str = "scene_id") -> DataFrame:
     """Greedy groups of scenes that each cover the area: ``scene, grp, step, coverage, accepted``.
 

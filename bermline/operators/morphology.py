@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bermline.operators.cells import endpoint_pairs
-from bermline.operators.graphs import components, list_order, mutual_matching
+from bermline.operators.graphs import components, joined_labels, list_order, mutual_matching
 from bermline.operators.ordered import null_safe_join
 from bermline.operators.rasters import Grid, with_tiles
 from bermline.session import cut_lineage
@@ -68,8 +68,7 @@ def pixel_degree(pixels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def _labels(group: np.ndarray, r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
     """Index of the first pixel (row-major) of the component of each pixel, for the pixels of many groups at once.
 
-    Neighbours are found in the sorted pixel codes; labels are hooked to the smaller one and pointers doubled until no
-    edge joins two labels.
+    Neighbours are found in the sorted pixel codes.
     """
     w, h = int(c.max() - c.min()) + 3, int(r.max() - r.min()) + 3
     code = (group * h + (r - r.min() + 1)) * w + (c - c.min() + 1)
@@ -81,19 +80,7 @@ def _labels(group: np.ndarray, r: np.ndarray, c: np.ndarray, eight: bool) -> np.
         hit = np.flatnonzero((at < len(s)) & (s[np.minimum(at, len(s) - 1)] == s + delta))
         ends.append((hit, at[hit]))
     a, b = (np.concatenate(x) for x in zip(*ends))
-    lab = np.arange(len(s))
-    while True:
-        la, lb = lab[a], lab[b]
-        if (la == lb).all():
-            break
-        low = np.minimum(la, lb)
-        np.minimum.at(lab, la, low)
-        np.minimum.at(lab, lb, low)
-        while True:
-            up = lab[lab]
-            if (up == lab).all():
-                break
-            lab = up
+    lab = joined_labels(len(s), a, b)
     out = np.empty(len(s), np.int64)
     out[order] = order[lab]
     return out

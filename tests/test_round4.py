@@ -1,4 +1,6 @@
 """Cases of the fourth review: plans that stay small, jobs that don't follow the number of rows."""
+import random
+
 from bermline.operators import coverage as A
 
 
@@ -6,3 +8,27 @@ def test_rows_of_edges_are_not_written_out_many_times(spark):
     """The filter on the runs had each term of the buffer's outline several times, too long to be compiled."""
     ln = spark.createDataFrame([(0, [(0.0, 0.0), (50.0, 20.0), (90.0, 20.0)])], "line_id long, pts array<struct<x double, y double>>")
     assert A.line_runs(ln, 7.0, 5.0)._jdf.queryExecution().optimizedPlan().toString().count("SQRT") <= 4
+
+
+def test_runs_are_dissolved_without_broadcast_and_by_tile(spark):
+    """Random runs over several tiles and blocks against labels spread cell by cell; the graph holds no runs from inside tiles."""
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(-150, 150), c, c + rnd.randrange(1, 30)) for c in (rnd.randrange(-60, 60) + 4096 * rnd.randrange(-1, 2) for _ in range(1500))]
+    seen, real = [], A.components
+    A.components = lambda e: (seen.append(e), real(e))[1]
+    try:
+        got = A.dissolve_runs(spark.createDataFrame(rows, "row long, c0 long, c1 long")).collect()
+    finally:
+        A.components = real
+    assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString() and seen[0].count() < len(got) / 4
+    piece = {(r["row"], c): r["piece"] for r in got for c in range(r["c0"], r["c1"] + 1)}
+    cells, label = {(r, c) for r, a, b in rows for c in range(a, b + 1)}, {}
+    assert cells == set(piece)
+    for start in cells:
+        todo = [start]
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in cells and (r, c) not in label:
+                label[r, c] = start
+                todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+    assert len({(piece[k], label[k]) for k in cells}) == len(set(piece.values())) == len(set(label.values()))
