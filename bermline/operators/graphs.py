@@ -1,13 +1,18 @@
 """Graph operators: outlets of a river network, components, greedy scene groups."""
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bermline.operators.ordered import running_totals
 from bermline.session import cut_lineage
 
+PIECE_CELLS = 1_000_000  # scene cells that one task puts in order
+
 
 def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down") -> DataFrame:
     """Terminal reach of every reach: columns ``id, basin_id``.
@@ -85,39 +90,74 @@ def joined_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             lab = up
 
 
+def _greedy_in_task(pdf: pd.DataFrame, scene: str) -> pd.DataFrame:
+    """Scenes of one piece in the order of their new cells ``n``, largest first, smallest id on ties, until nothing is gained."""
+    cell = pdf.groupby(["cx", "cy"], sort=False).ngroup().to_numpy()
+    code, names = pd.factorize(pdf[scene], sort=True)
+    gain, free = np.bincount(code), np.ones(cell.max() + 1, bool)
+    groups = lambda key, value: np.split(value[np.argsort(key, kind="stable")], np.cumsum(np.bincount(key))[:-1])
+    cells, holders, out = groups(code, cell), groups(cell, code), []
+    while gain.any():
+        k = int(gain.argmax())
+        new = cells[k][free[cells[k]]]
+        out.append((names[k], len(new)))
+        free[new] = False
+        np.subtract.at(gain, np.concatenate([holders[c] for c in new]), 1)
+    return pd.DataFrame(out, columns=[scene, "n"])
+
+
+def _greedy_in_rounds(free: DataFrame, scene: str) -> DataFrame | None:
+    """As ``_greedy_in_task`` over all rows: each round takes every scene that is ahead of all others in each of its free cells,
+    as nothing that is picked before can take a cell from it."""
+    out = None
+    while not free.isEmpty():
+        gain = free.groupBy(scene).agg(F.count(F.lit(1)).alias("n"))
+        ranked = free.join(gain, scene).withColumn("_r", F.struct((-F.col("n")).alias("n"), F.col(scene).alias("s")))
+        best = ranked.groupBy("cx", "cy").agg(F.min("_r").alias("_best"))
+        won = ranked.join(best, ["cx", "cy"]).groupBy(scene, "n").agg(F.every(F.col("_r") == F.col("_best")).alias("_won")).filter("_won")
+        won = cut_lineage(won.select(scene, "n"))
+        out = won if out is None else out.unionByName(won)
+        free = cut_lineage(free.join(free.join(won, scene, "left_semi").select("cx", "cy"), ["cx", "cy"], "left_anti"))
+    return out
+
+
 def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage: float = 0.93, scene: str = "scene_id") -> DataFrame:
     """Greedy groups of scenes that each cover the area: ``scene, grp, step, coverage, accepted``.
 
     The next scene is the one with the largest new area (smallest id on ties);
     a group closes at ``min_coverage`` or when nothing is gained. Groups below
-    the limit are marked not accepted. Only one row per step reaches the driver.
+    the limit are marked not accepted.
+
+    Scenes in pieces that share no cell don't change each other's gains, and the gains of a piece never rise. So the order
+    of all is that of the pieces, merged by gain and id, and a group is its beginning: a few jobs for each group, none for
+    each scene. A piece of more than PIECE_CELLS scene cells is put in order by joins instead of inside a task.
     """
-    spark = scene_cells.sparkSession
     aoi = aoi_cells.select("cx", "cy").distinct()
     total = aoi.count()
+    kind = scene_cells.schema[scene].dataType.simpleString()
     pool = cut_lineage(scene_cells.select(scene, "cx", "cy").distinct().join(aoi, ["cx", "cy"], "left_semi"))
-    rows, grp = [], 0
+    first = pool.groupBy("cx", "cy").agg(F.min(scene).alias("a"))
+    parts = components(pool.join(first, ["cx", "cy"]).select("a", F.col(scene).alias("b")).distinct()).select(F.col("id").alias(scene), F.col("component").alias("_piece"))
+    size = pool.join(parts, scene).groupBy("_piece").agg((F.count(F.lit(1)) > PIECE_CELLS).alias("_large"))
+    pool = cut_lineage(pool.join(parts.join(size, "_piece"), scene))
+    any_large = not pool.filter("_large").isEmpty()
+    need, taken = min_coverage * total, []
     while total:
-        free, covered, members = pool, 0, []
-        while covered < min_coverage * total:
-            best = free.groupBy(scene).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), scene).head()
-            if best is None:
-                break
-            covered += best["n"]
-            members.append((best[scene], grp, len(members), best["n"]))
-            if covered < min_coverage * total:
-                taken = free.filter(F.col(scene) == best[scene]).select("cx", "cy")
-                free = cut_lineage(free.join(taken, ["cx", "cy"], "left_anti"))
-        if not members:
+        order = pool.filter("NOT _large").groupBy("_piece").applyInPandas(lambda pdf: _greedy_in_task(pdf, scene), f"{scene} {kind}, n long")
+        large = _greedy_in_rounds(pool.filter("_large").select(scene, "cx", "cy"), scene) if any_large else None
+        order = cut_lineage((order if large is None else order.unionByName(large)).withColumns({"_less": -F.col("n"), "_one": F.lit(1).cast("long")}))
+        members = cut_lineage(running_totals(order, [], ["_less", scene], {"_sum": "n", "_k": "_one"}).filter(F.col("_sum") - F.col("n") < need))
+        covered = members.agg(F.sum("n")).first()[0]
+        if covered is None:
             break
-        ok = covered >= min_coverage * total
-        rows += [(m[0], m[1], m[2], covered / total, ok) for m in members]
-        pool = cut_lineage(pool.filter(~F.col(scene).isin([m[0] for m in members])))
+        taken.append(members.select(scene, F.lit(len(taken)).alias("grp"), (F.col("_k") - 1).cast("int").alias("step"),
+                                    F.lit(covered / total).alias("coverage"), F.lit(covered >= need).alias("accepted")))
+        pool = cut_lineage(pool.join(members.select(scene), scene, "left_anti"))
         if pool.isEmpty():
             break
-        grp += 1
-    kind = scene_cells.schema[scene].dataType.simpleString()
-    return spark.createDataFrame(rows, f"{scene} {kind}, grp int, step int, coverage double, accepted boolean")
+    if not taken:
+        return scene_cells.sparkSession.createDataFrame([], f"{scene} {kind}, grp int, step int, coverage double, accepted boolean")
+    return reduce(DataFrame.unionByName, taken)
 
 
 def union_aligned(*dfs: DataFrame) -> DataFrame:

@@ -32,3 +32,37 @@ def test_runs_are_dissolved_without_broadcast_and_by_tile(spark):
                 label[r, c] = start
                 todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
     assert len({(piece[k], label[k]) for k in cells}) == len(set(piece.values())) == len(set(label.values()))
+
+
+def test_coverage_groups_take_jobs_by_group_not_by_scene(spark, monkeypatch):
+    """Against the greedy order scene by scene; pieces in a task and pieces by joins give the same."""
+    from bermline.operators import graphs as GR
+
+    rnd, rows = random.Random(8), []
+    for k in range(24):
+        x, y = 50 * (k % 2) + rnd.randrange(5), rnd.randrange(5)
+        rows += [(k, x + i, y + j) for i in range(1 + rnd.randrange(4)) for j in range(1 + rnd.randrange(4))]
+    area = {(c + 50 * b, d) for b in range(2) for c in range(6) for d in range(6)}
+    cells, pool, want = {}, set(range(24)), []
+    for k, x, y in rows:
+        cells.setdefault(k, set()).update({(x, y)} & area)
+    for grp in range(24):
+        free, members = set(area), []
+        while len(area) - len(free) < 0.6 * len(area):
+            n, k = max((len(cells[k] & free), -k) for k in pool)
+            if not n:
+                break
+            members.append(-k)
+            free -= cells[-k]
+        covered = len(area) - len(free)
+        want += [(k, grp, i, covered / len(area), covered >= 0.6 * len(area)) for i, k in enumerate(members)]
+        pool -= set(members)
+        if not members or not any(cells[k] for k in pool):
+            break
+    s, a = spark.createDataFrame(rows, "scene_id long, cx long, cy long"), spark.createDataFrame(sorted(area), "cx long, cy long")
+    checkpoints, real = [], GR.cut_lineage
+    monkeypatch.setattr(GR, "cut_lineage", lambda d: (checkpoints.append(1), real(d))[1])
+    assert sorted(tuple(r) for r in GR.coverage_groups(s, a, 0.6).collect()) == sorted(want)
+    assert len(checkpoints) < 12 + 3 * (1 + max(w[1] for w in want))
+    monkeypatch.setattr(GR, "PIECE_CELLS", 0)
+    assert sorted(tuple(r) for r in GR.coverage_groups(s, a, 0.6).collect()) == sorted(want)
