@@ -292,10 +292,13 @@ def nearest_line_join(points: DataFrame, lines: DataFrame, line_id: str = "line_
     todo = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
     refs = lines.filter(F.size("pts") >= 2).select(line_id, "pts")
     e = refs.select(F.explode("pts").alias("p")).select("p.x", "p.y").unionAll(todo).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    n, found = refs.count(), []
+    n, length = refs.agg(F.count(F.lit(1)), F.coalesce(F.sum(G.line_length(F.col("pts"))), F.lit(0.0))).first()
+    found = []
     if n and e[0] is not None:
         reach = max(((e[1] - e[0]) ** 2 + (e[3] - e[2]) ** 2) ** 0.5, 1e-9)
-        radius = start_radius or max((5 * (e[1] - e[0]) * (e[3] - e[2]) / (3.14 * n)) ** 0.5, reach / n, 1e-9)
+        # without a stated radius: about five lines are expected within it, n * (pi * r * r + 2 * r * mean length) = 5 * area
+        a = 5 * (e[1] - e[0]) * (e[3] - e[2])
+        radius = start_radius or max(a / max(length + (length * length + 3.14 * n * a) ** 0.5, 1e-9), reach / n, 1e-9)
         while True:  # the radius doubles until it spans the data
             pairs = point_line_pairs(todo, refs, radius, [line_id])
             found.append(cut_lineage(pairs.groupBy("x", "y").agg(F.min(F.struct("d", line_id)).alias("_m"))))

@@ -66,3 +66,19 @@ def test_coverage_groups_take_jobs_by_group_not_by_scene(spark, monkeypatch):
     assert len(checkpoints) < 12 + 3 * (1 + max(w[1] for w in want))
     monkeypatch.setattr(GR, "PIECE_CELLS", 0)
     assert sorted(tuple(r) for r in GR.coverage_groups(s, a, 0.6).collect()) == sorted(want)
+
+
+def test_nearest_line_radius_counts_the_lengths_of_lines(spark, monkeypatch):
+    """Long lines lie close everywhere: the first round does not pair a place with dozens of them."""
+    from bermline.operators import cells as C
+
+    lines = spark.range(50).selectExpr("id AS line_id", "array(struct(0.0D AS x, 20.0D * id AS y), struct(1000.0D AS x, 20.0D * id + 10 AS y)) AS pts")
+    points = spark.range(40).selectExpr("id", "CAST(id * 25 AS DOUBLE) AS x", "CAST(id * 37 % 990 AS DOUBLE) AS y")
+    pairs, real = [], C.point_line_pairs
+    monkeypatch.setattr(C, "point_line_pairs", lambda *a: (pairs.append(real(*a).count()), real(*a))[1])
+    got = {r["id"]: (r["line_id"], r["d"]) for r in C.nearest_line_join(points, lines).collect()}
+    for k in range(40):
+        x, y = 25.0 * k, 37.0 * k % 990
+        best = min((abs(y - 20 * i - x / 100) / (1 + 1e-4) ** 0.5, i) for i in range(50))
+        assert got[k][0] == best[1] and abs(got[k][1] - best[0]) < 1e-9
+    assert pairs[0] <= 40 * 6
