@@ -53,5 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Iterative operators call this once per round, so that neither the plan nor
     the recomputation after a lost executor grows with the number of rounds.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    cut = df.checkpoint(eager=True)
+    # A checkpoint keeps the planner's size estimate, and a join's estimate is the product of its sides: in a loop the number
+    # of its digits doubles with every round, until the planner only multiplies. Such an estimate is left behind as well.
+    plan = cut._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() >= 2 ** 62:
+        cut = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), cut._jdf.schema(), False), spark)
+    return cut
