@@ -373,26 +373,72 @@ def _per_component(keys: Sequence[str]):
     return Window.partitionBy(*[F.col(f"a.{k}") for k in keys], "component").orderBy("chain")
 
 
-def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+def _spur_pixels(a: np.ndarray, min_px: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels of the end branches of at most ``min_px`` pixels that meet a junction (a: 0/1 with a margin of zeros).
+
+    All ends walk at once: a pixel of two neighbours leads on to the one the walk does not come from.
+    """
+    w = a.shape[1]
+    flat = a.ravel()
+    around = np.array([i * w + j for i, j in NEIGHBOURS])
+    on = np.flatnonzero(flat)
+    degree = np.zeros(flat.size, np.int8)
+    degree[on] = flat[on[:, None] + around].sum(axis=1)
+    end = on[degree[on] == 1]
+    path = [end]
+    back, at = np.full(len(end), -1), end
+    walk = np.arange(len(end))  # the ends that still walk
+    gone = []
+    for _ in range(min_px):
+        near = at[:, None] + around
+        here, to = np.nonzero((flat[near] == 1) & (near != back[:, None]))
+        back, at = at, near[here, to]  # exactly one way on: ends have one neighbour, inner pixels two
+        met = degree[at] >= 3
+        gone += [p[walk[met]] for p in path]
+        on_way = degree[at] == 2
+        walk, back, at = walk[on_way], back[on_way], at[on_way]
+        if not len(walk):
+            break
+        step = np.full(len(end), -1)
+        step[walk] = at
+        path.append(step)
+    g = np.unique(np.concatenate(gone)) if gone else np.zeros(0, np.int64)
+    return np.unravel_index(g, a.shape)
+
+
+def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = (), tile: int = 256, steps: int = 8) -> DataFrame:
     """Remove end branches of at most ``min_px`` pixels that meet a junction, until none is left.
 
-    In each round the branches are found on the contracted graph; of branches
-    that meet at the same junction all are removed, as in a walk from every end.
+    Of branches that meet at the same junction all are removed in the same round, as in a walk from every end. A removal
+    depends on pixels at most min_px + 1 away, so a tile with a halo of ``steps`` times that runs ``steps`` rounds exactly,
+    and one shuffle advances all tiles, as in ``skeletonize``.
     """
     keys = list(keys)
+    halo = steps * (min_px + 1) + 1
+    tile = max(tile, 2 * halo)
     cur = cut_lineage(_long(skeleton, keys).distinct())
-    while True:  # every round but the last removes a pixel
-        edges, steps = skeleton_chains(cur, keys)
-        ends = pixel_degree(cur, keys).select(F.struct(*keys, "row", "col").alias("px"), "degree")
-        e = edges.join(ends.select(F.col("px").alias("a"), F.col("degree").alias("da")), "a").join(
-            ends.select(F.col("px").alias("b"), F.col("degree").alias("db")), "b")
-        spur = e.filter(((F.col("da") == 1) & (F.col("db") >= 3) | (F.col("db") == 1) & (F.col("da") >= 3)) & (F.col("n") <= min_px))
-        spur = spur.select("chain", "n", (F.col("db") == 1).alias("_end_b"), *[F.col(f"a.{k}").alias(k) for k in keys])
-        gone = steps.join(spur, "chain").filter(F.when(F.col("_end_b"), F.col("pos") > 0).otherwise(F.col("pos") < F.col("n")))
-        gone = cut_lineage(gone.select(*keys, "row", "col").distinct())
-        if gone.isEmpty():
+    schema = cur.schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(pdf["tile_r"].iloc[0]), int(pdf["tile_c"].iloc[0])
+        a = np.zeros((tile + 2 * halo + 2, tile + 2 * halo + 2), np.uint8)
+        off = halo + 1
+        a[pdf["row"].to_numpy() - tr * tile + off, pdf["col"].to_numpy() - tc * tile + off] = 1
+        core = (slice(off, off + tile), slice(off, off + tile))
+        for _ in range(steps):
+            kill = _spur_pixels(a, min_px)
+            if not len(kill[0]):
+                break
+            a[kill] = 0
+        r, c = np.nonzero(a[core])
+        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(r) for k in keys})
+        return out.assign(row=r + tr * tile, col=c + tc * tile)[[f.name for f in schema.fields]]
+
+    while True:  # every pass but the last removes a pixel
+        n = cur.count()
+        cur = cut_lineage(with_tiles(cur, tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema))
+        if cur.count() == n:
             break
-        cur = cut_lineage(null_safe_join(cur, gone, [*keys, "row", "col"], "left_anti"))
     return cur
 
 

@@ -297,3 +297,33 @@ def test_patch_labels_and_channels(spark):
     np.testing.assert_allclose(b[3:, 3:], z[:5, :5], atol=1e-6)
     want = {(r["row"] - 28, r["col"] - 28) for r in cells_.collect() if 28 <= r["row"] < 36 and 28 <= r["col"] < 36}
     assert {divmod(i, 8) for i, v in enumerate(a["a"]["label"]) if v} == want and a["b"]["n_label_px"] == 0
+
+
+def pruned(cells, min_px):
+    """Brute force: every end walks to its junction, all at once, until nothing goes."""
+    cells = set(cells)
+    while True:
+        near = {c: [(c[0] + i, c[1] + j) for i, j in M.NEIGHBOURS if (c[0] + i, c[1] + j) in cells] for c in cells}
+        gone = set()
+        for e in (c for c in cells if len(near[c]) == 1):
+            path, at = [e], near[e][0]
+            while len(near[at]) == 2 and len(path) < min_px:
+                path, at = path + [at], next(x for x in near[at] if x != path[-1])
+            if len(near[at]) >= 3:
+                gone |= set(path)
+        if not gone:
+            return cells
+        cells -= gone
+
+
+def test_prune_spurs_by_tiles(spark):
+    rng = np.random.default_rng(7)
+    cells = [(int(r), int(c)) for r, c in np.argwhere(rng.random((70, 50)) < 0.22) - 9]
+    sc = spark.sparkContext
+    for min_px, steps in ((1, 1), (3, 1), (4, 3)):
+        sc.setJobGroup(f"prune{min_px}", "")
+        got = {(r["row"], r["col"]) for r in M.prune_spurs(px(spark, cells), min_px, tile=16, steps=steps).collect()}
+        assert got == pruned(cells, min_px)
+    # a pass is a shuffle and a count; contracting the graph in every round took hundreds of jobs
+    assert len(sc.statusTracker().getJobIdsForGroup("prune4")) < 40
+    sc.setJobGroup("rest", "")
