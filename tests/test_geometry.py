@@ -183,3 +183,15 @@ def test_augment_keeps_pixels_together(spark):
     rows = P.augment(d, ["a", "b"], 4, ["id"]).collect()
     assert len({r["t"] for r in rows}) == 8
     assert all([int(v) for v in r["a"]] == r["b"] and sorted(r["b"]) == list(range(16)) for r in rows)
+
+
+def test_point_pairs_copies_few_rows(spark, monkeypatch):
+    from bermline.operators import cells as C
+    n, kept = 30, []
+    monkeypatch.setattr(C, "_exploded", lambda df: kept.append(df.count()) or df)
+    grid = [(float(i % n), float(i // n) - 7) for i in range(n * n)]
+    a = spark.createDataFrame(grid[::7], "x double, y double")
+    got = C.point_pairs(a, spark.createDataFrame(grid, "x double, y double"), 3.0, 1.0).collect()
+    want = {(p, q) for p in grid[::7] for q in grid if 1.0 <= ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 <= 3.0}
+    assert len(got) == len(want) and {((r["x"], r["y"]), (r["rx"], r["ry"])) for r in got} == want
+    assert kept[0] < 6 * n * n
