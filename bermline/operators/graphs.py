@@ -51,7 +51,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``a, b`` pairs: ``id, component`` (smallest id), by alternating star contraction.
 
     Each round is two aggregations and two joins on vertex keys: no neighbour
-    list is ever collected, so a vertex of any degree is fine.
+    list is ever collected, so a vertex of any degree is fine. The planner takes
+    vertices for as small as the file they come from and would broadcast them
+    all, so the joins here and in ``list_order`` ask for a shuffle.
     """
     vertices = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     e = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -60,16 +62,16 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every neighbour larger than u is connected to the smallest neighbour of u (or u itself)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours are connected to the smallest of them
         m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m2.select("u", F.col("m").alias("v")))
+        small = large.join(m2.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m2.select("u", F.col("m").alias("v")))
         new = cut_lineage(small.filter("u <> v").distinct())
-        if new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty():
+        if new.count() == e.count() and new.join(e.hint("merge"), ["u", "v"], "left_anti").isEmpty():
             break
         e = new
     root = e.groupBy("u").agg(F.min("v").alias("component"))
-    return vertices.join(root, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    return vertices.join(root.hint("merge"), F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def joined_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -215,7 +217,7 @@ def list_order(links: DataFrame, value: str | None = None) -> DataFrame:
     while not cur.filter("ptr IS NOT NULL").isEmpty() and 2 ** k <= 2 * max(n, 1):  # what is open then is on a cycle
         k += 1
         hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("hops").alias("_h"), F.col("total").alias("_t"), F.col("last").alias("_l"))
-        nxt = cur.filter("ptr IS NOT NULL").join(hop, F.col("ptr") == F.col("_i")).select(
+        nxt = cur.filter("ptr IS NOT NULL").join(hop.hint("merge"), F.col("ptr") == F.col("_i")).select(
             "id", F.col("_p").alias("ptr"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("total") + F.col("_t")).alias("total"), F.col("_l").alias("last"))
         cur = cut_lineage(cur.filter("ptr IS NULL").unionByName(nxt))
     return cur.filter("ptr IS NULL").select("id", "last", "hops", "total")

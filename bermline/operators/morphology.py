@@ -457,32 +457,33 @@ def _chain_lines(lines: DataFrame, partner: DataFrame, line_id: str = "line_id")
     """Join lines along end-to-end partners (a_id, a_port, b_id, b_port, each end at most once).
 
     Ports become the nodes of linked lists. Each list is walked from its smaller
-    free end; a closed ring is opened at its smallest line.
+    free end; a closed ring is opened at its smallest line. A file of lines is far
+    smaller than its lines, so the joins ask for a shuffle, as in ``components``.
     """
     p = partner.select("a_id", "a_port", "b_id", "b_port")
     sym = p.unionByName(p.select(F.col("b_id").alias("a_id"), F.col("b_port").alias("a_port"), F.col("a_id").alias("b_id"), F.col("a_port").alias("b_port")))
     sym = cut_lineage(sym)
     ids = lines.select(F.col(line_id).alias("l"))
-    cc = components(ids.select(F.col("l").alias("a"), F.col("l").alias("b")).unionByName(p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
+    cc = components(p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))  # a line without partner is no ring
     n_l = cc.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    n_p = p.join(cc, F.col("a_id") == F.col("id")).groupBy("component").agg(F.count(F.lit(1)).alias("_e"))
-    ring = n_l.join(n_p, "component").filter("_n = _e").select(F.col("component").alias("_root"))
+    n_p = p.join(cc.hint("merge"), F.col("a_id") == F.col("id")).groupBy("component").agg(F.count(F.lit(1)).alias("_e"))
+    ring = n_l.join(n_p.hint("merge"), "component").filter("_n = _e").select(F.col("component").alias("_root"))
     # open rings: the smallest line loses the partner of its port 0
-    cut = sym.join(ring, F.col("a_id") == F.col("_root")).filter("a_port = 0")
+    cut = sym.join(ring.hint("merge"), F.col("a_id") == F.col("_root")).filter("a_port = 0")
     gone = cut.select("a_id", "a_port").unionByName(cut.select(F.col("b_id").alias("a_id"), F.col("b_port").alias("a_port")))
-    sym = sym.join(gone, ["a_id", "a_port"], "left_anti")
+    sym = cut_lineage(sym.join(gone.hint("merge"), ["a_id", "a_port"], "left_anti"))
     # traversal state (line, entry port): leave by the other port, enter the partner
     state = ids.select("l", F.explode(F.array(F.lit(0), F.lit(1))).alias("inp"))
-    state = state.join(sym, (F.col("l") == F.col("a_id")) & (F.lit(1) - F.col("inp") == F.col("a_port")), "left")
+    state = state.join(sym.hint("merge"), (F.col("l") == F.col("a_id")) & (F.lit(1) - F.col("inp") == F.col("a_port")), "left")
     links = state.select(F.struct("l", "inp").alias("id"), F.when(F.col("b_id").isNotNull(), F.struct(F.col("b_id").alias("l"), F.col("b_port").alias("inp"))).alias("nxt"))
     pos = list_order(links)
     # a chain appears in both directions; keep the one that starts at the smaller free end
-    free = state.join(sym.select(F.col("a_id").alias("_a"), F.col("a_port").alias("_p")), (F.col("l") == F.col("_a")) & (F.col("inp") == F.col("_p")), "left_anti")
-    start = free.select(F.struct("l", "inp").alias("id")).join(pos, "id")
+    free = state.join(sym.select(F.col("a_id").alias("_a"), F.col("a_port").alias("_p")).hint("merge"), (F.col("l") == F.col("_a")) & (F.col("inp") == F.col("_p")), "left_anti")
+    start = free.select(F.struct("l", "inp").alias("id")).join(pos.hint("merge"), "id")
     start = start.filter(F.struct(F.col("id.l"), F.col("id.inp")) <= F.struct(F.col("last.l"), 1 - F.col("last.inp")))
     keep = start.select(F.col("last").alias("_last"), F.col("id.l").alias("chain_id"), F.col("hops").alias("_len"))
-    m = pos.join(keep, F.col("last") == F.col("_last")).select("chain_id", (F.col("_len") - F.col("hops")).alias("k"), F.col("id.l").alias("_l"), F.col("id.inp").alias("_inp"))
-    d = m.join(lines.select(F.col(line_id).alias("_lid"), "pts"), F.col("_l") == F.col("_lid"))
+    m = pos.join(keep.hint("merge"), F.col("last") == F.col("_last")).select("chain_id", (F.col("_len") - F.col("hops")).alias("k"), F.col("id.l").alias("_l"), F.col("id.inp").alias("_inp"))
+    d = m.join(lines.select(F.col(line_id).alias("_lid"), "pts").hint("merge"), F.col("_l") == F.col("_lid"))
     d = d.withColumn("pts", F.when(F.col("_inp") == 0, F.col("pts")).otherwise(F.reverse("pts")))
     out = d.groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("k", "pts"))).alias("_s"), F.count(F.lit(1)).alias("n_lines"))
     return out.select(F.col("chain_id").alias(line_id), "n_lines", F.flatten(F.transform("_s", lambda v: v["pts"])).alias("pts"))
