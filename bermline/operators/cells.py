@@ -467,7 +467,11 @@ def line_ends(lines: DataFrame, line_id: str = "line_id", k: int = 10) -> DataFr
 def endpoint_pairs(lines: DataFrame, max_gap: float = 100.0, max_angle: float = 45.0,
                    line_id: str = "line_id") -> DataFrame:
     """Ends of different lines within ``max_gap`` that point at each other: ``a_id, a_port, b_id, b_port, gap``."""
-    ends = line_ends(lines, line_id)
+    return end_pairs(line_ends(lines, line_id), max_gap, max_angle, line_id)
+
+
+def end_pairs(ends: DataFrame, max_gap: float, max_angle: float, line_id: str = "line_id") -> DataFrame:
+    """``endpoint_pairs`` of given ``line_ends``."""
     a = ends.withColumnsRenamed({line_id: "a_id", "port": "a_port", "dx": "a_dx", "dy": "a_dy"})
     b = ends.withColumnsRenamed({line_id: "b_id", "port": "b_port", "dx": "b_dx", "dy": "b_dy"})
     pairs = point_pairs(a, b, max_gap).filter(F.col("a_id") < F.col("b_id"))

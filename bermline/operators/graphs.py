@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from bermline.operators.ordered import running_totals
-from bermline.session import cut_lineage
+from bermline.session import cut_lineage, drop_cut
 
 PIECE_CELLS = 1_000_000  # scene cells that one task puts in order
 
@@ -40,7 +41,7 @@ def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down"
         hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("low").alias("_l"), F.col("open").alias("_o"))
         moved = cur.filter("open").join(hop, F.col("ptr") == F.col("_i")).select(
             "id", F.col("_p").alias("ptr"), F.least("low", "_l").alias("low"), F.col("_o").alias("open"))
-        cur = cut_lineage(cur.filter("NOT open").unionByName(moved))
+        cur = cut_lineage(cur.filter("NOT open").unionByName(moved), instead_of=cur)
     # a pointer that stands on a cycle: the low value of that node covers the whole cycle
     low = cur.filter("open").select(F.col("id").alias("_i"), F.col("low").alias("_cl"))
     done = cur.join(low, F.col("ptr") == F.col("_i"), "left")
@@ -68,7 +69,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(m2.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m2.select("u", F.col("m").alias("v")))
         new = cut_lineage(small.filter("u <> v").distinct())
         if new.count() == e.count() and new.join(e.hint("merge"), ["u", "v"], "left_anti").isEmpty():
+            drop_cut(new)
             break
+        drop_cut(e)
         e = new
     root = e.groupBy("u").agg(F.min("v").alias("component"))
     return vertices.join(root.hint("merge"), F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -173,35 +176,33 @@ def coalesce_columns(df: DataFrame, first: str, second: str, out: str) -> DataFr
     return df.withColumn("_o", F.coalesce(first, second)).drop(first, second).withColumnRenamed("_o", out)
 
 
-def mutual_matching(pairs: DataFrame) -> DataFrame:
-    """Greedy matching of ``a, b, gap`` (shortest gap first, ids break ties), each end used once.
+def matching_round(pairs: DataFrame) -> DataFrame:
+    """Pairs that a greedy matching of ``a, b, gap`` (different rows) takes, as far as one round can tell.
 
     A pair that is the best of both its ends is what the greedy order would take. A pair that is the best of one end and
     the second of the other depends on one pair alone, the other end's best: it is taken exactly if that one is not. Such
     pairs form lists that end at a pair sure to be taken, so the parity of the place decides all of them in one round,
-    however long a list is. Rounds repeat until no pair is left.
+    however long a list is. Only the first two pairs of an end are shuffled, tasks leave the others out before.
     """
-    p = cut_lineage(pairs.select(F.struct("gap", "a", "b").alias("o")).distinct())
+    ends = pairs.select(F.struct("gap", "a", "b").alias("o"), F.explode(F.array_distinct(F.array("a", "b"))).alias("e"))
+    so_far = W.partitionBy("e").orderBy("o").rowsBetween(W.unboundedPreceding, W.currentRow)
+    two = ends.withColumns({"place": F.row_number().over(so_far), "best": F.first("o").over(so_far)}).filter("place <= 2")
+    one = two.groupBy("o").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("ahead"), F.max(F.when(F.col("place") == 2, F.col("best"))).alias("nxt"))
+    links = one.filter("n = IF(o.a = o.b, 1, 2) AND ahead - n <= 1").select(F.col("o").alias("id"), "nxt")
+    # lists that lead to a pair with more ahead of it are not decided in this round: list_order leaves them out
+    return list_order(links).filter("hops % 2 = 0").select("id.a", "id.b", "id.gap")
+
+
+def mutual_matching(pairs: DataFrame) -> DataFrame:
+    """Greedy matching of ``a, b, gap`` (shortest gap first, ids break ties), each end used once: rounds of
+    ``matching_round`` until no pair is left."""
+    p = cut_lineage(pairs.select("a", "b", "gap").distinct())
     taken = []
     while not p.isEmpty():
-        ends = p.select("o", F.explode(F.array("o.a", "o.b")).alias("e")).distinct()
-        best = ends.groupBy("e").agg(F.min("o").alias("best"))
-        rest = ends.join(best, "e").filter("o <> best")
-        second = rest.groupBy("e").agg(F.min("o").alias("second"))
-        place = ends.join(best, "e").join(second, "e", "left").select(
-            "o", F.when(F.col("o") == F.col("best"), 0).when(F.col("o") == F.col("second"), 1).otherwise(2).alias("place"), "best")
-        one = place.groupBy("o").agg(F.sum("place").alias("ahead"), F.max(F.when(F.col("place") == 1, F.col("best"))).alias("nxt"))
-        links = one.filter("ahead <= 1").select(F.col("o").alias("id"), "nxt")
-        # lists that lead to a pair with more ahead of it are not decided in this round: list_order leaves them out
-        sure = list_order(links)
-        ok = cut_lineage(sure.filter("hops % 2 = 0").select("id.a", "id.b", "id.gap"))
-        taken.append(ok)
-        used = ok.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-        p = cut_lineage(p.join(used, F.col("o.a") == F.col("e"), "left_anti").join(used, F.col("o.b") == F.col("e"), "left_anti"))
-    out = taken[0] if taken else p.select("o.a", "o.b", "o.gap")
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out
+        taken.append(cut_lineage(matching_round(p)))
+        used = taken[-1].select(F.explode(F.array("a", "b")).alias("e")).distinct().hint("merge")
+        p = cut_lineage(p.join(used, F.col("a") == F.col("e"), "left_anti").join(used, F.col("b") == F.col("e"), "left_anti"), instead_of=p)
+    return reduce(DataFrame.unionByName, taken) if taken else p
 
 
 def list_order(links: DataFrame, value: str | None = None) -> DataFrame:
@@ -219,8 +220,8 @@ def list_order(links: DataFrame, value: str | None = None) -> DataFrame:
         hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("hops").alias("_h"), F.col("total").alias("_t"), F.col("last").alias("_l"))
         nxt = cur.filter("ptr IS NOT NULL").join(hop.hint("merge"), F.col("ptr") == F.col("_i")).select(
             "id", F.col("_p").alias("ptr"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("total") + F.col("_t")).alias("total"), F.col("_l").alias("last"))
-        cur = cut_lineage(cur.filter("ptr IS NULL").unionByName(nxt))
+        cur = cut_lineage(cur.filter("ptr IS NULL").unionByName(nxt), instead_of=cur)
     return cur.filter("ptr IS NULL").select("id", "last", "hops", "total")
 
 
-__all__ = ["trace_outlets", "components", "coverage_groups", "union_aligned", "coalesce_columns", "mutual_matching", "list_order"]
+__all__ = ["trace_outlets", "components", "coverage_groups", "union_aligned", "coalesce_columns", "matching_round", "mutual_matching", "list_order"]

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bermline.operators.cells import endpoint_pairs
-from bermline.operators.graphs import components, joined_labels, list_order, mutual_matching
+from bermline.operators.cells import end_pairs, line_ends
+from bermline.operators.graphs import components, joined_labels, list_order, matching_round, mutual_matching
 from bermline.operators.ordered import null_safe_join
 from bermline.operators.rasters import Grid, with_tiles
 from bermline.session import cut_lineage
@@ -209,7 +209,7 @@ def skeletonize(pixels: DataFrame, keys: Sequence[str] = (), tile: int = 256, st
         return out.assign(row=r + tr * tile, col=c + tc * tile, _ch=changed)[[f.name for f in schema.fields]]
 
     while True:  # every round but the last deletes a pixel
-        cur = cut_lineage(with_tiles(cur.drop("_ch"), tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema))
+        cur = cut_lineage(with_tiles(cur.drop("_ch"), tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema), instead_of=cur)
         if cur.filter("_ch").isEmpty():
             break
     return cur.drop("_ch")
@@ -436,7 +436,7 @@ def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = (),
 
     while True:  # every pass but the last removes a pixel
         n = cur.count()
-        cur = cut_lineage(with_tiles(cur, tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema))
+        cur = cut_lineage(with_tiles(cur, tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema), instead_of=cur)
         if cur.count() == n:
             break
     return cur
@@ -448,7 +448,7 @@ def trace_greedy(skeleton: DataFrame, grid: Grid, max_gap_px: float = 3.0, min_p
     keys = list(keys)
     big = remove_small(skeleton, min_px, keys)
     lines = walk_edges(big, grid, keys).withColumn("line_id", F.xxhash64(*keys, "a", "b", F.col("pts")[1]))
-    return bridge_gaps(lines.select("line_id", "pts"), max_gap_px * grid.res, 180.0)
+    return bridge_gaps(cut_lineage(lines.select("line_id", "pts")), max_gap_px * grid.res, 180.0)
 
 
 # ---- joining lines ---------------------------------------------------------------------------
@@ -490,10 +490,20 @@ def _chain_lines(lines: DataFrame, partner: DataFrame, line_id: str = "line_id")
 
 
 def bridge_gaps(lines: DataFrame, max_gap: float = 100.0, max_angle: float = 45.0, line_id: str = "line_id") -> DataFrame:
-    """Reconnect lines whose ends are close and point at each other, shortest gap first."""
-    pairs = endpoint_pairs(lines, max_gap, max_angle, line_id)
-    ab = pairs.select(F.struct(F.col("a_id").alias("l"), F.col("a_port").alias("p")).alias("a"), F.struct(F.col("b_id").alias("l"), F.col("b_port").alias("p")).alias("b"), "gap")
-    m = mutual_matching(ab)
+    """Reconnect lines whose ends are close and point at each other, shortest gap first.
+
+    The pairs of crowded ends are many times the ends. So the first round of the matching reads them as they are made, and
+    only pairs of the ends that it leaves over are written.
+    """
+    def pairs(ends):
+        p = end_pairs(ends, max_gap, max_angle, line_id)
+        return p.select(F.struct(F.col("a_id").alias("l"), F.col("a_port").alias("p")).alias("a"), F.struct(F.col("b_id").alias("l"), F.col("b_port").alias("p")).alias("b"), "gap")
+
+    ends = cut_lineage(line_ends(lines, line_id))
+    first = cut_lineage(matching_round(pairs(ends)))
+    used = first.select(F.explode(F.array("a", "b")).alias("_e")).select(F.col("_e.l").alias(line_id), F.col("_e.p").alias("port"))
+    rest = cut_lineage(ends.join(used.hint("merge"), [line_id, "port"], "left_anti"), instead_of=ends)
+    m = first.unionByName(mutual_matching(pairs(rest)))
     return _chain_lines(lines, m.select(F.col("a.l").alias("a_id"), F.col("a.p").alias("a_port"), F.col("b.l").alias("b_id"), F.col("b.p").alias("b_port")), line_id)
 
 

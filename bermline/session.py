@@ -47,11 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Iterative operators call this once per round, so that neither the plan nor
     the recomputation after a lost executor grows with the number of rounds.
+    ``instead_of`` is an earlier cut that nothing else reads: its files are
+    deleted once those of ``df`` are written, or the disk would fill with the
+    rounds.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -59,6 +62,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     # A checkpoint keeps the planner's size estimate, and a join's estimate is the product of its sides: in a loop the number
     # of its digits doubles with every round, until the planner only multiplies. Such an estimate is left behind as well.
     plan = cut._jdf.queryExecution()
+    files = plan.analyzed().rdd().getCheckpointFile().get()
     if plan.optimizedPlan().stats().sizeInBytes() >= 2 ** 62:
         cut = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), cut._jdf.schema(), False), spark)
+    cut._checkpoint_files = files
+    drop_cut(instead_of)
     return cut
+
+
+def drop_cut(df: DataFrame | None) -> None:
+    """Delete the files of a cut that nothing reads any more."""
+    files = getattr(df, "_checkpoint_files", None)
+    if files:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(files)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

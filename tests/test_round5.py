@@ -25,3 +25,43 @@ def test_lines_are_chained_without_broadcasts(spark):
     assert got[1] == (3, [(0, 0), (1, 0), (2, 1), (3, 3)]) and got[7] == (1, [(20, 0), (21, 0)])
     ring = got[4][1]
     assert ring[0] == ring[-1] and set(ring) == {(9, 9), (9, 8), (8, 8)}
+
+
+def test_pairs_of_crowded_ends_are_not_written(spark, monkeypatch):
+    """60 lines end within reach of each other, in twos that lie closest: the first round decides all of them."""
+    from bermline.operators import graphs as GR
+    from bermline.operators import morphology as MO
+
+    rows = [(2 * i + k, [(1e6 * (2 * i + k + 1), 0.0), (float(i), k * 0.001 * (i + 1))]) for i in range(30) for k in (0, 1)]
+    d = spark.createDataFrame(rows, "line_id long, pts array<struct<x double, y double>>")
+    written, real = [], GR.cut_lineage
+
+    def cut(df, *a, **k):
+        out = real(df, *a, **k)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(GR, "cut_lineage", cut)
+    monkeypatch.setattr(MO, "cut_lineage", cut)
+    got = MO.bridge_gaps(d, 100.0, 180.0).collect()
+    assert sorted((r["line_id"], r["n_lines"], len(r["pts"])) for r in got) == [(2 * i, 2, 4) for i in range(30)]
+    assert max(written) <= 2 * len(rows)
+
+
+def test_rounds_leave_no_files_behind(spark):
+    import os
+
+    from bermline.operators import graphs as GR
+    from bermline.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    files = lambda: len(os.listdir(folder)) if os.path.isdir(folder) else 0
+    links = spark.range(100).selectExpr("id", "IF(id < 99, id + 1, NULL) AS nxt")
+    before = files()
+    pos = GR.list_order(links)
+    assert files() - before == 1
+    assert {(r["id"], r["last"], r["hops"]) for r in pos.collect()} == {(k, 99, 99 - k) for k in range(100)}
+    before = files()
+    c = GR.components(spark.range(99).selectExpr("id AS a", "id + 1 AS b"))
+    assert files() - before == 1
+    assert {(r["id"], r["component"]) for r in c.collect()} == {(k, 0) for k in range(100)}
