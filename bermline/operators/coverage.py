@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bermline.functions import geometry as G
-from bermline.operators.cells import BROADCAST_COPIES, line_edges, short_edges, spread
+from bermline.operators.cells import BROADCAST_COPIES, _stage, line_edges, short_edges, spread
 from bermline.operators.graphs import components, joined_labels
 from bermline.session import cut_lineage
 
@@ -162,13 +162,6 @@ def merge_runs(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return b.groupBy(*keys, "row", "_b", "_g").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("_b", "_g")
 
 
-def _stage(d: DataFrame, **cols: Column) -> DataFrame:
-    """``d`` with more columns, made by an explode of one struct: a filter further on would else be moved before them, with
-    all their terms written out."""
-    s = F.struct(*[c.alias(n) for n, c in cols.items()])
-    return d.withColumn("_s", F.explode(F.array(s))).select(*[c for c in d.columns if c not in cols], "_s.*")
-
-
 def line_runs(lines: DataFrame, buffer: float, size: float, keep: Sequence[str] = ()) -> DataFrame:
     """Cells whose centre comes within ``buffer`` of a line (``pts``), as merged runs by ``keep``; row and column 0 start at 0."""
     keep = list(keep)

@@ -65,3 +65,41 @@ def test_rounds_leave_no_files_behind(spark):
     c = GR.components(spark.range(99).selectExpr("id AS a", "id + 1 AS b"))
     assert files() - before == 1
     assert {(r["id"], r["component"]) for r in c.collect()} == {(k, 0) for k in range(100)}
+
+
+def test_near_edges_as_the_distance_in_short_terms(spark):
+    """Edges that cross, touch, lie beside each other, are points or lie exactly at the radius; the join holds no distance."""
+    import itertools
+    import random
+
+    from bermline.operators import cells as C
+
+    rnd = random.Random(5)
+    edge = lambda: [float(rnd.randrange(12)) for _ in range(4)]
+    rows = [(*edge(), *edge()) for _ in range(1500)] + [(0.0, 0.0, 1.0, 0.0, 7.0, 8.0, 7.0, 20.0), (0.0, 0.0, 0.0, 0.0, 3.0, 4.0, 3.0, 4.0)]
+    pairs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, x0 double, y0 double, x1 double, y1 double, q_x0 double, q_y0 double, q_x1 double, q_y1 double")
+    for radius in (0.5, 3.0, 5.0, 10.0):
+        within = lambda r: {r["i"] for r in pairs.filter(C.edges_distance() <= r).select("i").collect()}
+        got = {r["i"] for r in C.near_edges(pairs, radius).select("i").collect()}
+        assert within(radius - 1e-9) <= got <= within(radius + 1e-9) and got  # a root may fall on either side of the radius itself
+    assert {1500, 1501} <= got and 1501 in {r["i"] for r in C.near_edges(pairs, 5.0).select("i").collect()}  # ends at exactly 10 and 5
+
+    line = lambda k: (k, float(k), [(float(p[0]), float(p[1])) for p in (edge()[:2], edge()[2:])])
+    left, right = [line(k) for k in range(20)], [line(k) for k in range(30)]
+    frame = lambda x, k: spark.createDataFrame(x, f"{k} long, uparea double, pts array<struct<x double, y double>>")
+    best = {}
+    both = [(a[0], b[0], *a[2][0], *a[2][1], *b[2][0], *b[2][1]) for a, b in itertools.product(left, right)]
+    d = spark.createDataFrame(both, "l long, r long, x0 double, y0 double, x1 double, y1 double, q_x0 double, q_y0 double, q_x1 double, q_y1 double")
+    for r in d.filter(C.edges_distance() <= 1.0).collect():
+        best[r["l"]] = max(best.get(r["l"], -1), r["r"])
+    for a, b, want in ((left, right, best), (right[:25], right, None)):
+        out = C.lines_within_best(frame(a, "segment_id").drop("uparea"), frame(b, "comid"), 1.0)
+        join = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+        assert "q_cx" in join and "HYPOT" not in join
+        got = {r["segment_id"]: r["comid"] for r in out.collect()}
+        assert got == want if want is not None else len(got) == 25
+    more = C.lines_within_best(frame(right, "segment_id").drop("uparea"), frame(left, "comid"), 1.0)  # the other side is copied
+    want = {}
+    for r in d.filter(C.edges_distance() <= 1.0).collect():
+        want[r["r"]] = max(want.get(r["r"], -1), r["l"])
+    assert {r["segment_id"]: r["comid"] for r in more.collect()} == want
