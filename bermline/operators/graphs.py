@@ -41,7 +41,8 @@ def trace_outlets(reaches: DataFrame, id: str = "comid", next: str = "next_down"
         hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("low").alias("_l"), F.col("open").alias("_o"))
         moved = cur.filter("open").join(hop, F.col("ptr") == F.col("_i")).select(
             "id", F.col("_p").alias("ptr"), F.least("low", "_l").alias("low"), F.col("_o").alias("open"))
-        cur = cut_lineage(cur.filter("NOT open").unionByName(moved), instead_of=cur)
+        last, cur = cur, cut_lineage(cur.filter("NOT open").unionByName(moved))
+        drop_cut(last)
     # a pointer that stands on a cycle: the low value of that node covers the whole cycle
     low = cur.filter("open").select(F.col("id").alias("_i"), F.col("low").alias("_cl"))
     done = cur.join(low, F.col("ptr") == F.col("_i"), "left")
@@ -117,12 +118,12 @@ def _greedy_in_rounds(free: DataFrame, scene: str) -> DataFrame | None:
     out = None
     while not free.isEmpty():
         gain = free.groupBy(scene).agg(F.count(F.lit(1)).alias("n"))
-        ranked = free.join(gain, scene).withColumn("_r", F.struct((-F.col("n")).alias("n"), F.col(scene).alias("s")))
+        ranked = free.join(gain.hint("merge"), scene).withColumn("_r", F.struct((-F.col("n")).alias("n"), F.col(scene).alias("s")))
         best = ranked.groupBy("cx", "cy").agg(F.min("_r").alias("_best"))
-        won = ranked.join(best, ["cx", "cy"]).groupBy(scene, "n").agg(F.every(F.col("_r") == F.col("_best")).alias("_won")).filter("_won")
+        won = ranked.join(best.hint("merge"), ["cx", "cy"]).groupBy(scene, "n").agg(F.every(F.col("_r") == F.col("_best")).alias("_won")).filter("_won")
         won = cut_lineage(won.select(scene, "n"))
         out = won if out is None else out.unionByName(won)
-        free = cut_lineage(free.join(free.join(won, scene, "left_semi").select("cx", "cy"), ["cx", "cy"], "left_anti"))
+        free = cut_lineage(free.join(free.join(won.hint("merge"), scene, "left_semi").select("cx", "cy").hint("merge"), ["cx", "cy"], "left_anti"))
     return out
 
 
@@ -135,16 +136,20 @@ def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage:
 
     Scenes in pieces that share no cell don't change each other's gains, and the gains of a piece never rise. So the order
     of all is that of the pieces, merged by gain and id, and a group is its beginning: a few jobs for each group, none for
-    each scene. A piece of more than PIECE_CELLS scene cells is put in order by joins instead of inside a task.
+    each scene. A piece of more than PIECE_CELLS scene cells is put in order by joins instead of inside a task. The cells are
+    many times the scenes that the planner goes by, so no join broadcasts them.
     """
     aoi = aoi_cells.select("cx", "cy").distinct()
     total = aoi.count()
     kind = scene_cells.schema[scene].dataType.simpleString()
-    pool = cut_lineage(scene_cells.select(scene, "cx", "cy").distinct().join(aoi, ["cx", "cy"], "left_semi"))
+    pool = cut_lineage(scene_cells.select(scene, "cx", "cy").distinct().join(aoi.hint("merge"), ["cx", "cy"], "left_semi"))
     first = pool.groupBy("cx", "cy").agg(F.min(scene).alias("a"))
-    parts = components(pool.join(first, ["cx", "cy"]).select("a", F.col(scene).alias("b")).distinct()).select(F.col("id").alias(scene), F.col("component").alias("_piece"))
-    size = pool.join(parts, scene).groupBy("_piece").agg((F.count(F.lit(1)) > PIECE_CELLS).alias("_large"))
-    pool = cut_lineage(pool.join(parts.join(size, "_piece"), scene))
+    parts = components(pool.join(first.hint("merge"), ["cx", "cy"]).select("a", F.col(scene).alias("b")).distinct()).select(F.col("id").alias(scene), F.col("component").alias("_piece"))
+    parts = cut_lineage(parts)
+    size = pool.join(parts.hint("merge"), scene).groupBy("_piece").agg((F.count(F.lit(1)) > PIECE_CELLS).alias("_large"))
+    last, pool = pool, cut_lineage(pool.join(parts.join(size.hint("merge"), "_piece").hint("merge"), scene))
+    drop_cut(last)
+    drop_cut(parts)
     any_large = not pool.filter("_large").isEmpty()
     need, taken = min_coverage * total, []
     while total:
@@ -157,7 +162,9 @@ def coverage_groups(scene_cells: DataFrame, aoi_cells: DataFrame, min_coverage:
             break
         taken.append(members.select(scene, F.lit(len(taken)).alias("grp"), (F.col("_k") - 1).cast("int").alias("step"),
                                     F.lit(covered / total).alias("coverage"), F.lit(covered >= need).alias("accepted")))
-        pool = cut_lineage(pool.join(members.select(scene), scene, "left_anti"))
+        drop_cut(order)
+        last, pool = pool, cut_lineage(pool.join(members.select(scene).hint("merge"), scene, "left_anti"))
+        drop_cut(last)
         if pool.isEmpty():
             break
     if not taken:
@@ -201,7 +208,8 @@ def mutual_matching(pairs: DataFrame) -> DataFrame:
     while not p.isEmpty():
         taken.append(cut_lineage(matching_round(p)))
         used = taken[-1].select(F.explode(F.array("a", "b")).alias("e")).distinct().hint("merge")
-        p = cut_lineage(p.join(used, F.col("a") == F.col("e"), "left_anti").join(used, F.col("b") == F.col("e"), "left_anti"), instead_of=p)
+        last, p = p, cut_lineage(p.join(used, F.col("a") == F.col("e"), "left_anti").join(used, F.col("b") == F.col("e"), "left_anti"))
+        drop_cut(last)
     return reduce(DataFrame.unionByName, taken) if taken else p
 
 
@@ -220,7 +228,8 @@ def list_order(links: DataFrame, value: str | None = None) -> DataFrame:
         hop = cur.select(F.col("id").alias("_i"), F.col("ptr").alias("_p"), F.col("hops").alias("_h"), F.col("total").alias("_t"), F.col("last").alias("_l"))
         nxt = cur.filter("ptr IS NOT NULL").join(hop.hint("merge"), F.col("ptr") == F.col("_i")).select(
             "id", F.col("_p").alias("ptr"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("total") + F.col("_t")).alias("total"), F.col("_l").alias("last"))
-        cur = cut_lineage(cur.filter("ptr IS NULL").unionByName(nxt), instead_of=cur)
+        last, cur = cur, cut_lineage(cur.filter("ptr IS NULL").unionByName(nxt))
+        drop_cut(last)
     return cur.filter("ptr IS NULL").select("id", "last", "hops", "total")
 
 

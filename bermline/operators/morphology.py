@@ -15,7 +15,7 @@ from bermline.operators.cells import end_pairs, line_ends
 from bermline.operators.graphs import components, joined_labels, list_order, matching_round, mutual_matching
 from bermline.operators.ordered import null_safe_join
 from bermline.operators.rasters import Grid, with_tiles
-from bermline.session import cut_lineage
+from bermline.session import cut_lineage, drop_cut
 
 NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -209,7 +209,8 @@ def skeletonize(pixels: DataFrame, keys: Sequence[str] = (), tile: int = 256, st
         return out.assign(row=r + tr * tile, col=c + tc * tile, _ch=changed)[[f.name for f in schema.fields]]
 
     while True:  # every round but the last deletes a pixel
-        cur = cut_lineage(with_tiles(cur.drop("_ch"), tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema), instead_of=cur)
+        last, cur = cur, cut_lineage(with_tiles(cur.drop("_ch"), tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema))
+        drop_cut(last)
         if cur.filter("_ch").isEmpty():
             break
     return cur.drop("_ch")
@@ -436,7 +437,8 @@ def prune_spurs(skeleton: DataFrame, min_px: int = 5, keys: Sequence[str] = (),
 
     while True:  # every pass but the last removes a pixel
         n = cur.count()
-        cur = cut_lineage(with_tiles(cur, tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema), instead_of=cur)
+        last, cur = cur, cut_lineage(with_tiles(cur, tile, halo).groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, schema))
+        drop_cut(last)
         if cur.count() == n:
             break
     return cur
@@ -502,7 +504,8 @@ def bridge_gaps(lines: DataFrame, max_gap: float = 100.0, max_angle: float = 45.
     ends = cut_lineage(line_ends(lines, line_id))
     first = cut_lineage(matching_round(pairs(ends)))
     used = first.select(F.explode(F.array("a", "b")).alias("_e")).select(F.col("_e.l").alias(line_id), F.col("_e.p").alias("port"))
-    rest = cut_lineage(ends.join(used.hint("merge"), [line_id, "port"], "left_anti"), instead_of=ends)
+    rest = cut_lineage(ends.join(used.hint("merge"), [line_id, "port"], "left_anti"))
+    drop_cut(ends)
     m = first.unionByName(mutual_matching(pairs(rest)))
     return _chain_lines(lines, m.select(F.col("a.l").alias("a_id"), F.col("a.p").alias("a_port"), F.col("b.l").alias("b_id"), F.col("b.p").alias("b_port")), line_id)
 

@@ -47,14 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Iterative operators call this once per round, so that neither the plan nor
     the recomputation after a lost executor grows with the number of rounds.
-    ``instead_of`` is an earlier cut that nothing else reads: its files are
-    deleted once those of ``df`` are written, or the disk would fill with the
-    rounds.
+    They give the round before to ``drop_cut``, or the disk would fill with them.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -66,12 +64,11 @@ def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame
     if plan.optimizedPlan().stats().sizeInBytes() >= 2 ** 62:
         cut = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), cut._jdf.schema(), False), spark)
     cut._checkpoint_files = files
-    drop_cut(instead_of)
     return cut
 
 
-def drop_cut(df: DataFrame | None) -> None:
-    """Delete the files of a cut that nothing reads any more."""
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a cut (as ``cut_lineage`` returned it) that nothing reads any more."""
     files = getattr(df, "_checkpoint_files", None)
     if files:
         sc = df.sparkSession.sparkContext

@@ -103,3 +103,26 @@ def test_near_edges_as_the_distance_in_short_terms(spark):
     for r in d.filter(C.edges_distance() <= 1.0).collect():
         want[r["r"]] = max(want.get(r["r"], -1), r["l"])
     assert {r["segment_id"]: r["comid"] for r in more.collect()} == want
+
+
+def test_scene_cells_are_not_broadcast(spark, monkeypatch):
+    """Cells are made from a small file of scenes, and the planner broadcast them. Two pieces, in tasks and by joins."""
+    from bermline.operators import graphs as GR
+
+    plans, real = [], GR.cut_lineage
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+
+    def cut(df, *a, **k):
+        if "cx" in df.columns or "_piece" in df.columns:
+            plans.append(plan(df))
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(GR, "cut_lineage", cut)
+    rows = [(k, 10 * (k % 2) + i, j) for k in range(8) for i in range(1 + k % 5) for j in range(3)]
+    scenes = spark.createDataFrame(rows, "scene_id long, cx long, cy long")
+    area = spark.createDataFrame([(10 * b + i, j) for b in (0, 1) for i in range(4) for j in range(3)], "cx long, cy long")
+    got = sorted(tuple(r) for r in GR.coverage_groups(scenes, area, 0.8).collect())
+    monkeypatch.setattr(GR, "PIECE_CELLS", 0)
+    assert sorted(tuple(r) for r in GR.coverage_groups(scenes, area, 0.8).collect()) == got
+    assert {r[0] for r in got} == set(range(8)) and [r for r in got if r[0] in (3, 4)] == [(3, 0, 0, 1.0, True), (4, 0, 1, 1.0, True)]
+    assert len(plans) >= 4 and not any("Broadcast" in p for p in plans)
