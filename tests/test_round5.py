@@ -118,9 +118,9 @@ def test_scene_cells_are_not_broadcast(spark, monkeypatch):
         return real(df, *a, **k)
 
     monkeypatch.setattr(GR, "cut_lineage", cut)
-    rows = [(k, 10 * (k % 2) + i, j) for k in range(8) for i in range(1 + k % 5) for j in range(3)]
-    scenes = spark.createDataFrame(rows, "scene_id long, cx long, cy long")
-    area = spark.createDataFrame([(10 * b + i, j) for b in (0, 1) for i in range(4) for j in range(3)], "cx long, cy long")
+    # ranges, as the planner knows their size
+    scenes = spark.range(8).selectExpr("id AS scene_id", "explode(sequence(0, id % 5)) AS i").selectExpr("scene_id", "10 * (scene_id % 2) + i AS cx", "explode(sequence(0L, 2L)) AS cy")
+    area = spark.range(24).selectExpr("10 * (id % 2) + id div 2 % 4 AS cx", "id div 8 AS cy")
     got = sorted(tuple(r) for r in GR.coverage_groups(scenes, area, 0.8).collect())
     monkeypatch.setattr(GR, "PIECE_CELLS", 0)
     assert sorted(tuple(r) for r in GR.coverage_groups(scenes, area, 0.8).collect()) == got
